@@ -17,12 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _pick(c: Column, values: list[str | None]) -> Column:
-    """values[c], null beyond the list."""
-    out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for i, v in enumerate(values):
-        if v is not None:
-            out = out.when(c == i, v)
-    return out
+    """values[c] counted from 1, null beyond the list."""
+    return F.get(F.array(*[F.lit(v) for v in values]), c - 1)
 
 
 def lat_of(key: Column) -> Column:
@@ -62,26 +58,27 @@ def raw_crashes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_mktsegment").alias("MUNINAME"),
         F.col("p_name").alias("ONSTR"),
         F.col("p_type").alias("ATSTR"),
-        F.when(role1 == "A", "BIKE").when(role1 == "R", "PED").when(role1 == "N", "DR")
-        .alias("ROLE1"),
+        F.try_element_at(
+            F.create_map(*[F.lit(v) for v in ("A", "BIKE", "R", "PED", "N", "DR")]), role1
+        ).alias("ROLE1"),
         F.when((F.col("l_linestatus") == "F") & even, "PED NO")
         .when(F.col("l_linestatus") == "F", "O PED")
         .when(number == 3, "O BIKE")
         .when(number != 6, "DR").alias("ROLE2"),
-        _pick(F.substring("o_orderpriority", 1, 1).cast("int"), [None, "K", "A", "B", None, "O"])
+        _pick(F.substring("o_orderpriority", 1, 1).cast("int"), ["K", "A", "B", None, "O"])
         .alias("INJSVR1"),
-        _pick(number, [None, "K", "A", "B", "C", "Z"]).alias("INJSVR2"),
+        _pick(number, ["K", "A", "B", "C", "Z"]).alias("INJSVR2"),
         F.when(F.col("p_size") % 10 == 0, "UNK").otherwise(F.col("p_size").cast("string"))
         .alias("AGE1"),
         F.col("l_quantity").cast("int").cast("string").alias("AGE2"),
         F.when(partkey % 2 == 0, "F").otherwise("M").alias("SEX1"),
         F.when(suppkey % 2 == 0, "F").otherwise("M").alias("SEX2"),
-        _pick(partkey % 6, ["A", "B", "I", "H", "W"]).alias("RACE1"),
-        _pick(suppkey % 6, ["A", "B", "I", "H", "W"]).alias("RACE2"),
-        _pick(partkey % 4, ["CAR", "SUV", "UT TRK"]).alias("VEHTYPE1"),
-        _pick(orderkey % 4, ["CAR", "SUV", "UT TRK"]).alias("VEHTYPE2"),
-        F.when(partkey % 50 != 0, lat_of(partkey)).cast("string").alias("LATDECDG"),
-        F.when(partkey % 50 != 0, lon_of(orderkey)).cast("string").alias("LONDECDG"),
+        _pick((partkey % 6).cast("int") + 1, ["A", "B", "I", "H", "W"]).alias("RACE1"),
+        _pick((suppkey % 6).cast("int") + 1, ["A", "B", "I", "H", "W"]).alias("RACE2"),
+        _pick((partkey % 4).cast("int") + 1, ["CAR", "SUV", "UT TRK"]).alias("VEHTYPE1"),
+        _pick((orderkey % 4).cast("int") + 1, ["CAR", "SUV", "UT TRK"]).alias("VEHTYPE2"),
+        F.when(partkey % 50 != 0, lat_of(partkey)).alias("LATDECDG"),
+        F.when(partkey % 50 != 0, lon_of(orderkey)).alias("LONDECDG"),
         F.when((role1 == "A") | ((F.col("l_linestatus") != "F") & (number == 3)), "Y")
         .alias("BIKEFLAG"),
         F.when((role1 == "R") | (F.col("l_linestatus") == "F"), "Y").alias("PEDFLAG"),

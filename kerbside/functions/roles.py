@@ -53,12 +53,16 @@ def vulnerable_role(lang: str = "en") -> Column:
     )
 
 
-def vehicle_bucket() -> Column:
+def vehicle_bucket(other: Column | str | None = None) -> Column:
     """Bucket of the other unit's vehicle; an unknown vehicle is ``Other``."""
-    other = F.when(is_role(1, VULNERABLE_ROLES), F.col("VEHTYPE2")).otherwise(F.col("VEHTYPE1"))
+    if other is None:
+        other = F.when(is_role(1, VULNERABLE_ROLES), F.col("VEHTYPE2")).otherwise(
+            F.col("VEHTYPE1")
+        )
+    other = as_col(other)
     return (
-        F.when(in_set(other, TRUCK_SUV_TYPES), "Truck/SUV")
-        .when(in_set(other, CAR_TYPES), "Car")
+        F.when(other.isin(*TRUCK_SUV_TYPES), "Truck/SUV")
+        .when(other.isin(*CAR_TYPES), "Car")
         .otherwise("Other")
     )
 

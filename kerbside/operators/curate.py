@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.config import DRIVER_ROLES, VULNERABLE_ROLES, YMD_FORMATS
+from kerbside.config import BIKE_ROLES, DRIVER_ROLES, VULNERABLE_ROLES, YMD_FORMATS
 from kerbside.functions.calendar import month_label, parse_date
-from kerbside.functions.roles import pick_by_role, vehicle_bucket, vulnerable_role
-from kerbside.operators.lookups import with_race, with_severity
+from kerbside.functions.roles import ROLE_LABELS, is_role, pick_by_role, vehicle_bucket
+from kerbside.operators.lookups import race_name, severity_name, severity_rank
 
 
 def type_crashes(df: DataFrame, date_formats: Iterable[str] = YMD_FORMATS) -> DataFrame:
@@ -39,28 +39,47 @@ def add_calendar(df: DataFrame) -> DataFrame:
     )
 
 
-def add_people(df: DataFrame) -> DataFrame:
-    """Injury, age and class of the vulnerable person, and the other unit's vehicle."""
-    return df.withColumns(
+def curate(df: DataFrame, date_formats: Iterable[str] = YMD_FORMATS) -> DataFrame:
+    """The curated crash table: one pass over the exports, no join and no shuffle.
+
+    The role tests are made once per unit (``_one`` and ``_two``: vulnerable; ``_bike`` and
+    ``_ped``: either unit), which keeps the generated code small enough to be compiled.
+    """
+    df = add_calendar(type_crashes(df, date_formats))
+    df = df.withColumns(
         {
-            "ped_inj": pick_by_role("INJSVR1", "INJSVR2"),
-            "ped_age": pick_by_role("age1", "age2", fallback=True),
-            "vulnerable_role": vulnerable_role("en"),
-            "vulnerable_role_es": vulnerable_role("es"),
-            "nonvuln_vehicletype": vehicle_bucket(),
+            "_one": is_role(1, VULNERABLE_ROLES),
+            "_two": is_role(2, VULNERABLE_ROLES),
+            "_bike": is_role(1, BIKE_ROLES) | is_role(2, BIKE_ROLES),
         }
     )
 
+    def of_vulnerable(a1: str, a2: str) -> Column:
+        return F.when(F.col("_one"), F.col(a1)).when(F.col("_two"), F.col(a2))
 
-def curate(df: DataFrame, date_formats: Iterable[str] = YMD_FORMATS) -> DataFrame:
-    """The curated crash table: one narrow pass, no shuffle."""
-    df = add_people(add_calendar(type_crashes(df, date_formats)))
-    df = with_severity(df, "INJSVR1", "InjSevName1")
-    df = with_severity(df, "INJSVR2", "InjSevName2")
-    df = with_severity(df, "ped_inj", "ped_inj_name", rank="severity_rank")
-    df = with_race(df, "RACE1", "race_name1")
-    df = with_race(df, "RACE2", "race_name2")
-    return df.withColumn("vulnerable_race", pick_by_role("race_name1", "race_name2"))
+    def role_label(lang: str) -> Column:
+        bicyclist, pedestrian = ROLE_LABELS[lang]
+        return F.when(F.col("_bike"), bicyclist).when(F.col("_one") | F.col("_two"), pedestrian)
+
+    df = df.withColumns(
+        {
+            "ped_inj": of_vulnerable("INJSVR1", "INJSVR2"),
+            "ped_age": F.when(F.col("_one"), F.col("age1")).otherwise(F.col("age2")),
+            "vulnerable_role": role_label("en"),
+            "vulnerable_role_es": role_label("es"),
+            "nonvuln_vehicletype": vehicle_bucket(
+                F.when(F.col("_one"), F.col("VEHTYPE2")).otherwise(F.col("VEHTYPE1"))
+            ),
+            "InjSevName1": severity_name("INJSVR1"),
+            "InjSevName2": severity_name("INJSVR2"),
+            "race_name1": race_name("RACE1"),
+            "race_name2": race_name("RACE2"),
+            "vulnerable_race": race_name(of_vulnerable("RACE1", "RACE2")),
+        }
+    )
+    return df.withColumns(
+        {"ped_inj_name": severity_name("ped_inj"), "severity_rank": severity_rank("ped_inj")}
+    ).drop("_one", "_two", "_bike")
 
 
 # The person attributes that summaries group by: (output, attribute of unit 1, of unit 2,

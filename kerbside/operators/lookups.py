@@ -2,31 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.sources.dims import race_dim, severity_dim
+from kerbside.functions.nulls import as_col
+from kerbside.sources.dims import RACE, SEVERITY
+
+
+def lookup(code: Column | str, pairs: Iterable[tuple]) -> Column:
+    """Value paired with the code. A null code matches a pair whose code is null; a code in
+    no pair gives null. For the inline dimensions: one constant map instead of a join."""
+    code, pairs = as_col(code), list(pairs)
+    known = F.create_map(*[F.lit(x) for k, v in pairs if k is not None for x in (k, v)])
+    value = F.try_element_at(known, code)
+    for k, v in pairs:
+        if k is None:
+            value = F.when(code.isNull(), F.lit(v)).otherwise(value)
+    return value
+
+
+def severity_name(code: Column | str, lang: str = "en") -> Column:
+    return lookup(code, [(row[2], row[1 if lang == "es" else 0]) for row in SEVERITY])
+
+
+def severity_rank(code: Column | str) -> Column:
+    return lookup(code, [(row[2], row[4]) for row in SEVERITY])
+
+
+def severity_color(code: Column | str) -> Column:
+    return lookup(code, [(row[2], row[3]) for row in SEVERITY])
+
+
+def race_name(code: Column | str) -> Column:
+    return lookup(code, [(code_, name) for name, code_ in RACE])
 
 
 def with_severity(
     df: DataFrame, code_col: str, out: str, rank: str | None = None, lang: str = "en"
 ) -> DataFrame:
-    """Name (and rank) of an injury code. A null code matches the null row of the table;
-    an unlisted code gives null."""
-    name = "InjSevName_es" if lang == "es" else "InjSevName"
-    dim = severity_dim(df.sparkSession)
-    cols = [F.col("code").alias("_code"), F.col(name).alias(out)]
-    if rank:
-        cols.append(F.col("severity_rank").alias(rank))
-    dim = F.broadcast(dim.select(*cols))
-    return df.join(dim, df[code_col].eqNullSafe(dim["_code"]), "left").drop("_code")
+    """Name (and rank) of an injury code. A missing code is "unknown"; an unlisted one null."""
+    df = df.withColumn(out, severity_name(code_col, lang))
+    return df.withColumn(rank, severity_rank(code_col)) if rank else df
 
 
 def with_race(df: DataFrame, code_col: str, out: str) -> DataFrame:
-    dim = F.broadcast(
-        race_dim(df.sparkSession).select(F.col("code").alias("_code"), F.col("race_name").alias(out))
-    )
-    return df.join(dim, df[code_col].eqNullSafe(dim["_code"]), "left").drop("_code")
+    return df.withColumn(out, race_name(code_col))
 
 
 def translate(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 # --- fixed values: codes, names, colours and policies of the source data -----------------
@@ -48,30 +49,37 @@ INJURED_NAMES = ("Suspected Minor Injury", "Suspected Serious Injury", "Fatality
 SEVERITY_NAMES = [row[0] for row in SEVERITY]
 
 
-def severity_dim(spark: SparkSession) -> DataFrame:
+def _inline(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table held in the plan itself: an Arrow table of a few rows needs no job to read."""
+    names = [part.split()[0] for part in schema.split(",")]
     return spark.createDataFrame(
+        pa.table({n: [row[i] for row in rows] for i, n in enumerate(names)}), schema
+    )
+
+
+def severity_dim(spark: SparkSession) -> DataFrame:
+    return _inline(
+        spark,
         SEVERITY,
         "InjSevName string, InjSevName_es string, code string, color string, severity_rank int",
     )
 
 
 def race_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RACE, "race_name string, code string")
+    return _inline(spark, RACE, "race_name string, code string")
 
 
 def school_type_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SCHOOL_TYPE, "en string, es string")
+    return _inline(spark, SCHOOL_TYPE, "en string, es string")
 
 
 def walk_policy_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        WALK_POLICY, "name string, code string, hs double, ms double, es double"
-    )
+    return _inline(spark, WALK_POLICY, "name string, code string, hs double, ms double, es double")
 
 
 def lts_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LTS, "code int, color string")
+    return _inline(spark, LTS, "code int, color string")
 
 
 def county_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(COUNTY, "name string, CNTYCODE int, COUNTY string")
+    return _inline(spark, COUNTY, "name string, CNTYCODE int, COUNTY string")
