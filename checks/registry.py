@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from checks import tables
+from checks import places, tables
 
-_PARTS = (tables,)
+_PARTS = (tables, places)
 
 
 def queries() -> dict:

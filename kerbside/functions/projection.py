@@ -94,14 +94,17 @@ def _inverse(zone: int):
 
 
 def _staged(df: DataFrame, a: str, b: str, out: tuple[str, str], stages) -> DataFrame:
+    """The last stage leaves through ``inline``: a filter or join on the result is then not
+    rewritten into the series, where each use of a stage would repeat all stages below."""
     keep = [c for c in df.columns if c not in out]
     current = (a, b)
-    for i, stage in enumerate(stages):
-        names = out if i == len(stages) - 1 else (f"_u{i}", f"_v{i}")
+    for i, stage in enumerate(stages[:-1]):
+        names = (f"_u{i}", f"_v{i}")
         u, v = stage(F.col(current[0]), F.col(current[1]))
         df = df.withColumns({names[0]: u, names[1]: v})
         current = names
-    return df.select(*keep, *out)
+    u, v = stages[-1](F.col(current[0]), F.col(current[1]))
+    return df.select(*keep, F.inline(F.array(F.struct(u.alias(out[0]), v.alias(out[1])))))
 
 
 def with_utm(

@@ -157,7 +157,9 @@ def hex_grid(
 
 def complete_grid(cells: DataFrame, counts: DataFrame) -> DataFrame:
     """Every cell of the grid; a cell without a row in ``counts`` has nulls."""
-    return cells.join(counts, ["q", "r"], "left")
+    found = counts.withColumnsRenamed({"q": "_q", "r": "_r"})
+    same = cells["q"].eqNullSafe(found["_q"]) & cells["r"].eqNullSafe(found["_r"])
+    return cells.join(found, same, "left").drop("_q", "_r")
 
 
 def hex_change(

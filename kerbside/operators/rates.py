@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kerbside.config import SEVERE_CODES
 from kerbside.functions.nulls import as_col, in_set, safe_div
 from kerbside.operators.lookups import join_suffix
+from kerbside.operators.spatial import area_counts
 from kerbside.operators.summaries import count_by
 from kerbside.sources.dims import INJURED_NAMES
 
@@ -94,3 +95,22 @@ def squish(c: Column | str, low: float, high: float) -> Column:
     """Values outside the limits are moved to the limit; null stays null."""
     c = as_col(c)
     return F.when(c < low, F.lit(float(low))).when(c > high, F.lit(float(high))).otherwise(c)
+
+
+def area_rates(
+    polygons: DataFrame,
+    crashes: DataFrame,
+    key: str = "GEOID",
+    min_population: float = 0,
+    names: Iterable[str] = INJURED_NAMES,
+    **options,
+) -> DataFrame:
+    """Crashes inside each area and per 100,000 residents, for areas with more than
+    ``min_population`` residents. An area without crashes has zero."""
+    points = crashes.where(
+        in_set("ped_inj_name", names) & (F.col("latitude") > 0) & F.col("longitude").isNotNull()
+    )
+    lived_in = polygons.where(F.col("value") > min_population)
+    return area_counts(lived_in, points, key, **options).withColumn(
+        "CrashesPerPopulation", per_100k("crash_count", "value")
+    )

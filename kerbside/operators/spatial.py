@@ -134,26 +134,45 @@ def points_in_polygons(
 ) -> DataFrame:
     """Every (polygon, point) pair with the point strictly inside.
 
-    A polygon's cell row carries only the sides a ray from that cell can meet, so the exact
-    test of a point does not walk the whole outline. ``how="left"`` also keeps polygons
-    without a point (``key`` identifies a polygon).
+    A cell that no side enters is wholly inside or outside, which is found out once per
+    cell; its points need no test. Other cell rows carry only the sides a ray from that cell
+    can meet, so the exact test of a point does not walk the whole outline. ``how="left"``
+    also keeps polygons without a point (``key`` identifies a polygon).
     """
     shapes = polygons.where(is_non_empty(F.col(rings)))
     boxed = shapes.withColumns({f"_{k}": c for k, c in envelope(F.col(rings)).items()})
     box = ("_x0", "_y0", "_x1", "_y1")
     covers = _cover(_with_level(boxed, box, cell), box, cell)
     size = _size_of(F.col("_level"), cell)
-    west, south, north = F.col("_cx") * size, F.col("_cy") * size, (F.col("_cy") + 1) * size
-    reach = F.filter(
-        edges(F.col(rings)),
-        lambda e: (F.greatest(e["y1"], e["y2"]) >= south)
-        & (F.least(e["y1"], e["y2"]) <= north)
-        & (F.greatest(e["x1"], e["x2"]) >= west),
+    covers = covers.withColumns(
+        {
+            "_west": F.col("_cx") * size, "_east": (F.col("_cx") + 1) * size,
+            "_south": F.col("_cy") * size, "_north": (F.col("_cy") + 1) * size,
+        }
     )
+    west, east, south, north = (F.col(c) for c in ("_west", "_east", "_south", "_north"))
+
+    def in_reach(e: Column) -> Column:
+        return (
+            (F.greatest(e["y1"], e["y2"]) >= south)
+            & (F.least(e["y1"], e["y2"]) <= north)
+            & (F.greatest(e["x1"], e["x2"]) >= west)
+        )
+
+    reach = F.filter(edges(F.col(rings)), in_reach)
     covers = covers.withColumn("_sides", reach).where(F.size("_sides") > 0).drop(rings)
+    entered = F.exists("_sides", lambda e: F.least(e["x1"], e["x2"]) <= east)
+    middle = ((west + east) / 2, (south + north) / 2)
+    covers = covers.withColumn("_cut", entered).where(
+        F.col("_cut") | crossings_odd(F.col("_sides"), *middle)
+    )
+    covers = covers.withColumn("_sides", F.when(F.col("_cut"), F.col("_sides"))).drop(
+        "_west", "_east", "_south", "_north"
+    )
     pairs = _meet(points, covers, box, lon, lat, cell, salt)
-    found = pairs.where(contains(F.col("_sides"), F.col(lon), F.col(lat))).drop(
-        "_sides", *box, *_KEYS
+    inside = contains(F.col("_sides"), F.col(lon), F.col(lat))
+    found = pairs.where(F.when(F.col("_cut"), inside).otherwise(True)).drop(
+        "_sides", "_cut", *box, *_KEYS
     )
     if how == "inner":
         return found
@@ -245,11 +264,8 @@ def clip_lines(
     area_levels = areas.agg(F.collect_set("_own")).scalar()
 
     def at_levels(df: DataFrame, corners, others: Column) -> DataFrame:
-        coarser = F.filter(others, lambda level: level > F.col("_own"))
-        listed = df.withColumn(
-            "_level", F.explode(F.array_union(F.array("_own"), coarser))
-        )
-        return _cover(listed, corners, cell)
+        listed = df.withColumn("_level", F.explode(F.array_union(F.array("_own"), others)))
+        return _cover(listed.where(F.col("_level") >= F.col("_own")), corners, cell)
 
     a = at_levels(segs, seg_box, area_levels).withColumnRenamed("_own", "_seg_level")
     b = at_levels(areas, box, seg_levels).withColumnRenamed("_own", "_box_level")
