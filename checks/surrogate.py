@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbside.operators.curate import curate
+from kerbside.sources.tables import read_curated
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,5 +90,16 @@ def raw_crashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_WRITTEN: dict[str, str] = {}
+
+
+def use_curated(sf_dir: str, path: str) -> None:
+    """Let the queries on ``sf_dir`` start from a curated table written to ``path``."""
+    _WRITTEN[sf_dir] = path
+
+
 def crashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curated crash table."""
+    if sf_dir in _WRITTEN:
+        return read_curated(spark, _WRITTEN[sf_dir])
     return curate(raw_crashes(spark, sf_dir))

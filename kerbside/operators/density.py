@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kerbside.operators.lineage import checkpointed
+
 BINS = 1024
 
 
@@ -110,7 +112,8 @@ def kde_grid(
     Points at the same place are counted first. The kernel is a product of one factor per
     axis, so a task adds its batches into one matrix by a matrix product and emits that
     matrix once; the partial matrices are summed by node. The result is ``ix, iy, x, y, z``
-    with 1-based ``ix`` and ``iy``.
+    with 1-based ``ix`` and ``iy``, checkpointed: it has ``n * n`` rows whatever the input,
+    and what follows (classes, outlines) uses it more than once.
     """
     points = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py")
@@ -149,12 +152,15 @@ def kde_grid(
     parts = places.mapInArrow(partial, "ix int, iy int, z double")
     dx = (row["x1"] - row["x0"]) / (n - 1)
     dy = (row["y1"] - row["y0"]) / (n - 1)
-    return parts.groupBy("ix", "iy").agg((F.sum("z") * scale).alias("z")).select(
-        "ix",
-        "iy",
-        (F.lit(row["x0"]) + (F.col("ix") - 1) * dx).alias("x"),
-        (F.lit(row["y0"]) + (F.col("iy") - 1) * dy).alias("y"),
-        "z",
+    nodes = parts.groupBy("ix", "iy").agg((F.sum("z") * scale).alias("z"))
+    return checkpointed(
+        nodes.select(
+            "ix",
+            "iy",
+            (F.lit(row["x0"]) + (F.col("ix") - 1) * dx).alias("x"),
+            (F.lit(row["y0"]) + (F.col("iy") - 1) * dy).alias("y"),
+            "z",
+        )
     )
 
 

@@ -137,7 +137,7 @@ def hex_grid(
         ),
     )
     # one row per grid line so far: spread them before each becomes a line of cells
-    rows = rows.repartition("r")
+    rows = rows.repartition(int(areas.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     width = radius * math.sqrt(3)
     cells = rows.withColumn(
         "q",

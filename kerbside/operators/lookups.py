@@ -54,11 +54,9 @@ def with_race(df: DataFrame, code_col: str, out: str) -> DataFrame:
 def translate(
     df: DataFrame, dim: DataFrame, col: str, out: str, key: str = "en", value: str = "es"
 ) -> DataFrame:
-    """Value of the row of ``dim`` that matches ``col``; null where none does.
-
-    ``key`` must be unique in ``dim``. ``dim`` is one of the fixed inline tables.
-    """
-    small = F.broadcast(dim.select(F.col(key).alias("_key"), F.col(value).alias(out)))
+    """Value of the row of ``dim`` that matches ``col``; null where none does. ``key`` must
+    be unique in ``dim``."""
+    small = dim.select(F.col(key).alias("_key"), F.col(value).alias(out))
     return df.join(small, df[col].eqNullSafe(small["_key"]), "left").drop("_key")
 
 

@@ -2,24 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in ``spark.checkpoint.dir``. Only a local session
-    that names none gets a folder of its own."""
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        folder = tempfile.mkdtemp(prefix="checkpoint-")
-    context.setCheckpointDir(folder)
+from kerbside.operators.lineage import checkpointed
 
 
 def network_reach(
@@ -34,25 +20,22 @@ def network_reach(
     the work follows the walking area and not the network. The table of distances is
     checkpointed every round: a lost executor costs one round, and the plan stays short.
     """
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
     steps = edges.where(F.col("length") <= max_m).select("src", "dst", "length")
     if not directed:
         steps = steps.unionByName(
             steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "length")
         )
     # parallel edges and loops never shorten a way: keep the shortest of each pair
-    steps = (
+    steps = checkpointed(
         steps.where(F.col("src") != F.col("dst"))
         .groupBy("src", "dst")
         .agg(F.min("length").cast("double").alias("length"))
-        .checkpoint()
     )
-    known = (
+    never = F.lit(None).cast("double")
+    known = checkpointed(
         sources.select("source", "node")
         .distinct()
-        .select("source", "node", F.lit(0.0).alias("distance"), F.lit(None).cast("double").alias("old"))
-        .checkpoint()
+        .withColumns({"distance": F.lit(0.0), "old": never})
     )
     while True:
         front = known.where(F.col("old").isNull() | (F.col("distance") < F.col("old")))
@@ -64,14 +47,13 @@ def network_reach(
             .select(
                 "source", F.col("dst").alias("node"),
                 (F.col("distance") + F.col("length")).alias("distance"),
-                F.lit(None).cast("double").alias("old"),
+                never.alias("old"),
             )
             .where(F.col("distance") <= max_m)
         )
         kept = known.select("source", "node", "distance", F.col("distance").alias("old"))
-        known = (
+        known = checkpointed(
             kept.unionByName(walked)
             .groupBy("source", "node")
             .agg(F.min("distance").alias("distance"), F.min("old").alias("old"))
-            .checkpoint()
         )

@@ -6,13 +6,19 @@ lowest level at which its box spans at most ``SPAN`` cells per side. So an area
 has at most ``(SPAN + 1) ** 2`` rows, without a cap on size or partners, and points are
 listed once per level that some area uses (usually one).
 
-No side is forced into a broadcast: Catalyst does that by size. In a shuffled join a cell
-that holds a large part of the points is split by AQE's skew join; ``salt`` spreads every
-cell over that many tasks up front, at the price of that many copies of the areas.
+The rows an area list makes are counted before the join (one small job on the areas alone,
+because Catalyst does not see how far ``explode`` multiplies rows). Up to
+``BROADCAST_BYTES`` the list is broadcast and the points are not shuffled. Above that the
+join is a sort-merge join, in which AQE splits a cell that holds a large part of the points;
+``salt`` spreads every cell over that many tasks up front, at the price of that many copies
+of the areas.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +34,7 @@ from kerbside.functions.rings import (
 )
 
 SPAN = 16
+BROADCAST_BYTES = 64 * 1024 * 1024
 BOX = ("left", "bottom", "right", "top")
 _KEYS = ["_level", "_cx", "_cy", "_salt"]
 
@@ -51,8 +58,14 @@ def _with_level(df: DataFrame, box: tuple[str, str, str, str], cell: float) -> D
     )
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A short table over all tasks, before each of its rows becomes many."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _cover(df: DataFrame, box: tuple[str, str, str, str], cell: float) -> DataFrame:
     """One row per cell of the row's own ``_level`` that its box touches."""
+    df = _spread(df)
     x0, y0, x1, y1 = (F.col(c) for c in box)
     size = _size_of(F.col("_level"), cell)
     across = F.sequence(_cell(x0, size), _cell(x1, size))
@@ -64,6 +77,24 @@ def _levels_of(df: DataFrame) -> Column:
     return df.agg(F.collect_set("_level")).scalar()
 
 
+def _n_cells(box: tuple[str, str, str, str], size: Column) -> Column:
+    x0, y0, x1, y1 = (F.col(c) for c in box)
+    return (_cell(x1, size) - _cell(x0, size) + 1) * (_cell(y1, size) - _cell(y0, size) + 1)
+
+
+def _by_size(covers: DataFrame, bound: DataFrame, copies: int = 1) -> DataFrame:
+    """``covers`` marked for a broadcast if ``bound`` (one value: its bytes at most) allows
+    it, else for a sort-merge join."""
+    size = (bound.first()[0] or 0) * copies
+    return F.broadcast(covers) if size <= BROADCAST_BYTES else covers.hint("merge")
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row's values, generously: 64 for each, and the length of its texts."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t == "string"]
+    return reduce(lambda a, b: a + b, texts, F.lit(64 * (len(df.columns) + len(_KEYS))))
+
+
 def _salted(points: DataFrame, areas: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:
     if salt == 1:
         return points.withColumn("_salt", F.lit(0)), areas.withColumn("_salt", F.lit(0))
@@ -72,32 +103,42 @@ def _salted(points: DataFrame, areas: DataFrame, salt: int) -> tuple[DataFrame,
     return points.withColumn("_salt", spread), areas.withColumn("_salt", copies)
 
 
-def _meet(
-    points: DataFrame,
-    areas: DataFrame,
-    box: tuple[str, str, str, str],
-    lon: str,
-    lat: str,
-    cell: float,
-    salt: int,
-) -> DataFrame:
-    """Pairs of an area's cell row and a point in that cell."""
-    extent = areas.agg(
+class _Listing(NamedTuple):
+    """Areas, and the grid cells each is listed under."""
+
+    areas: DataFrame  # one row per area, with its _level and box
+    cells: DataFrame  # one row per area and cell
+    row_bytes: Column  # what a cell row holds at most, over ``areas``
+    box: tuple[str, str, str, str]
+    cell: float
+
+
+def _near(points: DataFrame, listing: _Listing, lon: str, lat: str) -> DataFrame:
+    """Points in the box around all areas, each under its cell at every level in use."""
+    box, size = listing.box, _size_of(F.col("_level"), listing.cell)
+    around = listing.areas.agg(
         F.struct(
             F.min(box[0]).alias("x0"), F.min(box[1]).alias("y0"),
             F.max(box[2]).alias("x1"), F.max(box[3]).alias("y1"),
         )
     ).scalar()
     near = points.where(
-        F.col(lon).between(extent["x0"], extent["x1"])
-        & F.col(lat).between(extent["y0"], extent["y1"])
+        F.col(lon).between(around["x0"], around["x1"])
+        & F.col(lat).between(around["y0"], around["y1"])
     )
-    keyed, covers = _salted(near, areas, salt)
-    size = _size_of(F.col("_level"), cell)
-    keyed = keyed.withColumn("_level", F.explode(_levels_of(areas))).withColumns(
+    return near.withColumn("_level", F.explode(_levels_of(listing.areas))).withColumns(
         {"_cx": _cell(F.col(lon), size), "_cy": _cell(F.col(lat), size)}
     )
-    return keyed.join(covers, _KEYS)
+
+
+def _meet(
+    points: DataFrame, listing: _Listing, lon: str, lat: str, salt: int
+) -> DataFrame:
+    """Pairs of an area's cell row and a point in that cell."""
+    keyed, listed = _salted(_near(points, listing, lon, lat), listing.cells, salt)
+    size = _size_of(F.col("_level"), listing.cell)
+    bound = listing.areas.agg(F.sum(_n_cells(listing.box, size) * listing.row_bytes))
+    return keyed.join(_by_size(listed, bound, salt), _KEYS)
 
 
 def points_in_boxes(
@@ -113,14 +154,57 @@ def points_in_boxes(
 
     ``cell`` (in the units of the coordinates) is best near the usual box size / 4.
     """
-    covers = _cover(_with_level(boxes, box, cell), box, cell)
-    pairs = _meet(points, covers, box, lon, lat, cell, salt)
+    areas = _with_level(boxes, box, cell)
+    listing = _Listing(areas, _cover(areas, box, cell), _row_bytes(areas), box, cell)
+    pairs = _meet(points, listing, lon, lat, salt)
     return pairs.where(
         F.col(lon).between(F.col(box[0]), F.col(box[2]))
         & F.col(lat).between(F.col(box[1]), F.col(box[3]))
     ).drop(*_KEYS)
 
 
+def _polygon_cells(polygons: DataFrame, rings: str, cell: float) -> _Listing:
+    """Cells of each polygon. A cell that no side enters (not ``_cut``) is wholly inside, or
+    is left out. A cut cell carries only the sides a ray from it can meet (``_sides``):
+    first those that reach the cell's row of cells, of these the ones not west of the cell.
+    """
+    shapes = polygons.where(is_non_empty(F.col(rings)))
+    boxed = shapes.withColumns({f"_{k}": c for k, c in envelope(F.col(rings)).items()})
+    box = ("_x0", "_y0", "_x1", "_y1")
+    areas = _with_level(boxed, box, cell)
+    row_bytes = _row_bytes(areas.drop(rings)) + 64 * F.size(F.flatten(rings))
+    size = _size_of(F.col("_level"), cell)
+    sides, x0, y0, x1, y1 = (F.col(c) for c in ("_sides", *box))
+    rows = (
+        _spread(areas.withColumn("_sides", edges(F.col(rings))).drop(rings))
+        .withColumn("_cy", F.explode(F.sequence(_cell(y0, size), _cell(y1, size))))
+        .withColumns({"_south": F.col("_cy") * size, "_north": (F.col("_cy") + 1) * size})
+    )
+    south, north = F.col("_south"), F.col("_north")
+    in_row = F.filter(
+        sides,
+        lambda e: (F.greatest(e["y1"], e["y2"]) >= south) & (F.least(e["y1"], e["y2"]) <= north),
+    )
+    cells = (
+        rows.withColumn("_sides", in_row)
+        .withColumn("_cx", F.explode(F.sequence(_cell(x0, size), _cell(x1, size))))
+        .withColumns({"_west": F.col("_cx") * size, "_east": (F.col("_cx") + 1) * size})
+    )
+    west, east = F.col("_west"), F.col("_east")
+    cells = cells.withColumn(
+        "_sides", F.filter(sides, lambda e: F.greatest(e["x1"], e["x2"]) >= west)
+    ).where(F.size("_sides") > 0)
+    entered = F.exists(sides, lambda e: F.least(e["x1"], e["x2"]) <= east)
+    middle = ((west + east) / 2, (south + north) / 2)
+    cells = (
+        cells.withColumn("_cut", entered)
+        .where(F.col("_cut") | crossings_odd(sides, *middle))
+        .withColumn("_sides", F.when(F.col("_cut"), sides))
+        .drop("_west", "_east", "_south", "_north")
+    )
+    return _Listing(areas, cells, row_bytes, box, cell)
+
+
 def points_in_polygons(
     polygons: DataFrame,
     points: DataFrame,
@@ -134,45 +218,15 @@ def points_in_polygons(
 ) -> DataFrame:
     """Every (polygon, point) pair with the point strictly inside.
 
-    A cell that no side enters is wholly inside or outside, which is found out once per
-    cell; its points need no test. Other cell rows carry only the sides a ray from that cell
-    can meet, so the exact test of a point does not walk the whole outline. ``how="left"``
-    also keeps polygons without a point (``key`` identifies a polygon).
+    Points in a cell wholly inside need no test; the others are tested against the few sides
+    near their cell, not the whole outline. ``how="left"`` also keeps polygons without a
+    point (``key`` identifies a polygon).
     """
-    shapes = polygons.where(is_non_empty(F.col(rings)))
-    boxed = shapes.withColumns({f"_{k}": c for k, c in envelope(F.col(rings)).items()})
-    box = ("_x0", "_y0", "_x1", "_y1")
-    covers = _cover(_with_level(boxed, box, cell), box, cell)
-    size = _size_of(F.col("_level"), cell)
-    covers = covers.withColumns(
-        {
-            "_west": F.col("_cx") * size, "_east": (F.col("_cx") + 1) * size,
-            "_south": F.col("_cy") * size, "_north": (F.col("_cy") + 1) * size,
-        }
-    )
-    west, east, south, north = (F.col(c) for c in ("_west", "_east", "_south", "_north"))
-
-    def in_reach(e: Column) -> Column:
-        return (
-            (F.greatest(e["y1"], e["y2"]) >= south)
-            & (F.least(e["y1"], e["y2"]) <= north)
-            & (F.greatest(e["x1"], e["x2"]) >= west)
-        )
-
-    reach = F.filter(edges(F.col(rings)), in_reach)
-    covers = covers.withColumn("_sides", reach).where(F.size("_sides") > 0).drop(rings)
-    entered = F.exists("_sides", lambda e: F.least(e["x1"], e["x2"]) <= east)
-    middle = ((west + east) / 2, (south + north) / 2)
-    covers = covers.withColumn("_cut", entered).where(
-        F.col("_cut") | crossings_odd(F.col("_sides"), *middle)
-    )
-    covers = covers.withColumn("_sides", F.when(F.col("_cut"), F.col("_sides"))).drop(
-        "_west", "_east", "_south", "_north"
-    )
-    pairs = _meet(points, covers, box, lon, lat, cell, salt)
+    listing = _polygon_cells(polygons, rings, cell)
+    pairs = _meet(points, listing, lon, lat, salt)
     inside = contains(F.col("_sides"), F.col(lon), F.col(lat))
     found = pairs.where(F.when(F.col("_cut"), inside).otherwise(True)).drop(
-        "_sides", "_cut", *box, *_KEYS
+        "_sides", "_cut", *listing.box, *_KEYS
     )
     if how == "inner":
         return found
@@ -185,20 +239,33 @@ def area_counts(
     polygons: DataFrame,
     points: DataFrame,
     key: str,
+    rings: str = "rings",
     lon: str = "longitude",
     lat: str = "latitude",
     out: str = "crash_count",
-    **options,
+    cell: float = 0.01,
+    salt: int = 1,
 ) -> DataFrame:
     """Number of points inside each polygon, zero for a polygon without one.
 
-    Points at the same place are counted together before the join.
+    Points at one place are counted together first. A cell wholly inside a polygon adds the
+    cell's total, so only points in cut cells are paired with polygons.
     """
+    listing = _polygon_cells(polygons.select(key, rings), rings, cell)
     places = points.groupBy(lon, lat).agg(F.count(F.lit(1)).alias("_n"))
-    found = points_in_polygons(polygons, places, key, lon=lon, lat=lat, **options)
-    totals = found.groupBy(key).agg(F.sum("_n").alias(out))
-    kept = polygons.drop(options.get("rings", "rings"))
-    return kept.join(totals, key, "left").withColumn(out, F.coalesce(out, F.lit(0)))
+    cut = listing._replace(cells=listing.cells.where(F.col("_cut")))
+    pairs = _meet(places, cut, lon, lat, salt)
+    tested = pairs.where(contains(F.col("_sides"), F.col(lon), F.col(lat))).select(key, "_n")
+    per_cell = ["_level", "_cx", "_cy"]
+    cells = _near(places, listing, lon, lat).groupBy(*per_cell).agg(F.sum("_n").alias("_n"))
+    whole = listing.cells.where(~F.col("_cut")).select(key, *per_cell)
+    covered = cells.join(whole, per_cell).select(key, "_n")
+    totals = tested.unionByName(covered).groupBy(key).agg(F.sum("_n").alias(out))
+    return (
+        polygons.drop(rings)
+        .join(totals, key, "left")
+        .withColumn(out, F.coalesce(out, F.lit(0)))
+    )
 
 
 def segments_of(lines: DataFrame, path: str = "path") -> DataFrame:
@@ -269,8 +336,12 @@ def clip_lines(
 
     a = at_levels(segs, seg_box, area_levels).withColumnRenamed("_own", "_seg_level")
     b = at_levels(areas, box, seg_levels).withColumnRenamed("_own", "_box_level")
-    pairs = a.join(b, ["_level", "_cx", "_cy"])
     size = _size_of(F.col("_level"), cell)
+    n_levels = F.size(seg_levels) + 1
+    bound = areas.select("*", F.col("_own").alias("_level"), n_levels.alias("_n")).agg(
+        F.sum(_n_cells(box, size) * F.col("_n") * _row_bytes(areas))
+    )
+    pairs = a.join(_by_size(b, bound), ["_level", "_cx", "_cy"])
     x0 = F.greatest(F.col("_sx0"), F.col(box[0]))
     y0 = F.greatest(F.col("_sy0"), F.col(box[1]))
     once = pairs.where(
