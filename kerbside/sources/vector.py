@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FEATURE = (
-    "properties: map<string,string>, geometry: struct<type:string,coordinates:string>"
-)
+_FEATURE = {
+    "properties": "map<string,string>",
+    "geometry": "struct<type:string,coordinates:string>",
+}
 _PATH = "array<array<double>>"
 _POLYGON = f"array<{_PATH}>"
 _MULTI_POLYGON = f"array<{_POLYGON}>"
@@ -30,12 +31,14 @@ def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     whole by one task; a file with one feature per line (``lines=True``) is split.
     """
     if lines:
-        features = spark.read.schema(FEATURE).json(path).select(
+        schema = ", ".join(f"{name} {kind}" for name, kind in _FEATURE.items())
+        features = spark.read.schema(schema).json(path).select(
             "*", F.col("_metadata.file_name").alias("file_name")
         )
     else:
+        fields = ",".join(f"{name}:{kind}" for name, kind in _FEATURE.items())
         features = (
-            spark.read.schema(f"features array<struct<{FEATURE}>>")
+            spark.read.schema(f"features array<struct<{fields}>>")
             .option("multiLine", True)
             .json(path)
             .select(F.explode("features").alias("f"), F.col("_metadata.file_name").alias("file_name"))
