@@ -14,7 +14,9 @@ from checks.tables import (
     _MEAN,
     _POP,
     _RATES,
+    _SEVERE_YEAR,
     _SPAN,
+    _TOP,
     _WINDOW,
     ROW,
     ROW_COLS,
@@ -44,6 +46,7 @@ from kerbside.operators import (
     spatial,
     summaries,
 )
+from kerbside.plans import county, maps
 from kerbside.plans.runs import schools_of_run
 from kerbside.sources import dims, sinks
 
@@ -332,25 +335,39 @@ def calendar_columns(spark, sf):
     ).distinct()
 
 
-@query(
-    "drop_totals",
-    "WITH counted AS (SELECT year(o_orderdate)::INTEGER AS year_code, o_orderpriority AS cause, "
-    "count(*) AS deaths FROM orders GROUP BY ALL) "
-    "SELECT year_code::VARCHAR AS year, year_code, cause, deaths FROM counted",
-)
-def drop_totals(spark, sf):
+def published_table(spark, sf) -> DataFrame:
+    """Orders per year and priority with total rows, like a published table of deaths."""
     counted = (
         table(spark, sf, "orders")
         .groupBy(F.year("o_orderdate").alias("year_code"), F.col("o_orderpriority").alias("cause"))
         .agg(F.count(F.lit(1)).alias("deaths"))
     )
-    published = counted.rollup("year_code", "cause").agg(F.sum("deaths").alias("deaths")).select(
+    return counted.rollup("year_code", "cause").agg(F.sum("deaths").alias("deaths")).select(
         F.coalesce(F.col("year_code").cast("string"), F.lit("Total")).alias("year"),
         "year_code",
         F.coalesce("cause", F.lit("Total")).alias("cause"),
         "deaths",
     )
-    return filters.drop_totals(published, "year", "cause")
+
+
+@query(
+    "drop_totals",
+    "WITH counted AS (SELECT year(o_orderdate)::INTEGER AS year_code, o_orderpriority AS cause, "
+    "count(*) AS deaths FROM orders GROUP BY ALL) "
+    "SELECT year_code::VARCHAR AS year, year_code, cause, deaths FROM counted",
+)
+def drop_totals(spark, sf):
+    return filters.drop_totals(published_table(spark, sf), "year", "cause")
+
+
+@query(
+    "latest_of_published",
+    "SELECT o_orderpriority AS cause, count(*) AS deaths FROM orders "
+    "WHERE year(o_orderdate) = 2000 GROUP BY ALL",
+)
+def latest_of_published(spark, sf):
+    rows = filters.of_year(published_table(spark, sf), 2000, "year")
+    return filters.drop_totals(rows, "cause").select("cause", "deaths")
 
 
 @query(
@@ -477,7 +494,12 @@ def school_crash_counts(spark, sf):
     return summaries.count_by(near, ["NCES_CODE", "ped_inj_name"])
 
 
-_LISTED = "listed AS (SELECT path FROM boxed WHERE school_id % 3 <> 0)"
+@query("school_count", with_schools("SELECT count(DISTINCT NCES_CODE) AS n FROM valid"))
+def school_count(spark, sf):
+    return lookups.distinct_count(filters.valid_schools(school_table(spark, sf)), "NCES_CODE")
+
+
+_LISTED = "listed AS (SELECT path FROM boxed WHERE VIRTUAL = 'No')"
 
 
 @query(
@@ -488,7 +510,7 @@ _LISTED = "listed AS (SELECT path FROM boxed WHERE school_id % 3 <> 0)"
 )
 def manifest(spark, sf):
     expected = schools_of_run(school_table(spark, sf), ALL_SCHOOLS)
-    listing = expected.where(F.col("school_id") % 3 != 0).select("path")
+    listing = expected.where(F.col("VIRTUAL") == "No").select("path")
     return schools.manifest(expected, listing).select("NCES_CODE", "path", "exists")
 
 
@@ -501,7 +523,7 @@ def manifest(spark, sf):
 )
 def districts_not_done(spark, sf):
     expected = schools_of_run(school_table(spark, sf), ALL_SCHOOLS)
-    listing = expected.where(F.col("school_id") % 3 != 0).select("path")
+    listing = expected.where(F.col("VIRTUAL") == "No").select("path")
     return schools.districts_not_done(schools.manifest(expected, listing))
 
 
@@ -792,6 +814,43 @@ def extent_by_city(spark, sf):
     return rounded(spatial.extent(crashes(spark, sf), ("MUNINAME",)), *spatial.BOX)
 
 
+_CITY = (
+    "city AS (SELECT MUNINAME AS city, min(longitude) AS l, min(latitude) AS b, "
+    "max(longitude) AS r, max(latitude) AS t FROM crashes GROUP BY MUNINAME)"
+)
+
+
+@query(
+    "city_maps",
+    on_crashes(
+        f"SELECT city, {ROW}, ped_inj_name FROM city JOIN crashes ON longitude BETWEEN l AND r "
+        "AND latitude BETWEEN b AND t WHERE year = 1999 "
+        "AND ((ROLE1 IN ('BIKE', 'PED') AND INJSVR1 IN ('A', 'K')) "
+        "OR (ROLE2 IN ('BIKE', 'PED') AND INJSVR2 IN ('A', 'K')))",
+        _CITY,
+    ),
+)
+def city_maps(spark, sf):
+    out = maps.city_maps(crashes(spark, sf), year=1999)
+    return out.select("city", *ROW_COLS, "ped_inj_name")
+
+
+@query(
+    "municipality_maps",
+    on_crashes(
+        f"SELECT GEOID, {ROW}, ped_inj_name FROM tract JOIN crashes "
+        "ON longitude BETWEEN cx - s - 1000 / 111320e0 / cos(radians(cy + s)) "
+        "AND cx + s + 1000 / 111320e0 / cos(radians(cy + s)) "
+        "AND latitude BETWEEN cy - s - 1000 / 111320e0 AND cy + s + 1000 / 111320e0 "
+        "WHERE ROLE1 IN ('BIKE', 'PED') OR ROLE2 IN ('BIKE', 'PED')",
+        TRACTS.split("sides AS (")[0].rstrip().rstrip(","),
+    ),
+)
+def municipality_maps(spark, sf):
+    out = maps.municipality_maps(tract_table(spark, sf), crashes(spark, sf))
+    return out.select("GEOID", *ROW_COLS, "ped_inj_name")
+
+
 _CLIP = (
     "d AS (SELECT line_id, county_file, x1, y1, x2 - x1 AS dx, y2 - y1 AS dy, NCES_CODE, COUNTY, "
     "\"left\" AS l, bottom AS b, \"right\" AS r, top AS t FROM seg, boxed), "
@@ -1209,3 +1268,36 @@ def lengthen(spark, sf):
     wide = reshape.widen(counts, ["CNTYNAME"], "vulnerable_role", "count", roles)
     filled = reshape.row_total(reshape.zero_fill(wide, ["CNTYNAME"]), roles)
     return reshape.lengthen(filled, ["CNTYNAME"], [*roles, "total"])
+
+
+# ---- whole reports ---------------------------------------------------------------------------------------------
+
+
+@query(
+    "county_comparison",
+    on_crashes(
+        "SELECT s.County, s.year_x, s.TotalCrashes, "
+        "round(s.TotalCrashes / (p.value / 100000e0), 6) AS CrashesPerPopulation "
+        "FROM sev s LEFT JOIN pop p ON s.County = p.County WHERE EXISTS "
+        "(SELECT 1 FROM top WHERE top.CNTYNAME IS NOT DISTINCT FROM s.County)",
+        _POP, _SEVERE_YEAR, _TOP,
+    ),
+)
+def county_comparison(spark, sf):
+    out = county.county_comparison(crashes(spark, sf), population(spark, sf))
+    return rounded(
+        out.select("County", "year_x", "TotalCrashes", "CrashesPerPopulation"), "CrashesPerPopulation"
+    )
+
+
+@query(
+    "county_report_years",
+    on_crashes(
+        "SELECT year, CASE WHEN MUNINAME = 'MACHINERY' THEN 'City of Machinery' "
+        "ELSE 'Other municipalities' END AS city, CASE WHEN MUNINAME = 'MACHINERY' THEN 2 ELSE 1 "
+        "END::INTEGER AS city_rank, count(*) AS total FROM crashes WHERE CNTYNAME = 'NATION_3' "
+        "AND month <= 9 AND ped_inj IN ('K', 'A') GROUP BY ALL"
+    ),
+)
+def county_report_years(spark, sf):
+    return county.county_report(crashes(spark, sf), "NATION_3", "MACHINERY")["years_city"]

@@ -149,6 +149,8 @@ def kde_grid(
             )
 
     places = points.groupBy("px", "py").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    # few bytes but much work per place: keep all tasks busy however short the table is
+    places = places.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     parts = places.mapInArrow(partial, "ix int, iy int, z double")
     dx = (row["x1"] - row["x0"]) / (n - 1)
     dy = (row["y1"] - row["y0"]) / (n - 1)

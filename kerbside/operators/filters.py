@@ -127,6 +127,11 @@ def drop_totals(df: DataFrame, *cols: str, label: str = "Total") -> DataFrame:
     return df
 
 
+def of_year(df: DataFrame, year: int | str, col: str = "Year") -> DataFrame:
+    """Rows of one year of a published table, whose year is text."""
+    return df.where(F.col(col) == str(year))
+
+
 def point_layer(
     df: DataFrame,
     box: Box,

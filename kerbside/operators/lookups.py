@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.functions.nulls import as_col
+from kerbside.functions.nulls import as_col, n_distinct
 from kerbside.sources.dims import RACE, SEVERITY
 
 
@@ -85,3 +85,8 @@ def _filter_join(df: DataFrame, other: DataFrame, key: str, how: str) -> DataFra
 
 def distinct_values(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*cols).distinct()
+
+
+def distinct_count(df: DataFrame, col: str, out: str = "n") -> DataFrame:
+    """One row: number of distinct values, null being one of them."""
+    return df.agg(n_distinct(col).alias(out))

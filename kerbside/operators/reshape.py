@@ -50,10 +50,18 @@ def complete(
     ``dims`` gives the levels of each column as an array value. A null counts as a further
     level for the keys that have one. The combinations come from exploding the arrays on
     the distinct keys; the rows of ``df`` are already grouped, so both sides are small.
+
+    Both sides read the same columns of ``df``, so that Spark computes its grouping once and
+    reuses the exchange.
     """
     keys, names = list(keys), list(dims)
-    grid = df.groupBy(*keys).agg(
-        *[F.max(F.col(c).isNull()).alias(f"_null_{c}") for c in names]
+    grid = (
+        df.groupBy(*keys)
+        .agg(
+            *[F.max(F.col(c).isNull()).alias(f"_null_{c}") for c in names],
+            F.max(fill).alias("_most"),
+        )
+        .where(F.col("_most").isNotNull())
     )
     for c, levels in dims.items():
         none = F.lit(None).cast(df.schema[c].dataType)

@@ -6,9 +6,10 @@ lowest level at which its box spans at most ``SPAN`` cells per side. So an area
 has at most ``(SPAN + 1) ** 2`` rows, without a cap on size or partners, and points are
 listed once per level that some area uses (usually one).
 
-The rows an area list makes are counted before the join (one small job on the areas alone,
-because Catalyst does not see how far ``explode`` multiplies rows). Up to
-``BROADCAST_BYTES`` the list is broadcast and the points are not shuffled. Above that the
+The areas are used several times (levels, extent, size, cells), so they are checkpointed:
+boxes computed from a large table cost one pass over it. The rows their list makes are
+counted before the join, because Catalyst does not see how far ``explode`` multiplies rows.
+Up to ``BROADCAST_BYTES`` the list is broadcast and the points are not shuffled. Above that the
 join is a sort-merge join, in which AQE splits a cell that holds a large part of the points;
 ``salt`` spreads every cell over that many tasks up front, at the price of that many copies
 of the areas.
@@ -32,6 +33,7 @@ from kerbside.functions.rings import (
     is_non_empty,
     ring_area,
 )
+from kerbside.operators.lineage import checkpointed
 
 SPAN = 16
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -82,10 +84,9 @@ def _n_cells(box: tuple[str, str, str, str], size: Column) -> Column:
     return (_cell(x1, size) - _cell(x0, size) + 1) * (_cell(y1, size) - _cell(y0, size) + 1)
 
 
-def _by_size(covers: DataFrame, bound: DataFrame, copies: int = 1) -> DataFrame:
-    """``covers`` marked for a broadcast if ``bound`` (one value: its bytes at most) allows
-    it, else for a sort-merge join."""
-    size = (bound.first()[0] or 0) * copies
+def _by_size(covers: DataFrame, size: int) -> DataFrame:
+    """``covers``, at most ``size`` bytes, marked for a broadcast if that is little, else for
+    a sort-merge join."""
     return F.broadcast(covers) if size <= BROADCAST_BYTES else covers.hint("merge")
 
 
@@ -108,11 +109,20 @@ class _Listing(NamedTuple):
 
     areas: DataFrame  # one row per area, with its _level and box
     cells: DataFrame  # one row per area and cell
-    row_bytes: Column  # what a cell row holds at most, over ``areas``
+    size: int  # bytes of ``cells`` at most
     box: tuple[str, str, str, str]
     cell: float
 
 
+def _listing(
+    areas: DataFrame, cells: DataFrame, row_bytes: Column, box, cell: float
+) -> _Listing:
+    """``row_bytes`` is what a cell row of an area holds at most."""
+    n_cells = _n_cells(box, _size_of(F.col("_level"), cell))
+    size = areas.agg(F.sum(n_cells * row_bytes)).first()[0] or 0
+    return _Listing(areas, cells, size, box, cell)
+
+
 def _near(points: DataFrame, listing: _Listing, lon: str, lat: str) -> DataFrame:
     """Points in the box around all areas, each under its cell at every level in use."""
     box, size = listing.box, _size_of(F.col("_level"), listing.cell)
@@ -136,9 +146,7 @@ def _meet(
 ) -> DataFrame:
     """Pairs of an area's cell row and a point in that cell."""
     keyed, listed = _salted(_near(points, listing, lon, lat), listing.cells, salt)
-    size = _size_of(F.col("_level"), listing.cell)
-    bound = listing.areas.agg(F.sum(_n_cells(listing.box, size) * listing.row_bytes))
-    return keyed.join(_by_size(listed, bound, salt), _KEYS)
+    return keyed.join(_by_size(listed, listing.size * salt), _KEYS)
 
 
 def points_in_boxes(
@@ -154,8 +162,8 @@ def points_in_boxes(
 
     ``cell`` (in the units of the coordinates) is best near the usual box size / 4.
     """
-    areas = _with_level(boxes, box, cell)
-    listing = _Listing(areas, _cover(areas, box, cell), _row_bytes(areas), box, cell)
+    areas = checkpointed(_with_level(boxes, box, cell))
+    listing = _listing(areas, _cover(areas, box, cell), _row_bytes(areas), box, cell)
     pairs = _meet(points, listing, lon, lat, salt)
     return pairs.where(
         F.col(lon).between(F.col(box[0]), F.col(box[2]))
@@ -171,7 +179,7 @@ def _polygon_cells(polygons: DataFrame, rings: str, cell: float) -> _Listing:
     shapes = polygons.where(is_non_empty(F.col(rings)))
     boxed = shapes.withColumns({f"_{k}": c for k, c in envelope(F.col(rings)).items()})
     box = ("_x0", "_y0", "_x1", "_y1")
-    areas = _with_level(boxed, box, cell)
+    areas = checkpointed(_with_level(boxed, box, cell))
     row_bytes = _row_bytes(areas.drop(rings)) + 64 * F.size(F.flatten(rings))
     size = _size_of(F.col("_level"), cell)
     sides, x0, y0, x1, y1 = (F.col(c) for c in ("_sides", *box))
@@ -202,7 +210,7 @@ def _polygon_cells(polygons: DataFrame, rings: str, cell: float) -> _Listing:
         .withColumn("_sides", F.when(F.col("_cut"), sides))
         .drop("_west", "_east", "_south", "_north")
     )
-    return _Listing(areas, cells, row_bytes, box, cell)
+    return _listing(areas, cells, row_bytes, box, cell)
 
 
 def points_in_polygons(
@@ -259,7 +267,7 @@ def area_counts(
     per_cell = ["_level", "_cx", "_cy"]
     cells = _near(places, listing, lon, lat).groupBy(*per_cell).agg(F.sum("_n").alias("_n"))
     whole = listing.cells.where(~F.col("_cut")).select(key, *per_cell)
-    covered = cells.join(whole, per_cell).select(key, "_n")
+    covered = cells.join(_by_size(whole, listing.size), per_cell).select(key, "_n")
     totals = tested.unionByName(covered).groupBy(key).agg(F.sum("_n").alias(out))
     return (
         polygons.drop(rings)
@@ -326,7 +334,7 @@ def clip_lines(
         }
     )
     segs = _with_level(segs, seg_box, cell).withColumnRenamed("_level", "_own")
-    areas = _with_level(boxes, box, cell).withColumnRenamed("_level", "_own")
+    areas = checkpointed(_with_level(boxes, box, cell)).withColumnRenamed("_level", "_own")
     seg_levels = segs.agg(F.collect_set("_own")).scalar()
     area_levels = areas.agg(F.collect_set("_own")).scalar()
 
@@ -341,7 +349,7 @@ def clip_lines(
     bound = areas.select("*", F.col("_own").alias("_level"), n_levels.alias("_n")).agg(
         F.sum(_n_cells(box, size) * F.col("_n") * _row_bytes(areas))
     )
-    pairs = a.join(_by_size(b, bound), ["_level", "_cx", "_cy"])
+    pairs = a.join(_by_size(b, bound.first()[0] or 0), ["_level", "_cx", "_cy"])
     x0 = F.greatest(F.col("_sx0"), F.col(box[0]))
     y0 = F.greatest(F.col("_sy0"), F.col(box[1]))
     once = pairs.where(
