@@ -21,6 +21,7 @@ from checks.tables import (
     ROW,
     ROW_COLS,
     population,
+    registrar,
     rounded,
 )
 from kerbside.config import INJURY_CODES, NARROW_ROLES, SEVERE_CODES, RunConfig
@@ -52,16 +53,7 @@ from kerbside.sources import dims, sinks
 
 QUERIES = {}
 ORACLES = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-
-    return register
+query = registrar(QUERIES, ORACLES)
 
 
 # ---- derived place tables -------------------------------------------------------------------
@@ -321,6 +313,7 @@ def box_compare(spark, sf):
         "(dayofweek(date) + 1)::INTEGER AS wday, strftime(date, '%a') AS wday_label, "
         "day(date)::INTEGER AS mday FROM crashes"
     ),
+    dates=("date", "agnostic", "wednesday",),
 )
 def calendar_columns(spark, sf):
     return crashes(spark, sf).select(

@@ -18,14 +18,31 @@ QUERIES = {}
 ORACLES = {}
 
 
-def query(name: str, sql: str | None = None):
-    def register(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
+def registrar(queries: dict, oracles: dict):
+    """Decorator that registers a query and its SQL. Dates and times are compared as text:
+    ``dates`` names such columns of the SQL."""
 
-    return register
+    def query(name: str, sql: str | None = None, dates: tuple[str, ...] = ()):
+        def register(fn):
+            queries[name] = fn
+            if dates:
+
+                def as_text(spark, sf):
+                    df = fn(spark, sf)
+                    return df.withColumns({c: F.col(c).cast("string") for c in dates})
+
+                queries[name] = as_text
+            if sql is not None:
+                replaced = ", ".join(f"{c}::VARCHAR AS {c}" for c in dates)
+                oracles[name] = f"SELECT * REPLACE ({replaced}) FROM ({sql})" if dates else sql
+            return fn
+
+        return register
+
+    return query
+
+
+query = registrar(QUERIES, ORACLES)
 
 
 def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
@@ -51,7 +68,7 @@ def _round_coords(sql: str) -> str:
     )
 
 
-@query("curated_crashes", on_crashes(_round_coords(f"SELECT {ROW}, {', '.join(CURATED)} FROM crashes")))
+@query("curated_crashes", on_crashes(_round_coords(f"SELECT {ROW}, {', '.join(CURATED)} FROM crashes")), dates=("date",))
 def curated_crashes(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(crashes(spark, sf).select(*ROW_COLS, *CURATED), "latitude", "longitude")
 
@@ -76,6 +93,7 @@ def person_attributes(spark, sf):
         "SELECT max(retreive_date) AS retrieve_date FROM crashes "
         "WHERE year = (SELECT max(year) FROM crashes)"
     ),
+    dates=("retrieve_date",),
 )
 def retrieve_date_q(spark, sf):
     return retrieve_date(crashes(spark, sf))
@@ -87,6 +105,7 @@ def retrieve_date_q(spark, sf):
         f"SELECT {ROW}, DOCTNMBR, date FROM crashes WHERE date BETWEEN DATE '1996-03-01' "
         "AND DATE '1998-02-28' AND (BIKEFLAG = 'Y' OR PEDFLAG = 'Y')"
     ),
+    dates=("date",),
 )
 def extract_filter_q(spark, sf):
     return filters.extract_filter(crashes(spark, sf), "1996-03", "1998-02").select(
@@ -198,6 +217,7 @@ def youth_per_year(spark, sf):
         "WHERE year = 1999 AND ped_inj = 'K' AND vulnerable_age < 18 "
         "AND CNTYNAME IN ('NATION_3', 'NATION_7')"
     ),
+    dates=("date",),
 )
 def young_fatalities(spark, sf):
     found = summaries.young_fatalities(crashes(spark, sf), ["NATION_3", "NATION_7"], 1999)
@@ -583,6 +603,7 @@ _WINDOW = (
         "FROM win",
         _SPAN, _WINDOW,
     ),
+    dates=("date_max",),
 )
 def report_window(spark, sf):
     return trends.report_window(crashes(spark, sf))
@@ -613,6 +634,7 @@ _AGNOSTIC = "try_cast('2025-' || strftime(date, '%m-%d') AS DATE)"
         f"FROM (SELECT {_AGNOSTIC} AS d FROM crashes) "
         "WHERE d BETWEEN DATE '2025-10-01' AND DATE '2025-10-14' GROUP BY ALL"
     ),
+    dates=("date_yearagnostic",),
 )
 def event_window(spark, sf):
     kept = trends.event_window(crashes(spark, sf), "10-01", "10-07", "10-14")
@@ -628,7 +650,7 @@ _DAYS = (
 )
 
 
-@query("trick_or_treat_days", on_crashes("SELECT year, day FROM days", _SPAN, _DAYS))
+@query("trick_or_treat_days", on_crashes("SELECT year, day FROM days", _SPAN, _DAYS), dates=("day",))
 def trick_or_treat_days(spark, sf):
     return trends.trick_or_treat_days(rates.year_range(crashes(spark, sf)))
 
@@ -662,6 +684,7 @@ def flag_dates(spark, sf):
         "FROM flagged WHERE vulnerable_role = 'Pedestrian' GROUP BY ALL",
         _SPAN, _DAYS, _FLAGGED,
     ),
+    dates=("date_yearagnostic",),
 )
 def daily_profile(spark, sf):
     return trends.daily_profile(_flagged(spark, sf))
@@ -690,6 +713,7 @@ def weekend_average(spark, sf):
         "AND vulnerable_role = 'Pedestrian' AND year <> hi) GROUP BY 1",
         _SPAN,
     ),
+    dates=("weekdate",),
 )
 def weekly_profile(spark, sf):
     return rounded(trends.weekly_profile(crashes(spark, sf)), "average")
@@ -704,6 +728,7 @@ def weekly_profile(spark, sf):
         "AND vulnerable_role = 'Pedestrian' AND year <> hi AND MUNINAME = 'MACHINERY') GROUP BY 1",
         _SPAN,
     ),
+    dates=("weekdate",),
 )
 def weekly_profile_city(spark, sf):
     out = trends.weekly_profile(crashes(spark, sf), "MACHINERY", count_open_year=True)

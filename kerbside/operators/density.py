@@ -16,29 +16,31 @@ BINS = 1024
 
 
 def exact_quantiles(
-    df: DataFrame, cols: list[str], probs: list[float]
+    df: DataFrame, cols: list[str], probs: list[float], weight: str | None = None
 ) -> dict[str, list[float]]:
-    """Exact quantiles with linear interpolation between order statistics.
+    """Exact quantiles with linear interpolation between order statistics. With ``weight`` a
+    row stands for that many equal ones.
 
     The rows around each wanted rank are narrowed down by counting over ``BINS`` equal
     bins, again and again inside the bin that holds the rank, until that bin has a single
     value. Each round is one grouping with at most ``BINS`` rows per rank, so no task ever
     holds or sorts a column.
     """
+    one = F.lit(1) if weight is None else F.col(weight)
     first = df.agg(
-        *[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)],
+        *[F.sum(F.when(F.col(c).isNotNull(), one)).alias(f"n{i}") for i, c in enumerate(cols)],
         *[F.min(c).cast("double").alias(f"lo{i}") for i, c in enumerate(cols)],
         *[F.max(c).cast("double").alias(f"hi{i}") for i, c in enumerate(cols)],
     ).first()
     wanted, open_ranks = {}, {}
     for i, c in enumerate(cols):
         n = first[f"n{i}"]
-        if n == 0:
+        if not n:
             raise ValueError(f"no values in {c}")
         for p in probs:
             for rank in (math.floor((n - 1) * p), math.ceil((n - 1) * p)):
                 open_ranks[(i, rank)] = (first[f"lo{i}"], first[f"hi{i}"], rank)
-    while open_ranks:
+    while True:
         for key in [k for k, (lo, hi, _) in open_ranks.items() if lo == hi]:
             wanted[key] = open_ranks.pop(key)[0]
         if not open_ranks:
@@ -50,18 +52,18 @@ def exact_quantiles(
             value = F.col(cols[i]).cast("double")
             # halves first, so that the width of the widest range does not overflow
             place = (value / 2 - lo / 2) / (hi / 2 - lo / 2)
-            bin_ = F.least(F.floor(place * BINS), F.lit(BINS - 1))
+            number = F.least(F.floor(place * BINS), F.lit(BINS - 1))
             entries.append(
                 F.when(
                     value.between(lo, hi),
-                    F.struct(F.lit(j).alias("j"), bin_.alias("bin"), value.alias("value")),
+                    F.struct(F.lit(j).alias("j"), number.alias("bin"), value.alias("value")),
                 )
             )
         counted = (
-            df.select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
+            df.select(one.alias("w"), F.explode(F.array_compact(F.array(*entries))).alias("e"))
             .groupBy("e.j", "e.bin")
             .agg(
-                F.count(F.lit(1)).alias("n"),
+                F.sum("w").alias("n"),
                 F.min("e.value").alias("lo"),
                 F.max("e.value").alias("hi"),
             )
@@ -86,19 +88,20 @@ def exact_quantiles(
     return out
 
 
-def bandwidths(df: DataFrame, cols: list[str]) -> dict[str, float]:
+def bandwidths(
+    places: DataFrame, cols: list[str], weight: str, n: int, means: dict[str, float]
+) -> dict[str, float]:
     """Kernel standard deviation per axis by the normal reference rule,
     ``1.06 * min(sd, IQR / 1.34) * n ** (-1/5)``."""
-    quartiles = exact_quantiles(df, cols, [0.25, 0.75])
-    row = df.agg(
-        *[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)],
-        *[F.stddev_samp(c).alias(f"sd{i}") for i, c in enumerate(cols)],
+    quartiles = exact_quantiles(places, cols, [0.25, 0.75], weight)
+    squares = places.agg(
+        *[F.sum(F.col(weight) * (F.col(c) - means[c]) ** 2).alias(c) for c in cols]
     ).first()
     out = {}
-    for i, c in enumerate(cols):
+    for c in cols:
         low, high = quartiles[c]
-        spread = min(row[f"sd{i}"], (high - low) / 1.34)
-        out[c] = 1.06 * spread * row[f"n{i}"] ** -0.2
+        sd = math.sqrt(squares[c] / (n - 1)) if n > 1 else 0.0
+        out[c] = 1.06 * min(sd, (high - low) / 1.34) * n**-0.2
         if not out[c] > 0:
             raise ValueError(f"no spread in {c}: the density has no bandwidth")
     return out
@@ -109,25 +112,35 @@ def kde_grid(
 ) -> DataFrame:
     """Gaussian kernel density at the ``n * n`` nodes of a lattice over the points' range.
 
-    Points at the same place are counted first. The kernel is a product of one factor per
-    axis, so a task adds its batches into one matrix by a matrix product and emits that
-    matrix once; the partial matrices are summed by node. The result is ``ix, iy, x, y, z``
-    with 1-based ``ix`` and ``iy``, checkpointed: it has ``n * n`` rows whatever the input,
-    and what follows (classes, outlines) uses it more than once.
+    Points at the same place are counted once and checkpointed, so the input is read a single
+    time. The kernel is a product of one factor per axis, so a task adds its batches into one
+    matrix by a matrix product and emits that matrix once; the partial matrices are summed by
+    node. The result is ``ix, iy, x, y, z`` with 1-based ``ix`` and ``iy``, checkpointed too:
+    it has ``n * n`` rows whatever the input, and classes and outlines use it repeatedly.
     """
-    points = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py")
+    places = (
+        df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+        .groupBy(F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py"))
+        .agg(F.count(F.lit(1)).alias("w"))
     )
-    h = bandwidths(points, ["px", "py"])
-    row = points.agg(
-        F.count(F.lit(1)).alias("n"),
+    # few bytes but much work per place: keep all tasks busy however short the table is
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = checkpointed(places.repartition(tasks))
+    row = places.agg(
+        F.sum("w").alias("n"),
         F.min("px").alias("x0"), F.max("px").alias("x1"),
         F.min("py").alias("y0"), F.max("py").alias("y1"),
+        F.sum(F.col("w") * F.col("px")).alias("sx"), F.sum(F.col("w") * F.col("py")).alias("sy"),
     ).first()
+    count = row["n"]
+    if not count:
+        raise ValueError("no points")
+    means = {"px": row["sx"] / count, "py": row["sy"] / count}
+    h = bandwidths(places, ["px", "py"], "w", count, means)
     gx = np.linspace(row["x0"], row["x1"], n)
     gy = np.linspace(row["y0"], row["y1"], n)
     hx, hy = h["px"], h["py"]
-    scale = 1.0 / (2.0 * math.pi * row["n"] * hx * hy)
+    scale = 1.0 / (2.0 * math.pi * count * hx * hy)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((n, n))
@@ -148,9 +161,6 @@ def kde_grid(
                 names=["ix", "iy", "z"],
             )
 
-    places = points.groupBy("px", "py").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    # few bytes but much work per place: keep all tasks busy however short the table is
-    places = places.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     parts = places.mapInArrow(partial, "ix int, iy int, z double")
     dx = (row["x1"] - row["x0"]) / (n - 1)
     dy = (row["y1"] - row["y0"]) / (n - 1)

@@ -156,5 +156,9 @@ def point_layer(
 
 
 def by_severity(df: DataFrame, rank: str = "severity_rank") -> DataFrame:
-    """Severe rows last, rows without a severity at the very end."""
-    return df.orderBy(F.col(rank).asc_nulls_last())
+    """Severe rows last, rows without a severity at the very end.
+
+    Rows of one severity are ordered by a hash of the row, only so that the sort can spread a
+    frequent severity over several tasks.
+    """
+    return df.orderBy(F.col(rank).asc_nulls_last(), F.xxhash64(*df.columns))
