@@ -989,6 +989,11 @@ def hex_center(spark, sf):
     return rounded(hexes.hex_center(cells, 500), "x", "y", digits=2)
 
 
+_METRES = "(q + r / 2e0) * {w!r} AS x, r * {h!r}::DOUBLE AS y".format(
+    w=500 / math.sqrt(3) * math.sqrt(3), h=1.5 * 500 / math.sqrt(3)
+)
+
+
 _CHANGE = (
     "counted AS (SELECT q, r, count(*) FILTER (WHERE date <= date_max - 365) AS prior, "
     "count(*) FILTER (WHERE date > date_max - 365) AS lastyear, max(win.prior) AS n "
@@ -1129,10 +1134,24 @@ def _lonlat_sql(source: str, out: str) -> str:
         f"eta{_series(projection._BETA, 'cos', 'sinh', '-')} AS ej FROM {out}_1), "
         f"{out}_3 AS (SELECT *, asin(sin(xj) / cosh(ej)) AS chi, atan2(sinh(ej), cos(xj)) AS dl "
         f"FROM {out}_2), "
-        f"{out} AS (SELECT degrees(dl) - 87 AS lon, degrees({phi}) AS lat FROM {out}_3)"
+        f"{out} AS (SELECT *, degrees(dl) - 87 AS lon, degrees({phi}) AS lat FROM {out}_3)"
     )
 
 
+@query(
+    "hex_centroid",
+    on_crashes(
+        "SELECT q, r, round(lon, 6) AS longitude, round(lat, 6) AS latitude FROM ll",
+        _LOCATED, _HEX_500, f"cell AS (SELECT DISTINCT q, r, {_METRES} FROM hexed)",
+        _lonlat_sql("cell", "ll"),
+    ),
+)
+def hex_centroid(spark, sf):
+    located = filters.with_coordinates(crashes(spark, sf)).select("longitude", "latitude")
+    cells = hexes.with_hex(located, 500).select("q", "r").distinct()
+    return rounded(hexes.hex_centroid(cells, 500), "longitude", "latitude")
+
+
 _R3000 = 3000 / math.sqrt(3)
 _CORNERS = (
     f"corner AS (SELECT (q + r / 2e0) * {_R3000 * math.sqrt(3)!r} + {_R3000!r} * cos(t) AS x, "

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.oracle import BIKE, CRASHES, V1, V2, on_crashes, severity_name
+from checks.oracle import V1, V2, on_crashes, race_name, severity_name, severity_rank
 from checks.surrogate import crashes, raw_crashes, table
-from kerbside.config import FATAL_CODES, INJURY_CODES, NARROW_ROLES, SEVERE_CODES
+from kerbside.config import FATAL_CODES, INJURY_CODES, SEVERE_CODES
 from kerbside.functions.roles import age_band
-from kerbside.operators import filters, lookups, rates, reshape, summaries, trends
+from kerbside.operators import filters, lookups, rates, summaries, trends
 from kerbside.operators.curate import retrieve_date, with_person_attributes
-from kerbside.sources import dims
 from kerbside.sources.population import population_dim
 
 QUERIES = {}
@@ -113,6 +112,18 @@ def extract_filter_q(spark, sf):
     )
 
 
+@query(
+    "severity_and_race",
+    on_crashes(
+        f"SELECT {ROW}, {severity_name('INJSVR2')} AS name, {severity_rank('INJSVR2')} AS rank, "
+        f"{race_name('RACE2')} AS race FROM raw"
+    ),
+)
+def severity_and_race(spark, sf):
+    named = lookups.with_severity(raw_crashes(spark, sf), "INJSVR2", "name", rank="rank")
+    return lookups.with_race(named, "RACE2", "race").select(*ROW_COLS, "name", "rank", "race")
+
+
 # ---- summaries (one per place kind) --------------------------------------------------------
 
 _INJURED = "ped_inj IN ('A', 'K', 'B')"

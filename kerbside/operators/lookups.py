@@ -31,10 +31,6 @@ def severity_rank(code: Column | str) -> Column:
     return lookup(code, [(row[2], row[4]) for row in SEVERITY])
 
 
-def severity_color(code: Column | str) -> Column:
-    return lookup(code, [(row[2], row[3]) for row in SEVERITY])
-
-
 def race_name(code: Column | str) -> Column:
     return lookup(code, [(code_, name) for name, code_ in RACE])
 

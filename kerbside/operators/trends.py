@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from kerbside.config import SEVERE_CODES
 from kerbside.functions.calendar import (
     is_weekend,
-    month_label,
     period_tag,
     report_month_end,
     week_floor,
@@ -18,7 +17,7 @@ from kerbside.functions.calendar import (
     weekday_number,
     year_agnostic,
 )
-from kerbside.functions.nulls import as_col, in_set, not_in_set, safe_div
+from kerbside.functions.nulls import in_set, not_in_set, safe_div
 from kerbside.functions.roles import age_band
 from kerbside.operators.filters import severity_in
 
@@ -275,7 +274,3 @@ def caption(df: DataFrame, retrieved: DataFrame | None = None) -> DataFrame:
 def without_year(df: DataFrame, *years: int) -> DataFrame:
     """Drop whole years; rows without a year stay."""
     return df.where(not_in_set("year", years))
-
-
-def with_month_label(df: DataFrame, col: str = "date") -> DataFrame:
-    return df.withColumns({"month": F.month(as_col(col)), "month_label": month_label(col)})

@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.operators.summaries import split_summaries
 
 
-def sorted_by(df: DataFrame, cols: Iterable[str]) -> DataFrame:
-    return df.orderBy(*[F.col(c).asc_nulls_last() for c in cols])
-
-
 def write_summaries(summaries: dict[str, DataFrame], out: str, place: str) -> None:
     """One folder per summary with one CSV per place, rows ordered by their keys.
 

@@ -2,7 +2,6 @@
 
 import json
 import os
-import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from kerbside.operators.curate import curate
 from kerbside.operators.filters import focus, in_counties, placed_schools, valid_schools
 from kerbside.operators.layers import map_columns, point_labels, school_labels
 from kerbside.operators.summaries import all_summaries
-from kerbside.plans import runs
+from kerbside.plans import maps, runs
 from kerbside.sources import exports, sinks, tables, vector
 
 
@@ -217,13 +216,48 @@ def test_manifest(spark, school_df):
     assert left == ["Madison Metropolitan", "Milwaukee", "Other"]
 
 
-def test_listing_reads_names_only(spark, tmp_path):
+def test_manifest_from_a_folder(spark, school_df, tmp_path):
+    place = tmp_path / "maps" / "Dane County" / "Madison Metropolitan School District" / "Middle Schools"
+    place.mkdir(parents=True)
+    (place / "Bay School.pdf").write_text("x")
+    (place / "Bay School.txt").write_text("x")
+    listing = exports.file_listing(spark, str(tmp_path / "maps"), "*.pdf", prefix="school_maps/")
+    checked = schools.manifest(runs.schools_of_run(school_df, RunConfig()), listing)
+    assert [r["NCES_CODE"] for r in checked.where("exists").collect()] == ["3"]
+
+
+def test_listing(spark, tmp_path):
     (tmp_path / "a.pdf").write_text("x")
-    time.sleep(0.01)
     (tmp_path / "b.txt").write_text("x")
     assert [os.path.basename(p) for p in exports.list_files(spark, str(tmp_path), "*.pdf")] == ["a.pdf"]
 
 
+def test_polygon_layer(spark, tmp_path):
+    path = tmp_path / "shapes.geojson"
+    path.write_text(geojson(("Polygon", SQUARE, {"CNTY_NAME": "Rock", "MCD_NAME": "A"})))
+    towns = vector.read_municipalities(spark, str(path))
+    sinks.export_layer(towns, str(tmp_path / "layer"))
+    feature = json.loads(spark.read.text(str(tmp_path / "layer")).first()[0])
+    assert feature["geometry"]["coordinates"] == [[[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 0.0]]]
+    assert feature["properties"] == {"CNTY_NAME": "Rock", "MCD_NAME": "A"}
+
+
+def test_municipality_extract(spark, curated, tmp_path):
+    path = tmp_path / "towns.geojson"
+    path.write_text(geojson(("Polygon", SQUARE, {"CNTY_NAME": "Rock", "MCD_NAME": "A"})))
+    towns = vector.read_municipalities(spark, str(path))
+    at = {"ROLE1": "BIKE", "LONDECDG": "0.5"}
+    crashes = curated({**at, "DOCTNMBR": "1", "LATDECDG": "0.5"}, {**at, "DOCTNMBR": "2", "LATDECDG": "1.0089"},
+                      {**at, "DOCTNMBR": "3", "LATDECDG": "1.0091"}, {"DOCTNMBR": "4", "LONDECDG": "0.5", "LATDECDG": "0.5"})
+    found = maps.municipality_maps(towns, crashes)
+    assert sorted((r["MCD_NAME"], r["DOCTNMBR"]) for r in found.collect()) == [("A", "1"), ("A", "2")]
+    segments = spark.createDataFrame(
+        [("rock", 0.5, 0.5, 0.5, 5.0), ("dane", 0.5, 0.5, 0.5, 5.0), ("rock", 4.0, 4.0, 5.0, 5.0)],
+        "county_file string, x1 double, y1 double, x2 double, y2 double")
+    (line,) = maps.municipality_lines(towns, segments).collect()
+    assert (line["cx1"], line["cy1"], line["cx2"]) == (0.5, 0.5, 0.5) and line["cy2"] == pytest.approx(1 + 1000 / 111320)
+
+
 def test_enrollment(spark):
     cols = ["DISTRICT_CODE", "SCHOOL_CODE", "GRADE_LEVEL", "SCHOOL_NAME", "DISTRICT_NAME", "GRADE_GROUP", "CHARTER_IND",
             "GROUP_BY", "GROUP_BY_VALUE", "PERCENT_OF_GROUP"]
