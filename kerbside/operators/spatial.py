@@ -10,9 +10,8 @@ The areas are used several times (levels, extent, size, cells), so they are chec
 boxes computed from a large table cost one pass over it. The rows their list makes are
 counted before the join, because Catalyst does not see how far ``explode`` multiplies rows.
 Up to ``BROADCAST_BYTES`` the list is broadcast and the points are not shuffled. Above that the
-join is a sort-merge join, in which AQE splits a cell that holds a large part of the points;
-``salt`` spreads every cell over that many tasks up front, at the price of that many copies
-of the areas.
+join is a sort-merge join, and the points of a hot cell (more than one in ``HOT_CELLS``) are
+split by a hash into ``salt`` parts, each with a copy of that cell's areas.
 """
 
 from __future__ import annotations
@@ -37,8 +36,9 @@ from kerbside.operators.lineage import checkpointed
 
 SPAN = 16
 BROADCAST_BYTES = 64 * 1024 * 1024
+HOT_CELLS = 200
 BOX = ("left", "bottom", "right", "top")
-_KEYS = ["_level", "_cx", "_cy", "_salt"]
+_CELL = ["_level", "_cx", "_cy"]
 
 
 def _level(size: Column, cell: float) -> Column:
@@ -84,24 +84,30 @@ def _n_cells(box: tuple[str, str, str, str], size: Column) -> Column:
     return (_cell(x1, size) - _cell(x0, size) + 1) * (_cell(y1, size) - _cell(y0, size) + 1)
 
 
-def _by_size(covers: DataFrame, size: int) -> DataFrame:
-    """``covers``, at most ``size`` bytes, marked for a broadcast if that is little, else for
-    a sort-merge join."""
-    return F.broadcast(covers) if size <= BROADCAST_BYTES else covers.hint("merge")
-
-
 def _row_bytes(df: DataFrame) -> Column:
     """Bytes of a row's values, generously: 64 for each, and the length of its texts."""
     texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t == "string"]
-    return reduce(lambda a, b: a + b, texts, F.lit(64 * (len(df.columns) + len(_KEYS))))
-
-
-def _salted(points: DataFrame, areas: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:
-    if salt == 1:
-        return points.withColumn("_salt", F.lit(0)), areas.withColumn("_salt", F.lit(0))
-    spread = F.pmod(F.xxhash64(*points.columns), F.lit(salt)).cast("int")
-    copies = F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))
-    return points.withColumn("_salt", spread), areas.withColumn("_salt", copies)
+    return reduce(lambda a, b: a + b, texts, F.lit(64 * (len(df.columns) + len(_CELL))))
+
+
+def _join_cells(left: DataFrame, listed: DataFrame, size: int, salt: int) -> DataFrame:
+    """Join on the cell with a list of at most ``size`` bytes."""
+    if size <= BROADCAST_BYTES:
+        return left.join(F.broadcast(listed), _CELL)
+    per_cell = left.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("_n"))
+    total = per_cell.agg(F.sum("_n")).scalar()
+    # by definition fewer than HOT_CELLS rows
+    hot = per_cell.where(F.col("_n") * HOT_CELLS > total).select(*_CELL, F.lit(True).alias("_hot"))
+    part = F.pmod(F.xxhash64(*left.columns), F.lit(salt)).cast("int")
+    parts = F.sequence(F.lit(0), F.lit(salt - 1))
+    left = left.join(F.broadcast(hot), _CELL, "left").withColumn(
+        "_salt", F.when(F.col("_hot"), part).otherwise(0)
+    )
+    listed = listed.join(F.broadcast(hot), _CELL, "left").withColumn(
+        "_salt", F.explode(F.when(F.col("_hot"), parts).otherwise(F.array(F.lit(0))))
+    )
+    joined = left.drop("_hot").join(listed.drop("_hot").hint("merge"), [*_CELL, "_salt"])
+    return joined.drop("_salt")
 
 
 class _Listing(NamedTuple):
@@ -145,8 +151,7 @@ def _meet(
     points: DataFrame, listing: _Listing, lon: str, lat: str, salt: int
 ) -> DataFrame:
     """Pairs of an area's cell row and a point in that cell."""
-    keyed, listed = _salted(_near(points, listing, lon, lat), listing.cells, salt)
-    return keyed.join(_by_size(listed, listing.size * salt), _KEYS)
+    return _join_cells(_near(points, listing, lon, lat), listing.cells, listing.size, salt)
 
 
 def points_in_boxes(
@@ -156,7 +161,7 @@ def points_in_boxes(
     lon: str = "longitude",
     lat: str = "latitude",
     cell: float = 0.01,
-    salt: int = 1,
+    salt: int = 32,
 ) -> DataFrame:
     """Every (box, point) pair with the point in the box, all sides included.
 
@@ -168,7 +173,7 @@ def points_in_boxes(
     return pairs.where(
         F.col(lon).between(F.col(box[0]), F.col(box[2]))
         & F.col(lat).between(F.col(box[1]), F.col(box[3]))
-    ).drop(*_KEYS)
+    ).drop(*_CELL)
 
 
 def _polygon_cells(polygons: DataFrame, rings: str, cell: float) -> _Listing:
@@ -222,7 +227,7 @@ def points_in_polygons(
     lon: str = "longitude",
     lat: str = "latitude",
     cell: float = 0.01,
-    salt: int = 1,
+    salt: int = 32,
 ) -> DataFrame:
     """Every (polygon, point) pair with the point strictly inside.
 
@@ -234,7 +239,7 @@ def points_in_polygons(
     pairs = _meet(points, listing, lon, lat, salt)
     inside = contains(F.col("_sides"), F.col(lon), F.col(lat))
     found = pairs.where(F.when(F.col("_cut"), inside).otherwise(True)).drop(
-        "_sides", "_cut", *listing.box, *_KEYS
+        "_sides", "_cut", *listing.box, *_CELL
     )
     if how == "inner":
         return found
@@ -252,7 +257,7 @@ def area_counts(
     lat: str = "latitude",
     out: str = "crash_count",
     cell: float = 0.01,
-    salt: int = 1,
+    salt: int = 32,
 ) -> DataFrame:
     """Number of points inside each polygon, zero for a polygon without one.
 
@@ -264,10 +269,11 @@ def area_counts(
     cut = listing._replace(cells=listing.cells.where(F.col("_cut")))
     pairs = _meet(places, cut, lon, lat, salt)
     tested = pairs.where(contains(F.col("_sides"), F.col(lon), F.col(lat))).select(key, "_n")
-    per_cell = ["_level", "_cx", "_cy"]
-    cells = _near(places, listing, lon, lat).groupBy(*per_cell).agg(F.sum("_n").alias("_n"))
-    whole = listing.cells.where(~F.col("_cut")).select(key, *per_cell)
-    covered = cells.join(_by_size(whole, listing.size), per_cell).select(key, "_n")
+    # one row per cell, so no cell is hot here
+    cells = _near(places, listing, lon, lat).groupBy(*_CELL).agg(F.sum("_n").alias("_n"))
+    whole = listing.cells.where(~F.col("_cut")).select(key, *_CELL)
+    whole = F.broadcast(whole) if listing.size <= BROADCAST_BYTES else whole.hint("merge")
+    covered = cells.join(whole, _CELL).select(key, "_n")
     totals = tested.unionByName(covered).groupBy(key).agg(F.sum("_n").alias(out))
     return (
         polygons.drop(rings)
@@ -319,6 +325,7 @@ def clip_lines(
     boxes: DataFrame,
     box: tuple[str, str, str, str] = BOX,
     cell: float = 0.01,
+    salt: int = 32,
 ) -> DataFrame:
     """The part of every segment inside every box it meets, as ``cx1, cy1, cx2, cy2``.
 
@@ -349,7 +356,7 @@ def clip_lines(
     bound = areas.select("*", F.col("_own").alias("_level"), n_levels.alias("_n")).agg(
         F.sum(_n_cells(box, size) * F.col("_n") * _row_bytes(areas))
     )
-    pairs = a.join(_by_size(b, bound.first()[0] or 0), ["_level", "_cx", "_cy"])
+    pairs = _join_cells(a, b, bound.first()[0] or 0, salt)
     x0 = F.greatest(F.col("_sx0"), F.col(box[0]))
     y0 = F.greatest(F.col("_sy0"), F.col(box[1]))
     once = pairs.where(
@@ -364,7 +371,7 @@ def clip_lines(
             "cx1": F.col("x1") + F.col("_t0") * dx, "cy1": F.col("y1") + F.col("_t0") * dy,
             "cx2": F.col("x1") + F.col("_t1") * dx, "cy2": F.col("y1") + F.col("_t1") * dy,
         }
-    ).drop("_t0", "_t1", "_level", "_cx", "_cy", "_seg_level", "_box_level", *seg_box)
+    ).drop("_t0", "_t1", *_CELL, "_seg_level", "_box_level", *seg_box)
 
 
 def point_box(

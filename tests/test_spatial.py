@@ -37,19 +37,28 @@ def brute_boxes():
     return sorted((b, i) for b, x0, y0, x1, y1 in BOXES for i, x, y in POINTS if x0 <= x <= x1 and y0 <= y <= y1)
 
 
-@pytest.mark.parametrize("cell,salt", [(0.01, 1), (0.5, 1), (0.01, 3)])
-def test_points_in_boxes(points, boxes, cell, salt):
-    found = spatial.points_in_boxes(boxes, points, cell=cell, salt=salt)
+@pytest.mark.parametrize("cell", [0.01, 0.5])
+def test_points_in_boxes(points, boxes, cell):
+    found = spatial.points_in_boxes(boxes, points, cell=cell)
     assert sorted((r["box"], r["id"]) for r in found.collect()) == brute_boxes()
 
 
 def test_points_in_boxes_by_shuffle(points, boxes, monkeypatch):
     monkeypatch.setattr(spatial, "BROADCAST_BYTES", -1)
-    found = spatial.points_in_boxes(boxes, points, salt=2)
+    found = spatial.points_in_boxes(boxes, points, salt=5)
     assert "SortMergeJoin" in found._jdf.queryExecution().toString()
     assert sorted((r["box"], r["id"]) for r in found.collect()) == brute_boxes()
 
 
+def test_hot_cells_are_split(spark, points, boxes):
+    keyed = points.withColumns({"_level": F.lit(0), "_cx": F.floor("longitude"), "_cy": F.floor("latitude")})
+    areas = keyed.select("_level", "_cx", "_cy").distinct()
+    joined = spatial._join_cells(keyed, areas, spatial.BROADCAST_BYTES + 1, 8)
+    assert joined.count() == len(POINTS) and "_salt" not in joined.columns
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" in plan and "SortMergeJoin" in plan
+
+
 def test_cells_of_an_area_are_bounded(boxes):
     levelled = spatial._with_level(boxes, spatial.BOX, 0.0001)
     most = spatial._cover(levelled, spatial.BOX, 0.0001).groupBy("box").count().agg(F.max("count")).first()[0]
@@ -114,7 +123,9 @@ def test_area_counts(points, polygons, cell):
     assert got == {n: sum(1 for m, _ in brute_polygons() if m == n) for n, _ in POLYGONS}
 
 
-def test_clip_lines_against_brute_force(spark, boxes):
+@pytest.mark.parametrize("limit", [1 << 26, -1])
+def test_clip_lines_against_brute_force(spark, boxes, monkeypatch, limit):
+    monkeypatch.setattr(spatial, "BROADCAST_BYTES", limit)
     random.seed(3)
     segs = []
     for i in range(300):
