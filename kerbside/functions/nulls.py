@@ -18,6 +18,12 @@ def in_set(c: Column | str, values: Iterable) -> Column:
     return F.coalesce(as_col(c).isin(list(values)), F.lit(False))
 
 
+def one_of(c: Column | str, values: Iterable) -> Column:
+    """Membership as a row filter: null counts as no. Unlike ``in_set`` it is a plain ``IN``,
+    which the scan can use to skip data; do not negate it."""
+    return as_col(c).isin(list(values))
+
+
 def not_in_set(c: Column | str, values: Iterable) -> Column:
     """Negated membership; null rows are kept."""
     return ~in_set(c, values)

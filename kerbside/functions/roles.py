@@ -14,7 +14,7 @@ from kerbside.config import (
     TRUCK_SUV_TYPES,
     VULNERABLE_ROLES,
 )
-from kerbside.functions.nulls import as_col, in_set
+from kerbside.functions.nulls import as_col, in_set, one_of
 
 # --- fixed values: output labels -------------------------------------------------------
 ROLE_LABELS = {
@@ -70,19 +70,19 @@ def vehicle_bucket(other: Column | str | None = None) -> Column:
 def is_youth(
     roles: Iterable[str] = VULNERABLE_ROLES, max_age: float | None = 18
 ) -> Column:
-    """Someone in ``roles`` is younger than ``max_age`` (``None``: any age)."""
+    """Row filter: someone in ``roles`` is younger than ``max_age`` (``None``: any age)."""
     roles = tuple(roles)
-    one, two = is_role(1, roles), is_role(2, roles)
+    one, two = one_of("ROLE1", roles), one_of("ROLE2", roles)
     if max_age is None:
         return one | two
     return (one & (F.col("age1") < max_age)) | (two & (F.col("age2") < max_age))
 
 
 def is_severe_vulnerable(roles: Iterable[str], codes: Iterable[str]) -> Column:
-    """Someone in ``roles`` has one of the injury ``codes``, tested unit by unit."""
+    """Row filter: someone in ``roles`` has one of the injury ``codes``, unit by unit."""
     roles, codes = tuple(roles), tuple(codes)
-    return (is_role(1, roles) & in_set("INJSVR1", codes)) | (
-        is_role(2, roles) & in_set("INJSVR2", codes)
+    return (one_of("ROLE1", roles) & one_of("INJSVR1", codes)) | (
+        one_of("ROLE2", roles) & one_of("INJSVR2", codes)
     )
 
 

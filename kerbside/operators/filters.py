@@ -15,7 +15,7 @@ from kerbside.config import (
     VULNERABLE_ROLES,
     RunConfig,
 )
-from kerbside.functions.nulls import in_set, unless_any
+from kerbside.functions.nulls import one_of, unless_any
 from kerbside.functions.roles import is_severe_vulnerable, is_youth
 
 
@@ -55,12 +55,12 @@ def focus(
         (district, config.district_focus),
     ):
         if values is not None:
-            df = df.where(in_set(F.upper(col), [v.upper() for v in values]))
+            df = df.where(one_of(F.upper(col), [v.upper() for v in values]))
     return df
 
 
 def in_counties(df: DataFrame, counties: Iterable[str], col: str = "COUNTY") -> DataFrame:
-    return df.where(in_set(F.upper(col), [n.upper() for n in counties]))
+    return df.where(one_of(F.upper(col), [n.upper() for n in counties]))
 
 
 def valid_schools(df: DataFrame) -> DataFrame:
@@ -92,7 +92,7 @@ def youth(
 
 
 def severity_in(df: DataFrame, codes: Iterable[str] = INJURY_CODES) -> DataFrame:
-    return df.where(in_set("ped_inj", codes))
+    return df.where(one_of("ped_inj", codes))
 
 
 def severe_vulnerable(
@@ -143,7 +143,7 @@ def point_layer(
 ) -> DataFrame:
     """Crash points of a map: role, year or date window and box. Draw them ordered by
     ``severity_rank`` so that severe ones come last (``by_severity``)."""
-    df = df.where(in_set("vulnerable_role", roles))
+    df = df.where(one_of("vulnerable_role", roles))
     if year is not None:
         df = df.where(F.col("year") == year)
     if not_year is not None:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.config import SEVERE_CODES
-from kerbside.functions.nulls import as_col, in_set, safe_div
+from kerbside.functions.nulls import as_col, one_of, safe_div
 from kerbside.operators.lookups import join_suffix
 from kerbside.operators.spatial import area_counts
 from kerbside.operators.summaries import count_by
@@ -26,7 +26,7 @@ def county_mean(df: DataFrame, names: Iterable[str] = INJURED_NAMES) -> DataFram
     not counted as zero.
     """
     yearly = (
-        df.where(in_set("ped_inj_name", names))
+        df.where(one_of("ped_inj_name", names))
         .groupBy(F.col("CNTYNAME").alias("County"), "year")
         .agg(
             F.count(F.lit(1)).alias("TotalCrashes"),
@@ -108,7 +108,7 @@ def area_rates(
     """Crashes inside each area and per 100,000 residents, for areas with more than
     ``min_population`` residents. An area without crashes has zero."""
     points = crashes.where(
-        in_set("ped_inj_name", names) & (F.col("latitude") > 0) & F.col("longitude").isNotNull()
+        one_of("ped_inj_name", names) & (F.col("latitude") > 0) & F.col("longitude").isNotNull()
     )
     lived_in = polygons.where(F.col("value") > min_population)
     return area_counts(lived_in, points, key, **options).withColumn(

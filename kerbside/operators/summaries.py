@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.config import DRIVER_VEHICLE_TYPES, FATAL_CODES, INJURY_CODES, VULNERABLE_ROLES
-from kerbside.functions.nulls import in_set, n_distinct
+from kerbside.functions.nulls import n_distinct, one_of
 from kerbside.functions.roles import is_youth, pick_by_role
 from kerbside.functions.text import number_text
 from kerbside.operators.curate import with_person_attributes
@@ -30,7 +30,7 @@ SUMMARIES = {
 
 def _crashes_of(df: DataFrame, place: str, codes, values) -> DataFrame:
     if values is not None:
-        df = df.where(in_set(place, values))
+        df = df.where(one_of(place, values))
     return with_person_attributes(severity_in(df, codes))
 
 
@@ -131,7 +131,7 @@ def youth_county(
     years = df.agg(F.array_sort(F.collect_set("year"))).scalar()
     severities = F.array(*[F.lit(name) for name in SEVERITY_NAMES])
     out = complete(counts, [county], {"year": years, "ped_inj_name": severities})
-    return out if names is None else out.where(in_set("ped_inj_name", names))
+    return out if names is None else out.where(one_of("ped_inj_name", names))
 
 
 def youth_per_year(
@@ -153,7 +153,7 @@ def young_fatalities(
 ) -> DataFrame:
     """Listing of the fatal crashes of the young in one year."""
     if counties is not None:
-        df = df.where(in_set("CNTYNAME", counties))
+        df = df.where(one_of("CNTYNAME", counties))
     return (
         severity_in(df.where(F.col("year") == year), FATAL_CODES)
         .withColumn("vulnerable_age", pick_by_role("age1", "age2"))
@@ -181,7 +181,7 @@ def vehicle_share(
         df = severity_in(df, codes)
     counts = (
         with_person_attributes(df)
-        .where(in_set("driver_vehtype", DRIVER_VEHICLE_TYPES))
+        .where(one_of("driver_vehtype", DRIVER_VEHICLE_TYPES))
         .groupBy("vulnerable_role", *by, "driver_vehtype")
         .agg(n_distinct("DOCTNMBR").alias("count"))
     )
@@ -214,7 +214,7 @@ def state_severity(
 ) -> DataFrame:
     """All counties together, from the table per county."""
     return (
-        counties.where(in_set("ped_inj_name", names))
+        counties.where(one_of("ped_inj_name", names))
         .groupBy("year", "ped_inj_name")
         .agg(F.sum("count").alias("count"))
     )

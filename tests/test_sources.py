@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 from kerbside.config import RunConfig
 from kerbside.operators import schools
 from kerbside.operators.curate import curate
-from kerbside.operators.filters import focus, in_counties, placed_schools, valid_schools
+from kerbside.operators.filters import (
+    focus,
+    in_counties,
+    placed_schools,
+    severity_in,
+    valid_schools,
+    youth,
+)
 from kerbside.operators.layers import map_columns, point_labels, school_labels
 from kerbside.operators.summaries import all_summaries
 from kerbside.plans import maps, runs
@@ -71,6 +78,9 @@ def test_curated_table_is_pruned_by_year(spark, folder, tmp_path):
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(year" in plan and "ReadSchema: struct<DOCTNMBR:string>" in plan
     assert one.first()[0] == "3"
+    injured = youth(severity_in(df, ["K", "A"])).select("DOCTNMBR")
+    plan = injured._jdf.queryExecution().executedPlan().toString()
+    assert "In(ped_inj, [A,K])" in plan and [r[0] for r in injured.collect()] == ["1"]
 
 
 def test_summaries_as_csv(spark, folder, tmp_path):
