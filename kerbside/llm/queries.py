@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbside.llm import line_dedup, ngram_join
+from kerbside.llm import decontaminate, line_dedup, ngram_join, packing, sharding, token_files
+from kerbside.llm.tokens import tokenizer_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,5 +21,87 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "text", "n_lines", "n_removed")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_line_dedup)}
-ORACLES: dict[str, str] = {}
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_digest(
+        table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2
+    )
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op2_line_dedup,
+        op4_benchmark_decontamination,
+        op5_token_files,
+        op8_sharding,
+        op9_best_fit_packing,
+    )
+}
+
+ORACLES = {
+    "op4_benchmark_decontamination": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + 9], ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+), starts AS (
+  SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS phrase
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), (SELECT DISTINCT n FROM win)
+  WHERE i + n - 1 <= len(w)
+), hit AS (
+  SELECT s.doc_id, s.i, s.n, win.item_id FROM starts s JOIN win ON s.n = win.n AND s.phrase = win.phrase
+), words AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op8_sharding": """
+WITH r AS (
+  SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
+    ((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) >> 2) << 30)
+    + (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(10) || coalesce(text, '')),
+       1, 8) AS BIGINT) >> 2) AS h
+  FROM documents
+), level AS (
+  SELECT d, h >> CAST(60 - d AS INT) AS p, sum(n_bytes) AS bytes, min(h) AS lo, max(h) AS hi
+  FROM r, range(0, 61) t(d) GROUP BY ALL
+), fit AS (SELECT * FROM level WHERE bytes <= 67108864 OR lo = hi OR d = 60),
+own AS (
+  SELECT r.doc_id, r.n_bytes, fit.d, fit.p, fit.bytes,
+    row_number() OVER (PARTITION BY r.doc_id, r.h ORDER BY fit.d) AS k
+  FROM r JOIN fit ON r.h >> CAST(60 - fit.d AS INT) = fit.p
+)
+SELECT doc_id, n_bytes, CASE WHEN d = 0 THEN '' ELSE lpad(bin(p), CAST(d AS INT), '0') END AS shard,
+  CAST(d AS INT) AS depth, CAST(bytes AS BIGINT) AS shard_bytes, bytes > 67108864 AS over_limit
+FROM own WHERE k = 1
+""",
+}

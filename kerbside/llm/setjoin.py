@@ -277,7 +277,7 @@ def star_edges(digest: DataFrame, join: Join, name: str) -> DataFrame:
         ends = np.cumsum(np.bincount(to, minlength=buckets))
         used = np.flatnonzero(np.diff(ends, prepend=0))
         if len(edges):
-            yield with_edges(edges, int(used[0]))
+            yield with_edges(edges, int(used[len(edges) % len(used)]))
         blobs = [_pack(lead[(ends[i - 1] if i else 0) : ends[i]]) for i in used]
         n = len(used)
         columns = [pa.nulls(n, f.type) for f in list(kinds)[:5]]

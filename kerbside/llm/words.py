@@ -61,6 +61,34 @@ def slices(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, pa.Array
         at = to
 
 
+def body(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a slice, and where each text starts (and the last one ends)."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    buffer = texts.buffers()[2]
+    data = np.frombuffer(buffer, np.uint8)[offsets[0] : offsets[-1]] if buffer else np.empty(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the runs of true bytes, which end with their text."""
+    breaks = offsets[:-1][offsets[:-1] < len(inside)]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    first[breaks] = inside[breaks]
+    breaks = breaks[breaks > 0] - 1
+    last[breaks] = inside[breaks]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span."""
+    power, inverse = _upto(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
+    return mix((total[end] - total[start]) * inverse[start])
+
+
 class Words(NamedTuple):
     """Words in text order. ``start`` and ``end`` are bytes from the start of the slice."""
 
@@ -76,10 +104,7 @@ class Words(NamedTuple):
 
 def words(texts: pa.LargeStringArray, separators: bytes = SPACES, lines: bool = False) -> Words:
     """The words of a slice. A unit is a text or, with ``lines``, a line of one."""
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    body = texts.buffers()[2]
-    data = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]] if body else np.empty(0, np.uint8)
-    offsets = offsets - offsets[0]
+    data, offsets = body(texts)
     data = _LOWER[data]
     unit_start, unit_row = offsets[:-1], np.arange(len(texts))
     if lines:
@@ -90,19 +115,8 @@ def words(texts: pa.LargeStringArray, separators: bytes = SPACES, lines: bool =
         unit_start, unit_row = unit_start[order], unit_row[order]
     outside = np.zeros(256, bool)
     outside[list(separators)] = True
-    inside = ~outside[data]
-    breaks = offsets[:-1][offsets[:-1] < len(data)]
-    first, last = inside.copy(), inside.copy()
-    first[1:] &= ~inside[:-1]
-    last[:-1] &= ~inside[1:]
-    first[breaks] = inside[breaks]
-    breaks = breaks[breaks > 0] - 1
-    last[breaks] = inside[breaks]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    power, inverse = _upto(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
-    hashes = mix((total[end] - total[start]) * inverse[start])
+    start, end = runs(~outside[data], offsets)
+    hashes = span_hashes(data, start, end)
     unit = np.searchsorted(unit_start, start, "right") - 1
     return Words(hashes, unit, start, end, data, offsets, unit_start, unit_row)
 
