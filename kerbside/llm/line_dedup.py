@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kerbside.llm import setjoin as S
 from kerbside.llm.common import sized, stored
@@ -60,7 +61,7 @@ def _later(links: DataFrame, klass: DataFrame) -> DataFrame:
     return links.join(a, "a_key").join(b, "b_key").select(later.alias("key")).distinct()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _without(text: pd.Series, drop: pd.Series) -> pd.Series:
     out = []
     for t, d in zip(text, drop):
