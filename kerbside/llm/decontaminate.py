@@ -79,12 +79,15 @@ def phrase_matches(index: DataFrame, terms: DataFrame) -> DataFrame:
             found["window"], found["n_terms"], *[found[c] for c in _DOC], found["start"],
             "term", (F.col("start") + F.col("offset")).alias("position"),
         )
-        lists = some.select("term").distinct()
-        wanted = stored(wanted, f"phrase-{low}-wanted")
-        seen = postings.join(sized(stored(lists, "phrase-lists"), 16), "term", "left_semi")
+        lists = sized(stored(some.select("term").distinct(), "phrase-lists"), 16)
+        seen = postings.join(lists, "term", "left_semi")
+        if low > 2:  # few documents are left: only their postings are dealt out
+            left = sized(stored(found.select(*_DOC).distinct(), "phrase-docs"), 16)
+            same = [seen[c].eqNullSafe(left[c]) for c in _DOC]
+            seen = seen.join(left, same, "left_semi")
         on = [F.col("w.term") == F.col("p.term"), F.col("w.position") == F.col("p.position")]
         on += [F.col(f"w.{c}").eqNullSafe(F.col(f"p.{c}")) for c in _DOC]
-        both = sized(wanted, 64).alias("w").join(seen.alias("p"), on)
+        both = stored(wanted, f"phrase-{low}-wanted").alias("w").join(seen.alias("p"), on)
         keys = ["window", "n_terms", *_DOC, "start"]
         held = both.select(*[F.col(f"w.{c}").alias(c) for c in keys], F.col("w.position").alias("position"))
         held = held.groupBy(*keys).agg(F.count_distinct("position").alias("held"))

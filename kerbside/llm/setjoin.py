@@ -321,11 +321,11 @@ def star_edges(digest: DataFrame, join: Join, name: str) -> DataFrame:
 
 
 def classes(digest: DataFrame, name: str) -> DataFrame:
-    """One row per distinct set that is not empty, with its smallest ``row`` and, there, its
-    smallest line; stored."""
-    first = F.min(F.struct("row", "line"))
-    rows = digest.where("n > 0").groupBy("key", "id", "n").agg(first.alias("first"))
-    return stored(rows.select("key", "id", "n", "first.*"), name)
+    """One row per distinct set that is not empty, with its smallest ``row`` (null first) and, there,
+    its smallest line; ``least`` is the smallest ``row`` that is not null. Stored."""
+    first = F.min(F.struct("row", "line")).alias("first")
+    rows = digest.where("n > 0").groupBy("key", "id", "n").agg(first, F.min("row").alias("least"))
+    return stored(rows.select("key", "id", "n", "first.*", "least"), name)
 
 
 def verified(
