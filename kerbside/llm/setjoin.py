@@ -37,6 +37,8 @@ SKETCH_BITS = 20
 _CHUNK = 1 << 14
 _TOKEN_BITS = 44
 _SET_BITS = 52
+#: Postings that a task holds before it sends them on, and that a bucket has on average.
+_FLUSH = 1 << 18
 _POSTINGS = 1 << 19
 
 
@@ -300,7 +302,7 @@ def star_edges(digest: DataFrame, join: Join, name: str) -> DataFrame:
             p["held"] = 1
             parts.append(p)
             total += len(p)
-            if total >= 2 * _POSTINGS:
+            if total >= _FLUSH:
                 yield from emptied(parts)
                 parts, total = [], 0
         if total:
