@@ -39,7 +39,8 @@ _TOKEN_BITS = 44
 _SET_BITS = 52
 #: Postings that a task holds before it sends them on, and that a bucket has on average.
 _FLUSH = 1 << 18
-_POSTINGS = 1 << 19
+_POSTINGS = 1 << 17
+_BUCKETS_PER_TASK = 4
 
 
 class Join(NamedTuple):
@@ -260,7 +261,7 @@ def star_edges(digest: DataFrame, join: Join, name: str) -> DataFrame:
     """
     digest = digest.where("prefix is not null")
     held = digest.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    buckets = max(tasks(digest.sparkSession), -(-held // _POSTINGS))
+    buckets = max(_BUCKETS_PER_TASK * tasks(digest.sparkSession), -(-held // _POSTINGS))
     schema = EDGE + ", bucket int, blob binary"
     kinds = pa.schema(
         [("token", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("passes", pa.bool_()),
@@ -309,17 +310,20 @@ def star_edges(digest: DataFrame, join: Join, name: str) -> DataFrame:
             yield from emptied(parts)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
+        parts: dict[int, list[bytes]] = {}
         for batch in batches:
             edges = batch.filter(batch.column("token").is_valid())
             if len(edges):
                 yield edges.select(["token", "a", "b", "passes", "size"])
-            parts += [_unpack(x) for x in batch.column("blob").to_pylist() if x is not None]
-        if parts:
-            yield _stars(np.concatenate(parts), join)[1]
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist()):
+                if blob is not None:
+                    parts.setdefault(bucket, []).append(blob)
+        while parts:  # a bucket at a time; a token is in one bucket
+            blobs = parts.popitem()[1]
+            yield _stars(np.concatenate([_unpack(x) for x in blobs]), join)[1]
 
     scattered = digest.select("row", "line", "id", "n", "prefix").mapInArrow(scatter, schema)
-    return stored(scattered.repartition(buckets, "bucket").mapInArrow(gather, EDGE), name)
+    return stored(scattered.repartition(-(-buckets // _BUCKETS_PER_TASK), "bucket").mapInArrow(gather, EDGE), name)
 
 
 def classes(digest: DataFrame, name: str) -> DataFrame:
