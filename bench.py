@@ -39,6 +39,7 @@ HEADLINE = [
     "hex_event",
     "box_compare",
     "school_crash_counts",
+    "points_in_polygons",
     "tract_rates",
     "school_lines",
     "kde_classes",

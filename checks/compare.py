@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 from collections import Counter
 
@@ -25,6 +26,7 @@ def session(cores: str = "8") -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="checkpoint-"))
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")

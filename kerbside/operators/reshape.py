@@ -13,8 +13,9 @@ def widen(
     df: DataFrame, ids: Iterable[str], names: str, values: str, levels: Iterable
 ) -> DataFrame:
     """One row per id and one column per level. Levels are given, so no extra job reads
-    them; a level without rows is a null column."""
-    return df.groupBy(*ids).pivot(names, list(levels)).agg(F.first(values))
+    them; a level without rows is a null column. Of several values for
+    one cell the largest is taken."""
+    return df.groupBy(*ids).pivot(names, list(levels)).agg(F.max(values))
 
 
 def lengthen(

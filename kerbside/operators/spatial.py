@@ -85,9 +85,16 @@ def _n_cells(box: tuple[str, str, str, str], size: Column) -> Column:
 
 
 def _row_bytes(df: DataFrame) -> Column:
-    """Bytes of a row's values, generously: 64 for each, and the length of its texts."""
-    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t == "string"]
-    return reduce(lambda a, b: a + b, texts, F.lit(64 * (len(df.columns) + len(_CELL))))
+    """Bytes of a row's values, generously: 64 for each, and the length of its texts. Arrays, maps
+    and structs count eight bytes for each character of their text form, more than an
+    element takes."""
+    sizes = []
+    for c, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            sizes.append(F.coalesce(F.octet_length(c), F.lit(0)).cast("long"))
+        elif "<" in kind:
+            sizes.append(8 * F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)).cast("long"))
+    return reduce(lambda a, b: a + b, sizes, F.lit(64 * (len(df.columns) + len(_CELL))).cast("long"))
 
 
 def _join_cells(left: DataFrame, listed: DataFrame, size: int, salt: int) -> DataFrame:
@@ -98,7 +105,8 @@ def _join_cells(left: DataFrame, listed: DataFrame, size: int, salt: int) -> Dat
     total = per_cell.agg(F.sum("_n")).scalar()
     # by definition fewer than HOT_CELLS rows
     hot = per_cell.where(F.col("_n") * HOT_CELLS > total).select(*_CELL, F.lit(True).alias("_hot"))
-    part = F.pmod(F.xxhash64(*left.columns), F.lit(salt)).cast("int")
+    # numbers of rows, not a hash of them: equal rows are split too, and any type is accepted
+    part = F.pmod(F.monotonically_increasing_id(), F.lit(salt)).cast("int")
     parts = F.sequence(F.lit(0), F.lit(salt - 1))
     left = left.join(F.broadcast(hot), _CELL, "left").withColumn(
         "_salt", F.when(F.col("_hot"), part).otherwise(0)

@@ -85,12 +85,11 @@ def trick_or_treat_days(years: DataFrame) -> DataFrame:
 def flag_dates(df: DataFrame, days: DataFrame, out: str = "trickortreat") -> DataFrame:
     """Whether the row's date is one of ``days``; FALSE for a row without a date.
 
-    The listed days are few per year, so they go in as one array value, not as a join.
+    A left join on the distinct days, which Spark broadcasts if they are few.
     """
-    listed = days.agg(F.collect_set("day")).scalar()
-    return df.withColumn(
-        out, F.coalesce(F.array_contains(listed, F.col("date")), F.lit(False))
-    )
+    listed = days.select(F.col("day").alias("_day")).distinct()
+    found = df.join(listed, df["date"] == listed["_day"], "left")
+    return found.withColumn(out, F.col("_day").isNotNull()).drop("_day")
 
 
 def inside_city(

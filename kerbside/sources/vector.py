@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kerbside.sources.names import file_name
+
 _FEATURE = {
     "properties": "map<string,string>",
-    "geometry": "struct<type:string,coordinates:string>",
+    "geometry": "struct<type:string,coordinates:string,geometries:array<struct<type:string,coordinates:string>>>",
 }
 _PATH = "array<array<double>>"
 _POLYGON = f"array<{_PATH}>"
@@ -23,17 +25,18 @@ def _points(path: Column) -> Column:
 
 
 def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """One row per feature: ``file_name, properties, type, rings, paths, lon, lat``.
+    """One row per feature: ``file_name, properties, type, rings, paths, lon, lat, points``; a
+    collection of geometries gives a row for each.
 
     Polygons fill ``rings`` (all parts of a multi-polygon together), lines ``paths``, points
-    ``lon`` and ``lat``. Coordinates stay text until the geometry type is known, so files of
+    ``lon`` and ``lat``, multi-points ``points``. Coordinates stay text until the geometry type is known, so files of
     mixed types need no schema inference. A collection is one JSON document and is read
     whole by one task; a file with one feature per line (``lines=True``) is split.
     """
     if lines:
         schema = ", ".join(f"{name} {kind}" for name, kind in _FEATURE.items())
         features = spark.read.schema(schema).json(path).select(
-            "*", F.col("_metadata.file_name").alias("file_name")
+            "*", file_name().alias("file_name")
         )
     else:
         fields = ",".join(f"{name}:{kind}" for name, kind in _FEATURE.items())
@@ -41,9 +44,13 @@ def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFra
             spark.read.schema(f"features array<struct<{fields}>>")
             .option("multiLine", True)
             .json(path)
-            .select(F.explode("features").alias("f"), F.col("_metadata.file_name").alias("file_name"))
+            .select(F.explode("features").alias("f"), file_name().alias("file_name"))
             .select("f.*", "file_name")
         )
+    own = F.struct(F.col("geometry.type").alias("type"), F.col("geometry.coordinates").alias("coordinates"))
+    features = features.withColumn(
+        "geometry", F.explode(F.coalesce("geometry.geometries", F.array(own)))
+    )
     kind, text = F.col("geometry.type"), F.col("geometry.coordinates")
     rings = (
         F.when(kind == "Polygon", F.transform(F.from_json(text, _POLYGON), _points))
@@ -65,6 +72,7 @@ def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFra
         paths.alias("paths"),
         point[0].alias("lon"),
         point[1].alias("lat"),
+        F.when(kind == "MultiPoint", _points(F.from_json(text, _PATH))).alias("points"),
     )
 
 
@@ -93,15 +101,19 @@ def read_municipalities(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+_RING = "struct<LinearRing:struct<coordinates:string>>"
+_AREA = f"struct<outerBoundaryIs:{_RING},innerBoundaryIs:array<{_RING}>>"
+_PLACE = "struct<coordinates:string>"
 _PLACEMARK = (
-    "name string, Point struct<coordinates:string>, LineString struct<coordinates:string>, "
-    "Polygon struct<outerBoundaryIs:struct<LinearRing:struct<coordinates:string>>>"
+    f"name string, Point {_PLACE}, LineString {_PLACE}, Polygon {_AREA}, "
+    f"MultiGeometry struct<Point:array<{_PLACE}>,LineString:array<{_PLACE}>,Polygon:array<{_AREA}>>"
 )
 
 
 def read_kml(spark: SparkSession, path: str) -> DataFrame:
     """One row per placemark: ``name, lon, lat`` of a point, ``path`` of a line, ``rings`` of
-    a polygon's outline."""
+    polygons (outlines and holes). The parts of a multi-geometry are in ``points``, ``paths`` and
+    ``rings``."""
     marks = spark.read.format("xml").option("rowTag", "Placemark").schema(_PLACEMARK).load(path)
 
     def pair(text: Column) -> Column:
@@ -114,14 +126,23 @@ def read_kml(spark: SparkSession, path: str) -> DataFrame:
     def tuples(text: Column) -> Column:
         return F.transform(F.split(F.trim(text), r"\s+"), pair)
 
+    def outlines(area: Column) -> Column:
+        inner = F.coalesce(area["innerBoundaryIs"], F.array().cast(f"array<{_RING}>"))
+        return F.transform(
+            F.concat(F.array(area["outerBoundaryIs"]), inner),
+            lambda ring: tuples(ring["LinearRing"]["coordinates"]),
+        )
+
+    many = F.col("MultiGeometry")
     point = pair(F.col("Point.coordinates"))
     return marks.select(
         "name",
         point["x"].alias("lon"),
         point["y"].alias("lat"),
         tuples(F.col("LineString.coordinates")).alias("path"),
-        F.when(
-            F.col("Polygon").isNotNull(),
-            F.array(tuples(F.col("Polygon.outerBoundaryIs.LinearRing.coordinates"))),
-        ).alias("rings"),
+        F.when(F.col("Polygon").isNotNull(), outlines(F.col("Polygon")))
+        .when(many["Polygon"].isNotNull(), F.flatten(F.transform(many["Polygon"], outlines)))
+        .alias("rings"),
+        F.transform(many["Point"], lambda p: pair(p["coordinates"])).alias("points"),
+        F.transform(many["LineString"], lambda p: tuples(p["coordinates"])).alias("paths"),
     )
