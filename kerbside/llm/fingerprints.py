@@ -16,13 +16,18 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kerbside.llm import setjoin as S
 from kerbside.llm import words as W
 from kerbside.llm.common import tasks
+from kerbside.llm.ngram_join import linked
 
 SHINGLE = 5
 SIZE = 128
-#: Rows to a band: two texts of similarity s share a band with 1 - (1 - s**8)**16.
-BAND = 8
+#: Minima to a band: two texts of similarity s share a band with 1 - (1 - s**4)**32, at 0.8 all
+#: but one pair in twenty million.
+BAND = 4
+#: Five words, similarity 0.8; bands have no order that would bound an intersection.
+NEAR = S.Join(k=SHINGLE, num=80, den=100, positions=False)
 _EMPTY = np.uint16(0xFFFF)
 
 
@@ -35,11 +40,17 @@ def _functions() -> tuple[np.ndarray, np.ndarray]:
 
 def signatures(part: pa.LargeStringArray) -> np.ndarray:
     """One row of ``SIZE`` unsigned 32-bit minima per text of a slice; all ones without words."""
-    a, b = _functions()
     h, unit = W.shingles(W.words(part), SHINGLE)
-    h = (h >> np.uint64(32))[np.argsort(unit, kind="stable")]
+    h = h[np.argsort(unit, kind="stable")]
     count = np.bincount(unit, minlength=len(part))
-    out = np.full((len(part), SIZE), 0xFFFFFFFF, np.uint64)
+    return _minima(h, count)
+
+
+def _minima(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Minima of the hashes of each unit, which has ``count`` of them; all ones if none."""
+    a, b = _functions()
+    h = h >> np.uint64(32)
+    out = np.full((len(count), SIZE), 0xFFFFFFFF, np.uint64)
     some = np.flatnonzero(count)
     if len(some):
         start = (np.cumsum(count) - count)[some]
@@ -48,6 +59,25 @@ def signatures(part: pa.LargeStringArray) -> np.ndarray:
     return out.astype(np.uint32)
 
 
+def _bands(sets: S.Sets, leads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One token per band of each marked unit: its number and its minima, hashed."""
+    minima = _minima(sets.hash, sets.n)[leads].astype(np.uint64)
+    bands = [W.mix(np.full(len(minima), i, np.uint64)) for i in range(SIZE // BAND)]
+    for i in range(SIZE):
+        bands[i // BAND] = W.mix(bands[i // BAND] + minima[:, i])
+    return np.stack(bands, axis=1).ravel(), np.where(leads, SIZE // BAND, 0)
+
+
+def near_groups(docs: DataFrame, join: S.Join = NEAR) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id`` and ``links`` per row of ``docs``, as in
+    ``ngram_join.similar_documents`` (which states nulls, empty texts and repeated rows).
+
+    Sets meet by equal bands of their fingerprints instead of a prefix. Pairs are verified on the
+    shingles of the whole texts, so every link is real; ``BAND`` states how many are found."""
+    base = docs.select(F.col("doc_id").cast("long").alias("row"), F.col("text").cast("string").alias("text"))
+    return linked(base, S.digested(base, join, _bands, "band-digest"), join)
+
+
 def _fingerprints(texts: list[str]) -> np.ndarray:
     """The low 16 bits of the minima: unequal minima agree in them once in 65536."""
     found = [signatures(part) for _, part in W.slices(pa.array(texts, pa.string()), 1 << 19)]
@@ -74,7 +104,8 @@ def _chains(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), key.alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = 4 * tasks(spark)
     at = sorted(set(rows.select("key").approxQuantile("key", [i / n for i in range(1, n)], 0.2 / n)))
-    cuts = Bucketizer(splits=[-float("inf"), *at, float("inf")], inputCol="number", outputCol="range")
+    # an empty table has no quantiles, and there must be one cut
+    cuts = Bucketizer(splits=[-float("inf"), *(at or [0.0]), float("inf")], inputCol="number", outputCol="range")
     rows = cuts.transform(rows.withColumn("number", F.col("key").cast("double"))).drop("number")
     rows = rows.withColumn("range", F.col("range").cast("int"))
     # one row per range: bounded by the number of ranges

@@ -20,7 +20,7 @@ bits never exceed the number of shingles that only one set has.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -44,12 +44,14 @@ _BUCKETS_PER_TASK = 4
 
 
 class Join(NamedTuple):
-    """``k`` words to a shingle; linked when ``den * intersection >= num * union``."""
+    """``k`` words to a shingle; linked when ``den * intersection >= num * union``. Without
+    ``positions`` a token's place among the tokens of its set bounds nothing."""
 
     k: int
     num: int
     den: int
     lines: bool = False
+    positions: bool = True
 
 
 def _numpy(column: pa.Array) -> np.ndarray:
@@ -149,40 +151,49 @@ DIGEST = (
 
 
 def digests(docs: DataFrame, join: Join, name: str) -> DataFrame:
-    """One row per text, or per line that has words, stored: ``row`` (given in ``docs``), line
-    number, size and key of the set; and, for one of the equal sets of a batch, sketch and prefix.
-    """
+    """``digested`` by the prefixes of the sets, rare shingles first."""
     counts = shingle_counts(docs, join)
     levels = np.minimum(255, np.floor(4 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
     levels = docs.sparkSession.sparkContext.broadcast(levels)
 
+    def prefix(sets: Sets, leads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # a second sort, by unit, rarity and token: the upper 20 bits of a token give its rarity
+        token = sets.hash >> np.uint64(64 - _TOKEN_BITS)
+        order = sets.unit.astype(np.uint64) << np.uint64(_SET_BITS)
+        order |= levels.value[_slot(sets.hash)].astype(np.uint64) << np.uint64(_TOKEN_BITS)
+        order = np.sort(order | token)
+        size = np.where(leads, _prefix_size(sets.n, join), 0)
+        place = np.arange(len(order)) - sets.first[sets.unit]
+        return order[place < size[sets.unit]] & np.uint64((1 << _TOKEN_BITS) - 1), size
+
+    return digested(docs, join, prefix, name)
+
+
+def digested(docs: DataFrame, join: Join, tokens: Callable, name: str) -> DataFrame:
+    """One row per text, or per line that has words, stored: ``row`` (given in ``docs``), line
+    number, size and key of the set; and, for one of the equal sets of a batch, sketch and, as
+    ``prefix``, the tokens by which sets meet. ``tokens`` gets sets and a mark for the units that
+    need tokens, and returns the tokens in order of units and how many each unit has."""
+
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = levels.value
         for batch in batches:
             for at, texts in W.slices(batch.column(1)):
                 w = W.words(texts, lines=join.lines)
                 row_start = np.searchsorted(w.unit_row, w.unit_row)
                 for low, sets in distinct(w, join.k):
-                    yield _digest(batch.column(0), at, w, row_start, low, sets, level, join)
+                    yield _digest(batch.column(0), at, w, row_start, low, sets, tokens, join)
 
     out = docs.select("row", "text").mapInArrow(digest, DIGEST)
     return stored(out, name)
 
 
-def _digest(rows, at, w, row_start, low, sets, level, join) -> pa.RecordBatch:
+def _digest(rows, at, w, row_start, low, sets, tokens, join) -> pa.RecordBatch:
     keys, parity = set_keys(sets), _parity(sets)
     _, one = np.unique(keys[:, 0], return_index=True)
     leads = np.zeros(len(sets.n), bool)
     leads[one] = True
     leads &= sets.n > 0
-    # a second sort, by unit, rarity and token: the upper 20 bits of a token give its rarity
-    token = sets.hash >> np.uint64(64 - _TOKEN_BITS)
-    order = sets.unit.astype(np.uint64) << np.uint64(_SET_BITS)
-    order |= level[_slot(sets.hash)].astype(np.uint64) << np.uint64(_TOKEN_BITS)
-    order = np.sort(order | token)
-    size = np.where(leads, _prefix_size(sets.n, join), 0)
-    place = np.arange(len(order)) - sets.first[sets.unit]
-    prefix = order[place < size[sets.unit]] & np.uint64((1 << _TOKEN_BITS) - 1)
+    prefix, size = tokens(sets, leads)
     offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
     lists = pa.ListArray.from_arrays(
         pa.array(offsets, mask=np.append(~leads, False)), pa.array(prefix.view(np.int64))
@@ -299,7 +310,8 @@ def star_edges(digest: DataFrame, join: Join, name: str) -> DataFrame:
             p["row"] = _numpy(batch.column("row").fill_null(np.iinfo(np.int64).min))[of]
             p["line"], p["id"] = _numpy(batch.column("line"))[of], _numpy(batch.column("id"))[of]
             p["n"] = np.minimum(_numpy(batch.column("n")), 65535)[of]
-            p["at"] = np.minimum(np.arange(len(tokens)) - (np.cumsum(size) - size)[of], 65535)
+            place = np.arange(len(tokens)) - (np.cumsum(size) - size)[of]
+            p["at"] = np.minimum(place, 65535) if join.positions else 0
             p["held"] = 1
             parts.append(p)
             total += len(p)
@@ -434,7 +446,7 @@ def cross_pairs(left: DataFrame, right: DataFrame, differ: Column, join: Join) -
     eight of either."""
     x, y = left.alias("x"), right.alias("y")
     low, high = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    most = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    most = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) if join.positions else low
     both = F.col("x.n") + F.col("y.n")
     on = (F.col("x.token") == F.col("y.token")) & differ
     on &= low * join.den >= high * join.num

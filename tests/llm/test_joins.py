@@ -70,6 +70,16 @@ def test_ngram_join_equals_brute_force(spark, seed):
     assert kept == {i for i in range(len(texts)) if want[i] == i}
 
 
+def test_banded_fingerprints_equal_brute_force(spark):
+    texts = corpus(2)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r for r in fingerprints.near_groups(docs).collect()}
+    sets = [shingles(t, 5) for t in texts]
+    assert [got[i].n_shingles for i in range(len(texts))] == [len(s) for s in sets]
+    assert [got[i].component_id for i in range(len(texts))] == linked(sets, 80, 100)
+    assert fingerprints.near_groups(docs.limit(0)).count() == 0
+
+
 def test_ngram_join_odd_rows(spark):
     schema = "doc_id long, text string, row int, id string, key string"
     rows = [(1, "a b c d", 1, "x", "y"), (1, "a b c d", 1, "x", "y"), (None, "A B c d", 2, None, None), (3, None, 0, "", "")]
