@@ -8,8 +8,9 @@ the first ``n - ceil(n * num / den) + 1`` of each (prefix filter).
 1. ``digests``: one row per text (or line) with the size of its set, a 128-bit key of the whole
    set and the prefix. Equal sets are one class from here on.
 2. ``star_edges``: for every prefix shingle, its classes are compared with one leader only,
-   first within a task, then between tasks, so a shingle that a third of all rows hold reaches
-   a reducer once per task. Length and positional filters apply.
+   first within a task if it has more than two there, then between tasks, so a shingle that a
+   third of all rows hold reaches a reducer at most twice per flush of a task. Length and
+   positional filters apply.
 3. Edges that pass the filters are verified on the texts, once per pair.
 4. What that leaves open (classes that share a shingle but are not settled) is in
    ``cross_pairs``: a join on the open shingles only, with length, positional and suffix filters.
@@ -189,9 +190,11 @@ def digested(docs: DataFrame, join: Join, tokens: Callable, name: str) -> DataFr
 
 def _digest(rows, at, w, row_start, low, sets, tokens, join) -> pa.RecordBatch:
     keys, parity = set_keys(sets), _parity(sets)
-    _, one = np.unique(keys[:, 0], return_index=True)
+    # the first of equal sets in order of row and line, however the rows of the batch are dealt
+    place = np.argsort(_numpy(rows.fill_null(np.iinfo(np.int64).min))[at + w.unit_row[low : low + len(sets.n)]], kind="stable")
+    _, one = np.unique(keys[place, 0], return_index=True)
     leads = np.zeros(len(sets.n), bool)
-    leads[one] = True
+    leads[place[one]] = True
     leads &= sets.n > 0
     prefix, size = tokens(sets, leads)
     offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
@@ -225,10 +228,9 @@ def _passes(n_a, n_b, at_a, at_b, join: Join) -> np.ndarray:
     return (length & place) | (np.maximum(n_a, n_b) == 65535)
 
 
-def _stars(p: np.ndarray, join: Join) -> tuple[np.ndarray, pa.RecordBatch]:
-    """Each token's leader, which holds how many classes it speaks for, and the edges to it.
-    The leader has the smallest row, then line, then id."""
-    p = p[np.argsort(p["token"])]
+def _leaders(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of postings in order of token: where each token starts, the number of each posting's token,
+    and each token's leader, which has the smallest row, then line, then id."""
     new = np.concatenate([[True], p["token"][1:] != p["token"][:-1]])
     start = np.flatnonzero(new)
     group = np.cumsum(new) - 1
@@ -237,17 +239,36 @@ def _stars(p: np.ndarray, join: Join) -> tuple[np.ndarray, pa.RecordBatch]:
         value = np.where(first, p[name], np.iinfo(p[name].dtype).max)
         first &= value == np.minimum.reduceat(value, start)[group]
     at = np.flatnonzero(first)
-    at = at[np.concatenate([[True], group[at][1:] != group[at][:-1]])]
-    lead = p[at]
-    lead["held"] = np.add.reduceat(p["held"], start)
-    m = np.flatnonzero(p["id"] != lead["id"][group])
-    a, b = lead[group[m]], p[m]
-    passes, size = _passes(a["n"], b["n"], a["at"], b["at"], join), a["held"].astype(np.int32)
+    return start, group, p[at[np.concatenate([[True], group[at][1:] != group[at][:-1]])]]
+
+
+def _stars(p: np.ndarray, join: Join, last: bool) -> tuple[np.ndarray, pa.RecordBatch]:
+    """Postings to send on and edges. A token with more than two classes sends its leader, which
+    holds how many postings it speaks for, and has edges to it. With one or two it has edges only
+    if these are all the postings there are (``last``); otherwise it sends both classes, since
+    others may come from elsewhere and each must then meet their leader."""
+    p = p[np.argsort(p["token"])]
+    start, group, lead = _leaders(p)
+    other = p["id"] != lead["id"][group]
+    ends = np.iinfo(np.int64)
+    low = np.minimum.reduceat(np.where(other, p["id"], ends.max), start)
+    high = np.maximum.reduceat(np.where(other, p["id"], ends.min), start)
+    few = (low >= high) & (np.maximum.reduceat(p["held"], start) == 1)
+    total = np.where(few, 1 + (low == high), np.add.reduceat(p["held"], start)).astype(np.int32)
+    lead["held"] = np.where(few, 1, total)
+    send = lead
+    if not last:
+        second = p[other & few[group]]
+        if len(second):
+            send = np.concatenate([lead, _leaders(second)[2]])
+    m = np.flatnonzero(other if last else other & ~few[group])
+    a, b, size = lead[group[m]], p[m], total[group[m]]
+    passes = _passes(a["n"], b["n"], a["at"], b["at"], join)
     keep = passes | (size != 2)
     a, b = a[keep], b[keep]
     edges = {"token": a["token"].view(np.int64), "a": a["id"], "b": b["id"]}
     edges |= {"passes": passes[keep], "size": size[keep]}
-    return lead, pa.RecordBatch.from_pydict({k: np.ascontiguousarray(v) for k, v in edges.items()})
+    return send, pa.RecordBatch.from_pydict({k: np.ascontiguousarray(v) for k, v in edges.items()})
 
 
 def _pack(p: np.ndarray) -> bytes:
@@ -268,7 +289,8 @@ def star_edges(digest: DataFrame, join: Join, name: str) -> DataFrame:
     """Edges from the leader of each prefix token to its other classes, stored.
 
     A leader is the class with the smallest ``row`` and line. ``passes``: the pair may be similar.
-    Pairs that do not pass are kept if their token has more than two classes.
+    Pairs that do not pass are kept if their token has more than two classes. ``size`` is 2 only if
+    the token has no more than two classes in the whole table.
     """
     digest = digest.where("prefix is not null")
     held = digest.agg(F.sum(F.size("prefix"))).first()[0] or 0
@@ -285,7 +307,7 @@ def star_edges(digest: DataFrame, join: Join, name: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([*edges.columns, *more], schema=kinds)
 
     def emptied(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        lead, edges = _stars(np.concatenate(parts), join)
+        lead, edges = _stars(np.concatenate(parts), join, last=False)
         to = (lead["token"] % np.uint64(buckets)).astype(np.int64)
         lead = lead[np.argsort(to, kind="stable")]
         ends = np.cumsum(np.bincount(to, minlength=buckets))
@@ -332,7 +354,7 @@ def star_edges(digest: DataFrame, join: Join, name: str) -> DataFrame:
                     parts.setdefault(bucket, []).append(blob)
         while parts:  # a bucket at a time; a token is in one bucket
             blobs = parts.popitem()[1]
-            yield _stars(np.concatenate([_unpack(x) for x in blobs]), join)[1]
+            yield _stars(np.concatenate([_unpack(x) for x in blobs]), join, last=True)[1]
 
     scattered = digest.select("row", "line", "id", "n", "prefix").mapInArrow(scatter, schema)
     return stored(scattered.repartition(-(-buckets // _BUCKETS_PER_TASK), "bucket").mapInArrow(gather, EDGE), name)
