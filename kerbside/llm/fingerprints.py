@@ -74,7 +74,7 @@ def near_groups(docs: DataFrame, join: S.Join = NEAR) -> DataFrame:
 
     Sets meet by equal bands of their fingerprints instead of a prefix. Pairs are verified on the
     shingles of the whole texts, so every link is real; ``BAND`` states how many are found."""
-    base = docs.select(F.col("doc_id").cast("long").alias("row"), F.col("text").cast("string").alias("text"))
+    base = S.base(docs)
     return linked(base, S.digested(base, join, _bands, "band-digest"), join)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,15 +15,16 @@ QUERY = S.Join(k=5, num=80, den=100, lines=True)
 
 
 def repeated_lines(docs: DataFrame, join: S.Join = QUERY) -> DataFrame:
-    """``row`` (the ``doc_id``) and ``line`` (from 0) of every line to remove.
+    """``row`` (the ``doc_id``), ``hash`` (of the text) and ``line`` (from 0) of every line to remove.
 
     A line is what stands between line feeds. Its tokens are its distinct word n-grams (words
     at ASCII white space, A-Z as a-z; fewer than ``k`` words are one token). A line is removed
     if any earlier line, in order of ``doc_id`` and place, has a similarity of ``num/den`` or
     more, whether or not that one is removed too. Lines without words always stay. Rows of one
-    ``doc_id`` and text are one document. Nulls of ``doc_id`` come first.
+    ``doc_id`` and text are one document; texts of one ``doc_id``, or without one, are each a
+    document and in order of their hashes (``setjoin.place``). Nulls of ``doc_id`` come first.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("row"), F.col("text").cast("string").alias("text"))
+    base = S.base(docs)
     digest = S.digests(base, join, "line-digest")
     klass = S.classes(digest, "line-classes")
     edges = S.star_edges(digest, join, "line-edges")
@@ -36,7 +37,7 @@ def repeated_lines(docs: DataFrame, join: S.Join = QUERY) -> DataFrame:
     open_tokens = edges.where("size > 2").join(settled.withColumnRenamed("id", "b"), "b", "left_anti")
     open_tokens = stored(open_tokens.select("token").distinct(), "line-open")
     posts = S.open_postings(digest, open_tokens, "line-postings")
-    order = klass.groupBy("id").agg(F.min(F.struct("row", "line")).alias("first"))
+    order = klass.groupBy("id").agg(F.min(_first()).alias("first"))
     posts = stored(posts.join(order, "id"), "line-ordered")
     earlier = F.col("y.first") < F.col("x.first")
     more = S.cross_pairs(posts.join(settled, "id", "left_anti"), posts, earlier, join)
@@ -46,15 +47,21 @@ def repeated_lines(docs: DataFrame, join: S.Join = QUERY) -> DataFrame:
 
     gone = gone.union(_later(rest, klass)).distinct().withColumn("gone", F.lit(True))
     state = klass.join(gone, "key", "left").select(
-        "key", F.struct("row", "line").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone")
+        "key", F.struct("row", "hash", "line").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone")
     )
-    lines = digest.select("row", "line", "key").join(state, "key")
-    return lines.where(F.col("gone") | (F.struct("row", "line") != F.col("first"))).select("row", "line")
+    own = F.struct("row", "hash", "line")
+    lines = digest.select("row", "hash", "line", "key").join(state, "key")
+    return lines.where(F.col("gone") | (own != F.col("first"))).select("row", "hash", "line")
+
+
+def _first() -> Column:
+    """The order of classes by ``setjoin.place``, without ties."""
+    return F.struct("row", S.part().alias("part"), "line", "id")
 
 
 def _later(links: DataFrame, klass: DataFrame) -> DataFrame:
     """The key of the later class of each link."""
-    first = klass.select("key", F.struct("row", "line").alias("first"))
+    first = klass.select("key", _first().alias("first"))
     a = first.select(F.col("key").alias("a_key"), F.col("first").alias("a_first"))
     b = first.select(F.col("key").alias("b_key"), F.col("first").alias("b_first"))
     later = F.when(F.col("a_first") > F.col("b_first"), F.col("a_key")).otherwise(F.col("b_key"))
@@ -77,20 +84,21 @@ def dedup_lines(docs: DataFrame, join: S.Join = QUERY) -> DataFrame:
     ``n_removed`` added (replaced if they exist).
 
     A null text has no lines and stays null, an empty text has one, empty line and stays."""
-    drop = repeated_lines(docs, join).distinct().groupBy("row").agg(F.collect_list("line").alias("drop"))
+    drop = repeated_lines(docs, join).distinct().groupBy("row", "hash").agg(F.collect_list("line").alias("drop"))
     drop = stored(drop, "line-drop")
     lines = drop.agg(F.sum(F.size("drop"))).first()[0] or 0
-    drop = sized(drop.select(F.col("row").alias("__row"), F.col("drop").alias("__drop")), 24, lines + drop.count())
-    found = docs.drop("n_lines", "n_removed").join(
-        drop, docs["doc_id"].cast("long").eqNullSafe(F.col("__row")), "left"
-    )
+    drop = drop.select(F.col("row").alias("__row"), F.col("hash").alias("__hash"), F.col("drop").alias("__drop"))
+    drop = sized(drop, 32, lines + drop.count())
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__row"))
+    same &= F.xxhash64(docs["text"].cast("string")) == F.col("__hash")
+    found = docs.drop("n_lines", "n_removed").join(drop, same, "left")
     some = F.col("__drop").isNotNull()
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
     return (
         found.withColumn("n_lines", n_lines.cast("long"))
         .withColumn("n_removed", F.when(some, F.size("__drop")).otherwise(0).cast("long"))
         .withColumn("text", F.when(some, _without(F.when(some, F.col("text")), F.col("__drop"))).otherwise(F.col("text")))
-        .drop("__row", "__drop")
+        .drop("__row", "__hash", "__drop")
     )
 
 

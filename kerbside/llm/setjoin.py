@@ -63,6 +63,23 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def base(docs: DataFrame) -> DataFrame:
+    """What the joins read: ``row`` (the ``doc_id``), the text and its ``hash``, which tells rows of
+    one ``doc_id``, or without one, apart."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("row"), F.xxhash64(text).alias("hash"), text.alias("text"))
+
+
+def part() -> Column:
+    """The half of the hash that orders the texts of one row, in postings too."""
+    return F.shiftright("hash", 32).cast("int")
+
+
+def place() -> Column:
+    """The order of lines: by row (null first), then text, then line."""
+    return F.struct("row", part().alias("part"), "line", "hash")
+
+
 def shingle_counts(docs: DataFrame, join: Join) -> np.ndarray:
     """Occurrences of shingles by slot, over all texts. ``docs`` has ``text``."""
     kinds = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())])
@@ -146,7 +163,7 @@ def _parity(sets: Sets) -> np.ndarray:
 
 
 DIGEST = (
-    "row long, line int, n int, key binary, id long, "
+    "row long, hash long, line int, n int, key binary, id long, "
     "s0 long, s1 long, s2 long, s3 long, prefix array<long>"
 )
 
@@ -171,30 +188,32 @@ def digests(docs: DataFrame, join: Join, name: str) -> DataFrame:
 
 
 def digested(docs: DataFrame, join: Join, tokens: Callable, name: str) -> DataFrame:
-    """One row per text, or per line that has words, stored: ``row`` (given in ``docs``), line
+    """One row per text, or per line that has words, stored: ``row`` and ``hash`` (of ``base``), line
     number, size and key of the set; and, for one of the equal sets of a batch, sketch and, as
     ``prefix``, the tokens by which sets meet. ``tokens`` gets sets and a mark for the units that
     need tokens, and returns the tokens in order of units and how many each unit has."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in W.slices(batch.column(1)):
+            for at, texts in W.slices(batch.column(2)):
                 w = W.words(texts, lines=join.lines)
                 row_start = np.searchsorted(w.unit_row, w.unit_row)
                 for low, sets in distinct(w, join.k):
-                    yield _digest(batch.column(0), at, w, row_start, low, sets, tokens, join)
+                    yield _digest(batch.column(0), batch.column(1), at, w, row_start, low, sets, tokens, join)
 
-    out = docs.select("row", "text").mapInArrow(digest, DIGEST)
+    out = docs.select("row", "hash", "text").mapInArrow(digest, DIGEST)
     return stored(out, name)
 
 
-def _digest(rows, at, w, row_start, low, sets, tokens, join) -> pa.RecordBatch:
+def _digest(rows, hashes, at, w, row_start, low, sets, tokens, join) -> pa.RecordBatch:
     keys, parity = set_keys(sets), _parity(sets)
-    # the first of equal sets in order of row and line, however the rows of the batch are dealt
-    place = np.argsort(_numpy(rows.fill_null(np.iinfo(np.int64).min))[at + w.unit_row[low : low + len(sets.n)]], kind="stable")
-    _, one = np.unique(keys[place, 0], return_index=True)
+    # the first of equal sets in order of place, however the rows of the batch are dealt
+    of = at + w.unit_row[low : low + len(sets.n)]
+    row = _numpy(rows.fill_null(np.iinfo(np.int64).min))[of]
+    order = np.lexsort((_numpy(hashes)[of] >> 32, row))
+    _, one = np.unique(keys[order, 0], return_index=True)
     leads = np.zeros(len(sets.n), bool)
-    leads[place[one]] = True
+    leads[order[one]] = True
     leads &= sets.n > 0
     prefix, size = tokens(sets, leads)
     offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
@@ -202,10 +221,10 @@ def _digest(rows, at, w, row_start, low, sets, tokens, join) -> pa.RecordBatch:
         pa.array(offsets, mask=np.append(~leads, False)), pa.array(prefix.view(np.int64))
     )
     unit = np.arange(len(sets.n)) + low
-    row = rows.slice(at).take(pa.array(w.unit_row[unit]))
     body = pa.py_buffer(np.ascontiguousarray(keys).tobytes())
     key = pa.Array.from_buffers(pa.binary(16), len(keys), [None, body]).cast(pa.binary())
-    out = {"row": row, "line": pa.array((unit - row_start[unit]).astype(np.int32))}
+    out = {"row": rows.take(pa.array(of)), "hash": hashes.take(pa.array(of))}
+    out |= {"line": pa.array((unit - row_start[unit]).astype(np.int32))}
     out |= {"n": pa.array(sets.n.astype(np.int32)), "key": key, "id": keys[:, 0].view(np.int64)}
     out |= {f"s{i}": pa.array(parity[:, i], mask=~leads) for i in range(4)}
     out = pa.RecordBatch.from_pydict(out | {"prefix": lists})
@@ -214,7 +233,7 @@ def _digest(rows, at, w, row_start, low, sets, tokens, join) -> pa.RecordBatch:
 
 EDGE = "token long, a long, b long, passes boolean, size int"
 _POSTING = np.dtype(
-    [("token", "u8"), ("row", "i8"), ("line", "i4"), ("id", "i8"), ("n", "u2"), ("at", "u2"),
+    [("token", "u8"), ("row", "i8"), ("part", "i4"), ("line", "i4"), ("id", "i8"), ("n", "u2"), ("at", "u2"),
      ("held", "u4")]
 )
 
@@ -230,12 +249,14 @@ def _passes(n_a, n_b, at_a, at_b, join: Join) -> np.ndarray:
 
 def _leaders(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of postings in order of token: where each token starts, the number of each posting's token,
-    and each token's leader, which has the smallest row, then line, then id."""
+    and each token's leader, which has the smallest row, then text, then line, then id."""
     new = np.concatenate([[True], p["token"][1:] != p["token"][:-1]])
     start = np.flatnonzero(new)
     group = np.cumsum(new) - 1
     first = np.ones(len(p), bool)
-    for name in ("row", "line", "id"):
+    for name in ("row", "part", "line", "id"):
+        if np.count_nonzero(first) == len(start):
+            break
         value = np.where(first, p[name], np.iinfo(p[name].dtype).max)
         first &= value == np.minimum.reduceat(value, start)[group]
     at = np.flatnonzero(first)
@@ -288,7 +309,7 @@ def _unpack(blob: bytes) -> np.ndarray:
 def star_edges(digest: DataFrame, join: Join, name: str) -> DataFrame:
     """Edges from the leader of each prefix token to its other classes, stored.
 
-    A leader is the class with the smallest ``row`` and line. ``passes``: the pair may be similar.
+    A leader is the class with the smallest ``place``. ``passes``: the pair may be similar.
     Pairs that do not pass are kept if their token has more than two classes. ``size`` is 2 only if
     the token has no more than two classes in the whole table.
     """
@@ -330,6 +351,7 @@ def star_edges(digest: DataFrame, join: Join, name: str) -> DataFrame:
             p = np.empty(len(tokens), _POSTING)
             p["token"] = tokens.view(np.uint64)
             p["row"] = _numpy(batch.column("row").fill_null(np.iinfo(np.int64).min))[of]
+            p["part"] = (_numpy(batch.column("hash")) >> 32)[of]
             p["line"], p["id"] = _numpy(batch.column("line"))[of], _numpy(batch.column("id"))[of]
             p["n"] = np.minimum(_numpy(batch.column("n")), 65535)[of]
             place = np.arange(len(tokens)) - (np.cumsum(size) - size)[of]
@@ -356,16 +378,16 @@ def star_edges(digest: DataFrame, join: Join, name: str) -> DataFrame:
             blobs = parts.popitem()[1]
             yield _stars(np.concatenate([_unpack(x) for x in blobs]), join, last=True)[1]
 
-    scattered = digest.select("row", "line", "id", "n", "prefix").mapInArrow(scatter, schema)
+    scattered = digest.select("row", "hash", "line", "id", "n", "prefix").mapInArrow(scatter, schema)
     return stored(scattered.repartition(-(-buckets // _BUCKETS_PER_TASK), "bucket").mapInArrow(gather, EDGE), name)
 
 
 def classes(digest: DataFrame, name: str) -> DataFrame:
-    """One row per distinct set that is not empty, with its smallest ``row`` (null first) and, there,
-    its smallest line; ``least`` is the smallest ``row`` that is not null. Stored."""
-    first = F.min(F.struct("row", "line")).alias("first")
+    """One row per distinct set that is not empty, with its first ``place``; ``least`` is the
+    smallest ``row`` that is not null. Stored."""
+    first = F.min(place()).alias("first")
     rows = digest.where("n > 0").groupBy("key", "id", "n").agg(first, F.min("row").alias("least"))
-    return stored(rows.select("key", "id", "n", "first.*", "least"), name)
+    return stored(rows.select("key", "id", "n", "first.row", "first.hash", "first.line", "least"), name)
 
 
 def verified(
@@ -378,7 +400,7 @@ def verified(
     wanted = stored(klass.join(sized(ids, 16, n), "id"), name + "-classes")
     text = F.element_at(F.split("text", "\n", -1), F.col("line") + 1) if join.lines else F.col("text")
     wanted = sized(wanted.withColumnRenamed("row", "wanted"), 64, n)
-    texts = docs.join(wanted, F.col("row").eqNullSafe(F.col("wanted")))
+    texts = docs.drop("hash").join(wanted, F.col("row").eqNullSafe(F.col("wanted")))
     texts = stored(texts.select("id", "key", text.alias("text")), name + "-texts")
     a = texts.select(F.col("id").alias("a"), F.col("key").alias("a_key"), F.col("text").alias("a_text"))
     b = texts.select(F.col("id").alias("b"), F.col("key").alias("b_key"), F.col("text").alias("b_text"))

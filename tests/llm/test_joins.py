@@ -224,3 +224,16 @@ def test_fingerprints(spark):
         assert by_text.setdefault(text, r.fingerprint) == r.fingerprint
     one = fingerprints.fingerprints(docs.where("doc_id = 0")).collect()
     assert len(one) == 1 and fingerprints.fingerprints(docs.limit(0)).count() == 0
+
+
+def test_line_dedup_tells_texts_of_one_id_apart(spark):
+    rows = [(None, "a\nb"), (None, "c\na"), (None, "d\ne\nf"), (7, "g\nh"), (7, "i\ng"), (7, "i\ng"), (8, "h\nj")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(docs).collect()]
+    assert sorted(r[2] for r in got) == [2, 2, 2, 2, 2, 2, 3]
+    lines = lambda some: sorted("\n".join(t for d, t, *_ in got if d in some).split("\n"))
+    assert [x for x in lines([None]) if x] == list("abcdef")
+    # of two rows with one doc_id and text, which are one document, both keep their lines
+    assert sorted(set(lines([7, 8])) - {""}) == list("ghij") and lines([8]) == ["j"]
+    assert sorted(r[3] for r in got if r[0] is None) == [0, 0, 1]
+    assert sorted(r[3] for r in got if r[0] == 7) in ([0, 0, 1], [0, 1, 1]) and [r[3] for r in got if r[0] == 8] == [1]
