@@ -237,3 +237,21 @@ def test_line_dedup_tells_texts_of_one_id_apart(spark):
     assert sorted(set(lines([7, 8])) - {""}) == list("ghij") and lines([8]) == ["j"]
     assert sorted(r[3] for r in got if r[0] is None) == [0, 0, 1]
     assert sorted(r[3] for r in got if r[0] == 7) in ([0, 0, 1], [0, 1, 1]) and [r[3] for r in got if r[0] == 8] == [1]
+
+
+def test_one_text_per_class_is_verified(spark):
+    base = " ".join(f"w{i}" for i in range(70))
+    rows = [(None, base)] * 5 + [(None, base + " x")] * 4 + [(None, f"other {i}") for i in range(6)]
+    docs = setjoin.base(spark.createDataFrame(rows, "doc_id long, text string"))
+    digest = setjoin.digests(docs, ngram_join.QUERY, "once")
+    klass = setjoin.classes(digest, "once-classes")
+    ids = klass.where("n > 60").agg(F.min("id").alias("a"), F.max("id").alias("b"))
+    read = []
+    keep = setjoin.stored
+    setjoin.stored = lambda df, name: read.append((name, keep(df, name))) or read[-1][1]
+    try:
+        assert setjoin.verified(ids, klass, docs, ngram_join.QUERY, "once").count() == 1
+    finally:
+        setjoin.stored = keep
+    texts = [t for name, t in read if name in ("once-texts", "once-once")]
+    assert texts[0].count() == 9 and texts[-1].count() == 2
