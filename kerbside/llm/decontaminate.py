@@ -130,6 +130,11 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     ``text``). Null and empty texts have no words and are clean; items without words match
     nothing; a null ``item_id`` hits words but is not listed. Rows that repeat are returned each;
     rows of one ``doc_id`` are told apart by their texts. Other columns are not read."""
+    return _contamination(docs, items, size).drop("text_hash")
+
+
+def _contamination(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """What ``contamination`` returns, and ``text_hash``."""
     terms, of = windows(items, size)
     vocabulary = stored(
         terms.select("word").distinct().withColumn("term", F.monotonically_increasing_id()), "vocabulary"
@@ -161,6 +166,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return rows.select(
         F.col("doc_id"),
+        F.col("text_hash"),
         F.col("n_words").cast("long").alias("n_words"),
         n_hit.alias("n_hit"),
         F.size(listed).cast("long").alias("n_items"),
@@ -175,3 +181,13 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW) ->
     bad = contamination(docs, items, size).where("contaminated").select("doc_id").distinct()
     bad = sized(stored(bad, "contaminated"), 16)
     return docs.join(bad, docs["doc_id"] == bad["doc_id"], "left_anti")
+
+
+def clean_rows(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """``docs`` without the rows whose own text has an occurrence of a window, whatever their
+    ``doc_id``, null or shared with other texts."""
+    bad = _contamination(docs, items, size).where("contaminated").select(*_DOC).distinct()
+    bad = sized(stored(bad, "contaminated"), 24)
+    same = docs["doc_id"].eqNullSafe(bad["doc_id"])
+    same &= F.xxhash64(docs["text"].cast("string")) == bad["text_hash"]
+    return docs.join(bad, same, "left_anti")

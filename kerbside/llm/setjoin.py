@@ -382,12 +382,13 @@ def star_edges(digest: DataFrame, join: Join, name: str) -> DataFrame:
     return stored(scattered.repartition(-(-buckets // _BUCKETS_PER_TASK), "bucket").mapInArrow(gather, EDGE), name)
 
 
-def classes(digest: DataFrame, name: str) -> DataFrame:
-    """One row per distinct set that is not empty, with its first ``place``; ``least`` is the
-    smallest ``row`` that is not null. Stored."""
+def classes(digest: DataFrame, name: str, *more: Column) -> DataFrame:
+    """One row per distinct set that is not empty, with its first ``place`` and ``more``, named
+    aggregates of its rows. Stored."""
     first = F.min(place()).alias("first")
-    rows = digest.where("n > 0").groupBy("key", "id", "n").agg(first, F.min("row").alias("least"))
-    return stored(rows.select("key", "id", "n", "first.row", "first.hash", "first.line", "least"), name)
+    rows = digest.where("n > 0").groupBy("key", "id", "n").agg(first, *more)
+    added = rows.columns[4:]
+    return stored(rows.select("key", "id", "n", "first.row", "first.hash", "first.line", *added), name)
 
 
 def verified(

@@ -255,3 +255,23 @@ def test_one_text_per_class_is_verified(spark):
         setjoin.stored = keep
     texts = [t for name, t in read if name in ("once-texts", "once-once")]
     assert texts[0].count() == 9 and texts[-1].count() == 2
+
+
+def test_stages_decide_by_row(spark):
+    import corpus_pipeline
+
+    base = " ".join(f"w{i}" for i in range(70))
+    near, other = base + " x", "nothing like the others"
+    rows = [(None, base, 1), (None, near, 2), (None, base, 3), (4, near, 4), (4, other, 5), (4, near, 6), (None, None, 7)]
+    rows += [(5, base, 8), (None, "", 9), (None, "one more text", 10), (None, "one more text", 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    left = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+    assert left == sorted([(4, near), (4, other), (0, ""), (0, ""), (0, "one more text")])
+    assert ngram_join.keep_one(docs.where("n < 3")).count() == 1
+    items = spark.createDataFrame([(1, "nothing like")], "item_id long, text string")
+    clean = decontaminate.clean_rows(docs.unionByName(docs.where("n = 5").selectExpr("null doc_id", "text", "12 n")), items)
+    assert {r.n for r in clean.collect()} == {r[2] for r in rows} - {5}
+    called = corpus_pipeline.decontamination_stage.__code__.co_names
+    assert "clean_rows" in called
