@@ -9,6 +9,7 @@ from kerbside.llm import (
     extraction,
     fingerprints,
     line_dedup,
+    merkle,
     ngram_join,
     packing,
     quality,
@@ -66,6 +67,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -79,9 +84,20 @@ QUERIES = {
         op8_sharding,
         op9_best_fit_packing,
         op10_toxicity,
+        op12_merkle_manifest,
     )
 }
 
+#: crc32 of a text of digits ``s``: one step for each byte, and eight shifts.
+_CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+  string_split(s, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"""
+
+
+def _crc32(s: str) -> str:
+    return _CRC32.replace("string_split(s,", f"string_split({s},")
+
+
 ORACLES = {
     "op4_benchmark_decontamination": r"""
 WITH d AS (
@@ -134,5 +150,61 @@ own AS (
 SELECT doc_id, n_bytes, CASE WHEN d = 0 THEN '' ELSE lpad(bin(p), CAST(d AS INT), '0') END AS shard,
   CAST(d AS INT) AS depth, CAST(bytes AS BIGINT) AS shard_bytes, bytes > 67108864 AS over_limit
 FROM own WHERE k = 1
+""",
+    "op12_merkle_manifest": f"""
+WITH RECURSIVE rows_ AS (
+  SELECT doc_id, source, {_crc32("CAST(doc_id AS VARCHAR)")} % 5 = 0 AS hit,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-')
+    || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+    text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS small
+  FROM documents
+), leaves AS (
+  SELECT doc_id, source, leaf, altered,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+    count(*) OVER (PARTITION BY source) AS n
+  FROM (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(CASE WHEN coalesce(hit, false) THEN strlen(small) || ':' || small
+      ELSE strlen(text) || ':' || text END, '-')) AS altered FROM rows_)
+), nodes AS (
+  SELECT source, 0 AS level, idx, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT source, level + 1, idx // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY idx))
+  FROM nodes WHERE n > 1 GROUP BY source, level, n, idx // 16
+), subroots AS (
+  SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS n
+  FROM nodes WHERE n = 1
+), top AS (
+  SELECT 0 AS level, idx, n, h FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY idx))
+  FROM top WHERE n > 1 GROUP BY level, n, idx // 16
+), beside AS (
+  SELECT a.source, a.level, a.idx, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l,
+    coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM nodes a JOIN nodes b ON a.source IS NOT DISTINCT FROM b.source AND a.level = b.level
+    AND a.idx // 16 = b.idx // 16 GROUP BY ALL
+), top_beside AS (
+  SELECT a.level, a.idx, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l,
+    coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM top a JOIN top b ON a.level = b.level AND a.idx // 16 = b.idx // 16 GROUP BY ALL
+), walk AS (
+  SELECT doc_id, source, leaf, 0 AS level, idx, n, altered AS h, '' AS proof FROM leaves
+  UNION ALL
+  SELECT w.doc_id, w.source, w.leaf, w.level + 1, w.idx // 16, (w.n + 15) // 16, sha256(l || w.h || r),
+    proof || l || r
+  FROM walk w JOIN beside b ON w.source IS NOT DISTINCT FROM b.source AND w.level = b.level AND w.idx = b.idx
+  WHERE w.n > 1
+), up AS (
+  SELECT w.doc_id, w.leaf, s.h AS subroot, 0 AS level, s.idx, s.n, w.h, w.proof
+  FROM walk w JOIN subroots s ON w.source IS NOT DISTINCT FROM s.source WHERE w.n = 1
+  UNION ALL
+  SELECT u.doc_id, u.leaf, u.subroot, u.level + 1, u.idx // 16, (u.n + 15) // 16, sha256(l || u.h || r),
+    proof || l || r
+  FROM up u JOIN top_beside b ON u.level = b.level AND u.idx = b.idx WHERE u.n > 1
+)
+SELECT doc_id, leaf, subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(proof) AS proof_sha256,
+  h AS folded_root, h = (SELECT h FROM top WHERE n = 1) AS verified
+FROM up WHERE n = 1
 """,
 }
