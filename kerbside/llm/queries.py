@@ -16,6 +16,7 @@ from kerbside.llm import (
     sharding,
     token_files,
     toxicity,
+    trie,
 )
 from kerbside.llm.tokens import tokenizer_path
 
@@ -71,6 +72,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -85,6 +90,7 @@ QUERIES = {
         op9_best_fit_packing,
         op10_toxicity,
         op12_merkle_manifest,
+        op13_conversation_trie,
     )
 }
 
@@ -206,5 +212,38 @@ WITH RECURSIVE rows_ AS (
 SELECT doc_id, leaf, subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(proof) AS proof_sha256,
   h AS folded_root, h = (SELECT h FROM top WHERE n = 1) AS verified
 FROM up WHERE n = 1
+""",
+    "op13_conversation_trie": f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, {_crc32("CAST(conv_id AS VARCHAR)")} % 6 AS h,
+    list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, sha256(strlen(role) || ':' || role || text))
+    AS own
+  FROM t GROUP BY conv_id
+), r AS (
+  SELECT c.conv_id, list_concat(coalesce(b.own[1 : c.h], []), c.own[c.h + 1 :]) AS s
+  FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 100
+), nodes AS (
+  SELECT d AS depth, s[1 : d] AS p, min(conv_id) AS conv_id, count(*) AS n_convs
+  FROM (SELECT conv_id, s, unnest(range(len(s) + 1)) AS d FROM r) GROUP BY ALL
+), kids AS (
+  SELECT depth - 1 AS depth, p[1 : depth - 1] AS p, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL
+), own AS (
+  SELECT n.*, coalesce(k.n, 0) AS n_children, (n_convs - 1) * coalesce(length(n.p[n.depth].text), 0) AS saved
+  FROM nodes n LEFT JOIN kids k ON n.depth = k.depth AND n.p = k.p
+), below AS (
+  SELECT a.depth, a.p, sum(b.saved) AS saved, count(*) FILTER (b.n_children = 0) AS leaves
+  FROM own a JOIN own b ON b.depth >= a.depth AND b.p[1 : a.depth] = a.p GROUP BY ALL
+), ends AS (
+  SELECT s AS p, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ids FROM r GROUP BY s
+)
+SELECT o.conv_id, o.depth, u.conv_id AS parent_conv_id, o.n_convs, o.n_children,
+  CAST(b.leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens,
+  coalesce(ids, sha256('')) AS ends_sha256
+FROM own o JOIN below b ON o.depth = b.depth AND o.p = b.p
+LEFT JOIN nodes u ON u.depth = o.depth - 1 AND u.p = o.p[1 : o.depth - 1]
+LEFT JOIN ends e ON e.p = o.p
 """,
 }
