@@ -8,6 +8,7 @@ from kerbside.llm import (
     decontaminate,
     extraction,
     fingerprints,
+    katz,
     line_dedup,
     merkle,
     ngram_join,
@@ -68,6 +69,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scores(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -89,6 +94,7 @@ QUERIES = {
         op8_sharding,
         op9_best_fit_packing,
         op10_toxicity,
+        op11_katz_backoff,
         op12_merkle_manifest,
         op13_conversation_trie,
     )
