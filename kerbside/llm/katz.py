@@ -281,8 +281,9 @@ def _words_from_counts(counts: np.ndarray, words: Order) -> np.ndarray:
     return probabilities(counts, np.ones(n), totals, np.zeros(n), words.discount)
 
 
-def _reduce(order: int, known: list[Order], buckets: int):
-    """Sums of the messages to one bucket: the rows of the table, of the answers, and sums."""
+def _reduce(order: int, known: list[Order], buckets: int, last: bool):
+    """Sums of the messages to one bucket: the rows of the table, of the answers, and sums. N-grams
+    of the ``last`` order are no contexts and get no numbers."""
 
     def reduce(messages: pa.Table) -> pa.Table:
         bucket, rows = messages["bucket"][0].as_py(), messages.to_pylist()
@@ -310,11 +311,11 @@ def _reduce(order: int, known: list[Order], buckets: int):
         lower = lower[at][starts]
         if order == 2:
             lower = _words_from_counts(lower.astype(np.int64), known[0])
-        # numbers from 2 on, the frequent ones first; the buckets' numbers interleave
-        rank = np.argsort(-total, kind="stable")
-        ids = np.empty(len(total), np.int64)
-        ids[rank] = np.arange(len(total)) * buckets + bucket + FIRST_ID
-        ids = np.where(total > 0, ids, UNKNOWN)
+        ids = np.zeros(len(total), np.int64)
+        if not last:  # numbers from 2 on, the frequent ones first; the buckets' numbers interleave
+            rank = np.argsort(-total, kind="stable")
+            ids[rank] = np.arange(len(total)) * buckets + bucket + FIRST_ID
+            ids = np.where(total > 0, ids, UNKNOWN)
 
         first = _changes(context)
         heads, of = np.flatnonzero(first), np.cumsum(first) - 1
@@ -440,7 +441,7 @@ def train(blocks: DataFrame, order: int) -> tuple[list[DataFrame], list[Order]]:
     for m in range(1, order + 1):
         messages = _met(blocks, reduced, _ask(list(known), buckets), _MESSAGE)
         path = new_path(spark, f"katz-{m}")
-        sums = messages.groupBy("bucket").applyInArrow(_reduce(m, list(known), buckets), _REDUCED)
+        sums = messages.groupBy("bucket").applyInArrow(_reduce(m, list(known), buckets, m == order), _REDUCED)
         sums.write.partitionBy("kind").option("compression", "zstd").parquet(path)
         reduced.append(spark.read.schema(_REDUCED).parquet(path))
         known.append(_known(reduced[-1]))
@@ -457,8 +458,8 @@ def _ask(known: list[Order], buckets: int):
 
 def table_rows(reduced: DataFrame) -> DataFrame:
     """The n-grams of one order's table: ``context`` (number of the n-gram before; 0 is empty, or the
-    start of a text), ``follower`` (number of the word; of single words, their hash), ``id, n``, and
-    the context's ``tokens, low`` (followers with count 1 to ``LOW``) and ``seen``."""
+    start of a text), ``follower`` (number of the word; of single words, their hash), ``id`` (0 in the
+    last order), ``n``, and the context's ``tokens, low`` (followers with count 1 to ``LOW``) and ``seen``."""
     schema = "context long, follower long, id long, n long, tokens long, low array<long>, seen double"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
