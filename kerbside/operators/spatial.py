@@ -6,12 +6,19 @@ lowest level at which its box spans at most ``SPAN`` cells per side. So an area
 has at most ``(SPAN + 1) ** 2`` rows, without a cap on size or partners, and points are
 listed once per level that some area uses (usually one).
 
-The areas are used several times (levels, extent, size, cells), so they are checkpointed:
-boxes computed from a large table cost one pass over it. The rows their list makes are
-counted before the join, because Catalyst does not see how far ``explode`` multiplies rows.
-Up to ``BROADCAST_BYTES`` the list is broadcast and the points are not shuffled. Above that the
-join is a sort-merge join, and the points of a hot cell (more than one in ``HOT_CELLS``) are
-split by a hash into ``salt`` parts, each with a copy of that cell's areas.
+The areas are used several times (levels, extent, cells), so they are checkpointed: boxes computed
+from a large table cost one pass over it. What the listed cells take is measured before the join.
+Up to ``BROADCAST_BYTES`` the list is broadcast and the points are not shuffled. Above that the join
+is a sort-merge join, in which cells with much work (points times areas) are cut on both sides: into
+parts of their points and parts of their areas, and every part of the one meets every part of the
+other once. Rows of such cells get their part from a stored number, so a task that is run again
+deals them out alike, and equal rows are spread too.
+
+A polygon's cell holds only the sides that enter it, and the parity of its south-east corner. From
+there a path along the cell's border and then west leads to any point in the cell, and only sides
+that enter the cell can cross it. A cell with more than ``MAX_SIDES`` is cut into four, and these
+again; where a side ends up, and the parity of a new corner, follows from each side alone, so an
+outline of any length is spread over all tasks as rows.
 """
 
 from __future__ import annotations
@@ -25,20 +32,29 @@ from pyspark.sql import functions as F
 from kerbside.config import METRES_PER_DEGREE
 from kerbside.functions.projection import project_rings
 from kerbside.functions.rings import (
-    contains,
     crossings_odd,
     edges,
     envelope,
     is_non_empty,
+    on_side,
     ring_area,
 )
 from kerbside.operators.lineage import checkpointed
 
 SPAN = 16
 BROADCAST_BYTES = 64 * 1024 * 1024
-HOT_CELLS = 200
+#: A cell with more than this share of all work is cut, into parts of that share.
+HOT_SHARE = 200
+#: Sides of a polygon that a cell holds at most, if ``MAX_SPLITS`` halvings get there (many sides
+#: can meet in one corner).
+MAX_SIDES = 32
+MAX_SPLITS = 12
+#: A side counts as entering a cell if it comes this near (part of the cell's size), so that
+#: rounding leaves out none.
+SLACK = 1e-6
 BOX = ("left", "bottom", "right", "top")
 _CELL = ["_level", "_cx", "_cy"]
+_SIDE = "struct<x1:double,y1:double,x2:double,y2:double>"
 
 
 def _level(size: Column, cell: float) -> Column:
@@ -97,25 +113,56 @@ def _row_bytes(df: DataFrame) -> Column:
     return reduce(lambda a, b: a + b, sizes, F.lit(64 * (len(df.columns) + len(_CELL))).cast("long"))
 
 
-def _join_cells(left: DataFrame, listed: DataFrame, size: int, salt: int) -> DataFrame:
-    """Join on the cell with a list of at most ``size`` bytes."""
+def _hot_cells(left: DataFrame, listed: DataFrame, key: list[str]) -> DataFrame:
+    """Cells with more than one ``HOT_SHARE``-th of all pairs, so fewer than that many, and into how
+    many parts their points (``_across``) and their areas (``_down``) are cut. The parts have about
+    the same work, and as few copies of rows as that allows."""
+    points = left.groupBy(*key).agg(F.count(F.lit(1)).cast("double").alias("_points"))
+    areas = listed.groupBy(*key).agg(F.count(F.lit(1)).cast("double").alias("_areas"))
+    work = points.join(areas, key).withColumn("_work", F.col("_points") * F.col("_areas"))
+    work = checkpointed(work)
+    total = work.agg(F.sum("_work")).scalar()
+    parts = F.ceil(F.col("_work") * HOT_SHARE / total)
+    across = F.greatest(F.lit(1.0), F.round(F.sqrt(parts * F.col("_points") / F.col("_areas"))))
+    across = F.least(across, F.col("_points"), parts)
+    down = F.least(F.ceil(parts / F.col("_across")), F.col("_areas"))
+    hot = work.where(F.col("_work") * HOT_SHARE > total).withColumn("_across", across.cast("int"))
+    return hot.withColumn("_down", down.cast("int")).select(*key, "_across", "_down")
+
+
+def _numbered(df: DataFrame, hot: DataFrame, key: list[str]) -> DataFrame:
+    """The rows in hot cells with a number, stored: reading them again gives the same numbers."""
+    return checkpointed(
+        df.join(F.broadcast(hot), key).withColumn("_nth", F.monotonically_increasing_id())
+    )
+
+
+def _join_cells(
+    left: DataFrame, listed: DataFrame, size: int, more: tuple[str, ...] = ()
+) -> DataFrame:
+    """Join on the cell (and ``more``) with a list of at most ``size`` bytes."""
+    key = [*_CELL, *more]
     if size <= BROADCAST_BYTES:
-        return left.join(F.broadcast(listed), _CELL)
-    per_cell = left.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("_n"))
-    total = per_cell.agg(F.sum("_n")).scalar()
-    # by definition fewer than HOT_CELLS rows
-    hot = per_cell.where(F.col("_n") * HOT_CELLS > total).select(*_CELL, F.lit(True).alias("_hot"))
-    # numbers of rows, not a hash of them: equal rows are split too, and any type is accepted
-    part = F.pmod(F.monotonically_increasing_id(), F.lit(salt)).cast("int")
-    parts = F.sequence(F.lit(0), F.lit(salt - 1))
-    left = left.join(F.broadcast(hot), _CELL, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), part).otherwise(0)
+        return left.join(F.broadcast(listed), key)
+    hot = checkpointed(_hot_cells(left, listed, key))
+    if hot.isEmpty():
+        return left.join(listed.hint("merge"), key)
+    places = {"_i": "_across", "_j": "_down"}
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        """Each row in its own part, once for every part of the other side."""
+        all_parts = F.sequence(F.lit(0), F.col(places[other]) - 1)
+        rows = _numbered(df, hot, key).withColumn(own, F.pmod("_nth", places[own]).cast("int"))
+        return rows.withColumn(other, F.explode(all_parts)).drop("_nth", *places.values())
+
+    cells = F.broadcast(hot.select(*key))
+    cold = left.join(cells, key, "left_anti").join(
+        listed.join(cells, key, "left_anti").hint("merge"), key
     )
-    listed = listed.join(F.broadcast(hot), _CELL, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), parts).otherwise(F.array(F.lit(0))))
+    split = dealt(left, "_i", "_j").join(
+        dealt(listed, "_j", "_i").hint("merge"), [*key, *places]
     )
-    joined = left.drop("_hot").join(listed.drop("_hot").hint("merge"), [*_CELL, "_salt"])
-    return joined.drop("_salt")
+    return cold.unionByName(split.drop(*places))
 
 
 class _Listing(NamedTuple):
@@ -128,13 +175,9 @@ class _Listing(NamedTuple):
     cell: float
 
 
-def _listing(
-    areas: DataFrame, cells: DataFrame, row_bytes: Column, box, cell: float
-) -> _Listing:
-    """``row_bytes`` is what a cell row of an area holds at most."""
-    n_cells = _n_cells(box, _size_of(F.col("_level"), cell))
-    size = areas.agg(F.sum(n_cells * row_bytes)).first()[0] or 0
-    return _Listing(areas, cells, size, box, cell)
+def _apart(areas: DataFrame, points: DataFrame) -> dict[str, str]:
+    """New names for columns of the areas that the points have too."""
+    return {c: f"area_{c}" for c in areas.columns if c in points.columns}
 
 
 def _near(points: DataFrame, listing: _Listing, lon: str, lat: str) -> DataFrame:
@@ -150,16 +193,14 @@ def _near(points: DataFrame, listing: _Listing, lon: str, lat: str) -> DataFrame
         F.col(lon).between(around["x0"], around["x1"])
         & F.col(lat).between(around["y0"], around["y1"])
     )
-    return near.withColumn("_level", F.explode(_levels_of(listing.areas))).withColumns(
+    return near.withColumn("_level", F.explode(_levels_of(listing.cells))).withColumns(
         {"_cx": _cell(F.col(lon), size), "_cy": _cell(F.col(lat), size)}
     )
 
 
-def _meet(
-    points: DataFrame, listing: _Listing, lon: str, lat: str, salt: int
-) -> DataFrame:
+def _meet(points: DataFrame, listing: _Listing, lon: str, lat: str) -> DataFrame:
     """Pairs of an area's cell row and a point in that cell."""
-    return _join_cells(_near(points, listing, lon, lat), listing.cells, listing.size, salt)
+    return _join_cells(_near(points, listing, lon, lat), listing.cells, listing.size)
 
 
 def points_in_boxes(
@@ -169,61 +210,180 @@ def points_in_boxes(
     lon: str = "longitude",
     lat: str = "latitude",
     cell: float = 0.01,
-    salt: int = 32,
 ) -> DataFrame:
     """Every (box, point) pair with the point in the box, all sides included.
 
-    ``cell`` (in the units of the coordinates) is best near the usual box size / 4.
+    ``cell`` (in the units of the coordinates) is best near the usual box size / 4. Columns of the
+    boxes that the points have too are renamed (``area_`` in front).
     """
+    names = _apart(boxes, points)
+    boxes, box = boxes.withColumnsRenamed(names), tuple(names.get(c, c) for c in box)
     areas = checkpointed(_with_level(boxes, box, cell))
-    listing = _listing(areas, _cover(areas, box, cell), _row_bytes(areas), box, cell)
-    pairs = _meet(points, listing, lon, lat, salt)
+    cells = _cover(areas, box, cell)
+    n_cells = _n_cells(box, _size_of(F.col("_level"), cell))
+    size = areas.agg(F.sum(n_cells * _row_bytes(areas))).first()[0] or 0
+    pairs = _meet(points, _Listing(areas, cells, size, box, cell), lon, lat)
     return pairs.where(
         F.col(lon).between(F.col(box[0]), F.col(box[2]))
         & F.col(lat).between(F.col(box[1]), F.col(box[3]))
     ).drop(*_CELL)
 
 
+def _rows_of(low: Column, high: Column, size: Column) -> Column:
+    """Grid rows (or columns) from ``low`` to ``high``."""
+    return F.sequence(_cell(low - size * SLACK, size), _cell(high + size * SLACK, size))
+
+
+def _span_in(e: Column, south: Column, north: Column) -> tuple[Column, Column]:
+    """West and east end of a side's part between two heights; it reaches between them."""
+
+    def x_at(y: Column) -> Column:
+        along = F.coalesce(F.try_divide(y - e["y1"], e["y2"] - e["y1"]), F.lit(0.0))
+        return e["x1"] + (e["x2"] - e["x1"]) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
+
+    level = e["y1"] == e["y2"]
+    a = F.when(level, e["x1"]).otherwise(x_at(south))
+    b = F.when(level, e["x2"]).otherwise(x_at(north))
+    return F.least(a, b), F.greatest(a, b)
+
+
+def _east_of(e: Column, x: Column, y: Column, border: Column) -> Column:
+    """Whether a side passes east of ``x`` at height ``y``; a side that is not at that height counts
+    by its nearest corner, whether that is east of ``border``.
+
+    With the corner instead, two neighbouring sides count alike wherever their corner lies. So from
+    one height to another the parity changes by what the sides give at both, and only sides that
+    cross the border in between give anything."""
+    at = e["x1"] + F.try_divide((e["x2"] - e["x1"]) * (y - e["y1"]), e["y2"] - e["y1"])
+    spans = (e["y1"] > y) != (e["y2"] > y)
+    upward = e["y1"] <= e["y2"]
+    nearest = F.when((e["y1"] > y) == upward, e["x1"]).otherwise(e["x2"])
+    return F.when(spans, x < at).otherwise(nearest > border)
+
+
+def _borders(cell: float) -> dict[str, Column]:
+    size = _size_of(F.col("_level"), cell)
+    return {
+        "_west": F.col("_cx") * size, "_east": (F.col("_cx") + 1) * size,
+        "_south": F.col("_cy") * size, "_north": (F.col("_cy") + 1) * size,
+    }
+
+
+def _cell_sides(areas: DataFrame, box, rings: str, cell: float) -> DataFrame:
+    """Rows ``_id, _level, _cx, _cy, _odd, _side`` for the cells of all polygons: the sides that enter
+    a cell, and rows without a side. The parity of the cell's south-east corner, the number of
+    sides east of it at its height, is that of its rows that are ``_odd``."""
+    size = _size_of(F.col("_level"), cell)
+    x0, y0, x1, y1 = (F.col(c) for c in box)
+    first, last = _cell(x0, size), _cell(x1, size)
+    shape = {"_first": first, "_last": last, "_size": size}
+    e, s = F.col("_side"), F.col("_size")
+    south, north = F.col("_cy") * s, (F.col("_cy") + 1) * s
+    sides = (
+        _spread(areas.select("_id", "_level", *box, rings).withColumns(shape))
+        .withColumn("_side", F.explode(edges(F.col(rings))))
+        .drop(rings)
+        .withColumn("_cy", F.explode(_rows_of(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]), s)))
+    )
+    # one bit for each of the few columns of a polygon: whether the side is east of the corner
+    at = e["x1"] + F.try_divide((e["x2"] - e["x1"]) * (south - e["y1"]), e["y2"] - e["y1"])
+    bits = F.aggregate(
+        F.sequence(F.col("_first"), F.col("_last")),
+        F.lit(0).cast("long"),
+        lambda acc, c: acc * 2 + F.when((c + 1) * s < at, 1).otherwise(0),
+    )
+    crossing = sides.where((e["y1"] > south) != (e["y2"] > south))
+    keys = ["_id", "_level", "_first", "_last", "_cy"]
+    lines = areas.select("_id", "_level", *box).withColumns(shape)
+    lines = lines.withColumn("_cy", F.explode(F.sequence(_cell(y0, size), _cell(y1, size))))
+    lines = lines.select(*keys, F.lit(0).cast("long").alias("_bits"))
+    lines = lines.union(crossing.select(*keys, bits.alias("_bits")))
+    lines = lines.groupBy(*keys).agg(F.bit_xor("_bits").alias("_bits"))
+    each = lines.withColumn("_cx", F.explode(F.sequence("_first", "_last")))
+    odd = F.expr("shiftright(_bits, cast(_last - _cx as int)) & 1") == 1
+    none = F.lit(None).cast(_SIDE).alias("_side")
+    corners = each.select("_id", *_CELL, odd.alias("_odd"), none)
+
+    west, east = _span_in(e, south, north)
+    entered = sides.withColumn("_cx", F.explode(_rows_of(west, east, s)))
+    entered = entered.where(F.col("_cx").between(F.col("_first"), F.col("_last")))
+    entered = entered.where(F.col("_cy").between(_cell(y0, s), _cell(y1, s)))
+    return corners.union(entered.select("_id", *_CELL, F.lit(False), "_side"))
+
+
+def _quarters(rows: DataFrame, cell: float) -> DataFrame:
+    """The same rows for the four quarters of their cells."""
+    e = F.col("_side")
+    old = rows.withColumns({"_border": _borders(cell)["_east"], "_height": _borders(cell)["_south"]})
+    quarters = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
+    new = old.withColumn("_q", F.explode(quarters)).withColumns(
+        {
+            "_level": F.col("_level") - 1,
+            "_cx": F.col("_cx") * 2 + F.col("_q.i"),
+            "_cy": F.col("_cy") * 2 + F.col("_q.j"),
+        }
+    )
+    to = new.withColumns(_borders(cell))
+    # from the old corner to the new one
+    there = _east_of(e, F.col("_east"), F.col("_south"), F.col("_border"))
+    here = _east_of(e, F.col("_border"), F.col("_height"), F.col("_border"))
+    odd = F.when(e.isNull(), F.col("_odd")).otherwise(F.col("_odd") != (there != here))
+    slack = (F.col("_east") - F.col("_west")) * SLACK
+    south, north = F.col("_south") - slack, F.col("_north") + slack
+    west, east = _span_in(e, south, north)
+    enters = (
+        (F.greatest(e["y1"], e["y2"]) >= south) & (F.least(e["y1"], e["y2"]) <= north)
+        & (east >= F.col("_west") - slack) & (west <= F.col("_east") + slack)
+    )
+    to = to.withColumns({"_odd": odd, "_side": F.when(enters, e)})
+    return to.where(F.col("_odd") | F.col("_side").isNotNull()).select("_id", *_CELL, "_odd", "_side")
+
+
 def _polygon_cells(polygons: DataFrame, rings: str, cell: float) -> _Listing:
     """Cells of each polygon. A cell that no side enters (not ``_cut``) is wholly inside, or
-    is left out. A cut cell carries only the sides a ray from it can meet (``_sides``):
-    first those that reach the cell's row of cells, of these the ones not west of the cell.
-    """
+    is left out. A cut cell carries the sides that enter it (``_sides``), and the parity from
+    which these lead to a point (``_base``)."""
     shapes = polygons.where(is_non_empty(F.col(rings)))
     boxed = shapes.withColumns({f"_{k}": c for k, c in envelope(F.col(rings)).items()})
     box = ("_x0", "_y0", "_x1", "_y1")
-    areas = checkpointed(_with_level(boxed, box, cell))
-    row_bytes = _row_bytes(areas.drop(rings)) + 64 * F.size(F.flatten(rings))
-    size = _size_of(F.col("_level"), cell)
-    sides, x0, y0, x1, y1 = (F.col(c) for c in ("_sides", *box))
-    rows = (
-        _spread(areas.withColumn("_sides", edges(F.col(rings))).drop(rings))
-        .withColumn("_cy", F.explode(F.sequence(_cell(y0, size), _cell(y1, size))))
-        .withColumns({"_south": F.col("_cy") * size, "_north": (F.col("_cy") + 1) * size})
-    )
-    south, north = F.col("_south"), F.col("_north")
-    in_row = F.filter(
-        sides,
-        lambda e: (F.greatest(e["y1"], e["y2"]) >= south) & (F.least(e["y1"], e["y2"]) <= north),
-    )
-    cells = (
-        rows.withColumn("_sides", in_row)
-        .withColumn("_cx", F.explode(F.sequence(_cell(x0, size), _cell(x1, size))))
-        .withColumns({"_west": F.col("_cx") * size, "_east": (F.col("_cx") + 1) * size})
+    levelled = _with_level(boxed, box, cell).withColumn("_id", F.monotonically_increasing_id())
+    areas = checkpointed(levelled)
+    most = areas.agg(F.max(F.size(F.flatten(rings)))).first()[0] or 0
+    rows, key = _cell_sides(areas, box, rings, cell), ["_id", *_CELL]
+    done = []
+    for _ in range(MAX_SPLITS if most > MAX_SIDES else 0):
+        rows = checkpointed(rows)
+        full = rows.groupBy(*key).agg(F.count("_side").alias("_n")).where(F.col("_n") > MAX_SIDES)
+        full = checkpointed(full.select(*key))
+        if full.isEmpty():
+            break
+        done.append(rows.join(full, key, "left_anti"))
+        rows = _quarters(rows.join(full, key, "left_semi"), cell)
+    rows = reduce(lambda a, b: a.union(b), done, rows)
+
+    cells = rows.groupBy(*key).agg(
+        F.bit_xor(F.col("_odd").cast("int")).alias("_base"), F.collect_list("_side").alias("_sides")
     )
-    west, east = F.col("_west"), F.col("_east")
-    cells = cells.withColumn(
-        "_sides", F.filter(sides, lambda e: F.greatest(e["x1"], e["x2"]) >= west)
-    ).where(F.size("_sides") > 0)
-    entered = F.exists(sides, lambda e: F.least(e["x1"], e["x2"]) <= east)
-    middle = ((west + east) / 2, (south + north) / 2)
-    cells = (
-        cells.withColumn("_cut", entered)
-        .where(F.col("_cut") | crossings_odd(sides, *middle))
-        .withColumn("_sides", F.when(F.col("_cut"), sides))
-        .drop("_west", "_east", "_south", "_north")
+    cells = cells.withColumn("_cut", F.size("_sides") > 0).where("_cut or _base = 1")
+    borders = _borders(cell)
+    cells = cells.withColumns({"_east": borders["_east"], "_south": borders["_south"]})
+    corner = F.aggregate(
+        F.col("_sides"),
+        F.col("_base") == 1,
+        lambda odd, e: odd != _east_of(e, F.col("_east"), F.col("_south"), F.col("_east")),
     )
-    return _listing(areas, cells, row_bytes, box, cell)
+    cells = cells.withColumn("_base", corner).drop("_south").join(areas.drop(rings, "_level"), "_id")
+    cells = checkpointed(cells.drop("_id"))
+    row_bytes = _row_bytes(areas.drop(rings)) + 64 * F.size("_sides")
+    size = cells.agg(F.sum(row_bytes)).first()[0] or 0
+    return _Listing(areas, cells, size, box, cell)
+
+
+def _is_inside(lon: str, lat: str) -> Column:
+    """Strictly inside, by the sides of the cell alone."""
+    x, y, sides = F.col(lon), F.col(lat), F.col("_sides")
+    odd = F.aggregate(sides, F.col("_base"), lambda acc, e: acc != _east_of(e, x, y, F.col("_east")))
+    return F.when(F.col("_cut"), odd & ~on_side(sides, x, y)).otherwise(True)
 
 
 def points_in_polygons(
@@ -235,22 +395,25 @@ def points_in_polygons(
     lon: str = "longitude",
     lat: str = "latitude",
     cell: float = 0.01,
-    salt: int = 32,
 ) -> DataFrame:
     """Every (polygon, point) pair with the point strictly inside.
 
     Points in a cell wholly inside need no test; the others are tested against the few sides
-    near their cell, not the whole outline. ``how="left"`` also keeps polygons without a
-    point (``key`` identifies a polygon).
+    in their cell, not the whole outline. ``how="left"`` also keeps polygons without a
+    point (``key`` identifies a polygon); the pairs are then stored, so they are made once. Columns of
+    the polygons that the points have too are renamed (``area_`` in front).
     """
+    names = _apart(polygons, points)
+    polygons = polygons.withColumnsRenamed(names)
+    key, rings = names.get(key, key), names.get(rings, rings)
     listing = _polygon_cells(polygons, rings, cell)
-    pairs = _meet(points, listing, lon, lat, salt)
-    inside = contains(F.col("_sides"), F.col(lon), F.col(lat))
-    found = pairs.where(F.when(F.col("_cut"), inside).otherwise(True)).drop(
-        "_sides", "_cut", *listing.box, *_CELL
+    pairs = _meet(points, listing, lon, lat)
+    found = pairs.where(_is_inside(lon, lat)).drop(
+        "_sides", "_cut", "_base", "_east", *listing.box, *_CELL
     )
     if how == "inner":
         return found
+    found = checkpointed(found)
     ids = found.select(F.col(key).alias("_id")).distinct()
     empty = polygons.join(ids, polygons[key].eqNullSafe(ids["_id"]), "left_anti").drop(rings)
     return found.unionByName(empty, allowMissingColumns=True)
@@ -265,29 +428,27 @@ def area_counts(
     lat: str = "latitude",
     out: str = "crash_count",
     cell: float = 0.01,
-    salt: int = 32,
 ) -> DataFrame:
     """Number of points inside each polygon, zero for a polygon without one.
 
     Points at one place are counted together first. A cell wholly inside a polygon adds the
     cell's total, so only points in cut cells are paired with polygons.
     """
-    listing = _polygon_cells(polygons.select(key, rings), rings, cell)
+    own = polygons.select(F.col(key).alias("_key"), F.col(rings).alias("_rings"))
+    listing = _polygon_cells(own, "_rings", cell)
     places = points.groupBy(lon, lat).agg(F.count(F.lit(1)).alias("_n"))
     cut = listing._replace(cells=listing.cells.where(F.col("_cut")))
-    pairs = _meet(places, cut, lon, lat, salt)
-    tested = pairs.where(contains(F.col("_sides"), F.col(lon), F.col(lat))).select(key, "_n")
+    pairs = _meet(places, cut, lon, lat)
+    tested = pairs.where(_is_inside(lon, lat)).select("_key", "_n")
     # one row per cell, so no cell is hot here
-    cells = _near(places, listing, lon, lat).groupBy(*_CELL).agg(F.sum("_n").alias("_n"))
-    whole = listing.cells.where(~F.col("_cut")).select(key, *_CELL)
+    inner = listing._replace(cells=listing.cells.where(~F.col("_cut")))
+    cells = _near(places, inner, lon, lat).groupBy(*_CELL).agg(F.sum("_n").alias("_n"))
+    whole = inner.cells.select("_key", *_CELL)
     whole = F.broadcast(whole) if listing.size <= BROADCAST_BYTES else whole.hint("merge")
-    covered = cells.join(whole, _CELL).select(key, "_n")
-    totals = tested.unionByName(covered).groupBy(key).agg(F.sum("_n").alias(out))
-    return (
-        polygons.drop(rings)
-        .join(totals, key, "left")
-        .withColumn(out, F.coalesce(out, F.lit(0)))
-    )
+    covered = cells.join(whole, _CELL).select("_key", "_n")
+    totals = tested.unionByName(covered).groupBy("_key").agg(F.sum("_n").alias("_total"))
+    counted = polygons.drop(rings).join(totals, polygons[key].eqNullSafe(totals["_key"]), "left")
+    return counted.withColumn(out, F.coalesce("_total", F.lit(0))).drop("_key", "_total")
 
 
 def segments_of(lines: DataFrame, path: str = "path") -> DataFrame:
@@ -328,58 +489,78 @@ def _clip_range(df: DataFrame, box: tuple[str, str, str, str]) -> DataFrame:
     )
 
 
+def _pieces(size: Column) -> Column:
+    """The cells a segment passes, in order, as ``_cx, _cy`` and the part ``from`` to ``to`` of the
+    segment in each. Together the parts are 0 to 1."""
+
+    def crossings(a: Column, b: Column) -> Column:
+        lines = F.sequence(_cell(F.least(a, b), size) + 1, _cell(F.greatest(a, b), size))
+        lines = F.when(_cell(F.least(a, b), size) < _cell(F.greatest(a, b), size), lines)
+        at = F.transform(lines, lambda k: F.try_divide(k * size - a, b - a))
+        return F.coalesce(at, F.array().cast("array<double>"))
+
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    cuts = F.concat(crossings(x1, x2), crossings(y1, y2))
+    cuts = F.filter(cuts, lambda t: (t > 0) & (t < 1))
+    cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), cuts)))
+    n = F.size(cuts) - 1
+    return F.zip_with(
+        F.slice(cuts, 1, n),
+        F.slice(cuts, 2, n),
+        lambda a, b: F.struct(
+            _cell(x1 + (x2 - x1) * (a + b) / 2, size).alias("_cx"),
+            _cell(y1 + (y2 - y1) * (a + b) / 2, size).alias("_cy"),
+            a.alias("_from"),
+            b.alias("_to"),
+        ),
+    )
+
+
 def clip_lines(
     segments: DataFrame,
     boxes: DataFrame,
     box: tuple[str, str, str, str] = BOX,
     cell: float = 0.01,
-    salt: int = 32,
+    by: tuple[Column, Column] | None = None,
 ) -> DataFrame:
     """The part of every segment inside every box it meets, as ``cx1, cy1, cx2, cy2``.
 
-    Both sides have an extent, so each is listed at its own level and at the other side's
-    coarser ones; a pair meets at the coarser of the two levels, in the one cell that holds
-    the lower left corner of the overlap of the two boxes.
+    A box is listed at its own level, under the few cells it touches. A segment is cut at the grid
+    lines of each level that some box has, so it is listed only under cells it passes, however long
+    it is: a highway meets the boxes along it and lifts nothing else to its own size. A pair counts
+    in the one cell in which the segment's part inside the box begins. ``by`` are a column of the
+    segments and one of the boxes that must be equal; they are part of the join key. Columns of the
+    boxes that the segments have too are renamed (``area_`` in front).
     """
-    seg_box = ("_sx0", "_sy0", "_sx1", "_sy1")
-    segs = segments.withColumns(
-        {
-            "_sx0": F.least("x1", "x2"), "_sy0": F.least("y1", "y2"),
-            "_sx1": F.greatest("x1", "x2"), "_sy1": F.greatest("y1", "y2"),
-        }
-    )
-    segs = _with_level(segs, seg_box, cell).withColumnRenamed("_level", "_own")
-    areas = checkpointed(_with_level(boxes, box, cell)).withColumnRenamed("_level", "_own")
-    seg_levels = segs.agg(F.collect_set("_own")).scalar()
-    area_levels = areas.agg(F.collect_set("_own")).scalar()
-
-    def at_levels(df: DataFrame, corners, others: Column) -> DataFrame:
-        listed = df.withColumn("_level", F.explode(F.array_union(F.array("_own"), others)))
-        return _cover(listed.where(F.col("_level") >= F.col("_own")), corners, cell)
-
-    a = at_levels(segs, seg_box, area_levels).withColumnRenamed("_own", "_seg_level")
-    b = at_levels(areas, box, seg_levels).withColumnRenamed("_own", "_box_level")
+    names = _apart(boxes, segments)
+    if by is not None:
+        segments, boxes = segments.withColumn("_by", by[0]), boxes.withColumn("_by", by[1])
+    else:
+        segments, boxes = segments.withColumn("_by", F.lit(0)), boxes.withColumn("_by", F.lit(0))
+    boxes, box = boxes.withColumnsRenamed(names), tuple(names.get(c, c) for c in box)
+    areas = checkpointed(_with_level(boxes, box, cell))
     size = _size_of(F.col("_level"), cell)
-    n_levels = F.size(seg_levels) + 1
-    bound = areas.select("*", F.col("_own").alias("_level"), n_levels.alias("_n")).agg(
-        F.sum(_n_cells(box, size) * F.col("_n") * _row_bytes(areas))
-    )
-    pairs = _join_cells(a, b, bound.first()[0] or 0, salt)
-    x0 = F.greatest(F.col("_sx0"), F.col(box[0]))
-    y0 = F.greatest(F.col("_sy0"), F.col(box[1]))
-    once = pairs.where(
-        (F.col("_level") == F.greatest("_seg_level", "_box_level"))
-        & (F.col("_cx") == _cell(x0, size))
-        & (F.col("_cy") == _cell(y0, size))
-    )
-    clipped = _clip_range(once, box)
+    x0, y0, x1, y1 = (F.col(c) for c in box)
+    listed = _spread(areas).withColumns(
+        {"_cx": F.explode(_rows_of(x0, x1, size))}
+    ).withColumn("_cy", F.explode(_rows_of(y0, y1, size)))
+    most = (SPAN + 2) ** 2
+    bound = areas.agg(F.sum(F.least(_n_cells(box, size) * 2 + 4, F.lit(most)) * _row_bytes(areas)))
+    whole = segments.where("x1 is not null and y1 is not null and x2 is not null and y2 is not null")
+    along = whole.withColumn("_level", F.explode(_levels_of(areas)))
+    along = along.withColumn("_piece", F.explode(_pieces(size))).select("*", "_piece.*").drop("_piece")
+    pairs = _join_cells(along, listed, bound.first()[0] or 0, ("_by",))
+    begins = F.col("_t0") == F.col("_from")
+    begins |= (F.col("_t0") > F.col("_from")) & (F.col("_t0") < F.col("_to"))
+    begins |= (F.col("_to") == 1) & (F.col("_t0") == 1)
+    clipped = _clip_range(pairs, box).where(begins)
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     return clipped.withColumns(
         {
             "cx1": F.col("x1") + F.col("_t0") * dx, "cy1": F.col("y1") + F.col("_t0") * dy,
             "cx2": F.col("x1") + F.col("_t1") * dx, "cy2": F.col("y1") + F.col("_t1") * dy,
         }
-    ).drop("_t0", "_t1", *_CELL, "_seg_level", "_box_level", *seg_box)
+    ).drop("_t0", "_t1", "_from", "_to", "_by", *_CELL)
 
 
 def point_box(

@@ -45,18 +45,45 @@ def test_points_in_boxes(points, boxes, cell):
 
 def test_points_in_boxes_by_shuffle(points, boxes, monkeypatch):
     monkeypatch.setattr(spatial, "BROADCAST_BYTES", -1)
-    found = spatial.points_in_boxes(boxes, points, salt=5)
+    found = spatial.points_in_boxes(boxes, points)
     assert "SortMergeJoin" in found._jdf.queryExecution().toString()
     assert sorted((r["box"], r["id"]) for r in found.collect()) == brute_boxes()
 
 
-def test_hot_cells_are_split(spark, points, boxes):
-    keyed = points.withColumns({"_level": F.lit(0), "_cx": F.floor("longitude"), "_cy": F.floor("latitude")})
-    areas = keyed.select("_level", "_cx", "_cy").distinct()
-    joined = spatial._join_cells(keyed, areas, spatial.BROADCAST_BYTES + 1, 8)
-    assert joined.count() == len(POINTS) and "_salt" not in joined.columns
-    plan = joined._jdf.queryExecution().executedPlan().toString()
-    assert "_salt" in plan and "SortMergeJoin" in plan
+def parts_of(spark, n_points, n_areas):
+    """Pairs per part of one cell, and all pairs, of a shuffled join beside 50 even cells."""
+    cell = ["_level", "_cx", "_cy"]
+    left = spark.range(n_points).selectExpr("'same' as what", "0 as _level", "0L as _cx", "0L as _cy")
+    left = left.union(spark.range(50).selectExpr("'other'", "0", "id + 1", "0L"))
+    areas = spark.range(n_areas).selectExpr("id as area", "0 as _level", "0L as _cx", "0L as _cy")
+    areas = areas.union(spark.range(50).selectExpr("id", "0", "id + 1", "0L"))
+    hot = spatial._hot_cells(left, areas, cell).collect()
+    joined = spatial._join_cells(left, areas, spatial.BROADCAST_BYTES + 1)
+    return hot, joined
+
+
+def test_hot_cells_are_cut_on_both_sides(spark):
+    for n_points, n_areas in ((20_000, 5), (3, 30_000), (400, 300)):
+        (cell,), joined = parts_of(spark, n_points, n_areas)
+        assert 150 < cell["_across"] * cell["_down"] <= 260
+        assert n_points * n_areas / cell["_across"] / cell["_down"] < n_points * n_areas / 100
+        assert joined.count() == n_points * n_areas + 50
+        assert joined.where("what = 'same'").select("area").distinct().count() == n_areas
+        assert "_i" not in joined.columns and "_nth" not in joined.columns
+    assert (cell["_across"], cell["_down"]) == (16, 13)  # as few copies as that many parts allow
+
+
+def test_numbers_of_hot_rows_are_stored(spark):
+    """Rows get their part from a checkpoint: nothing above it is computed again by a second run."""
+    _, joined = parts_of(spark, 20_000, 5)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "monotonically_increasing_id" not in plan and "LogicalRDD" in plan
+
+
+def test_no_hot_cell(spark):
+    left = spark.range(400).selectExpr("id", "0 as _level", "id as _cx", "0L as _cy")
+    joined = spatial._join_cells(left, left.withColumnRenamed("id", "area"), spatial.BROADCAST_BYTES + 1)
+    assert joined.count() == 400
 
 
 def test_cells_of_an_area_are_bounded(boxes):
@@ -110,6 +137,61 @@ def test_points_in_polygons(points, polygons, cell, limit, monkeypatch):
     assert sorted((r["name"], r["id"]) for r in found.collect()) == brute_polygons()
 
 
+def wavy(n, cx=-88.0, cy=43.0, spikes=0):
+    """A closed outline of many corners, some of them spikes from the middle."""
+    rng = random.Random(n)
+    corners = []
+    for i in range(n):
+        a = 2 * math.pi * i / n
+        r = 0.6 + 0.1 * math.sin(9 * a) + rng.uniform(-0.002, 0.002)
+        corners.append((cx + r * math.cos(a), cy + r * math.sin(a)))
+        if spikes and i % spikes == 0:
+            corners += [(cx, cy), (cx + r * math.cos(a), cy + r * math.sin(a))]
+    return closed(*corners)
+
+
+@pytest.mark.parametrize("limit", [1 << 26, -1])
+def test_cells_of_a_long_outline_hold_few_sides(spark, monkeypatch, limit):
+    monkeypatch.setattr(spatial, "BROADCAST_BYTES", limit)
+    shapes = [("wavy", [wavy(4000), wavy(300, -88.1, 43.1)[::-1]]), ("box", POLYGONS[1][1]),
+              ("lattice", [closed((-88.0, 43.0), (-87.75, 43.0), (-87.75, 43.25), (-87.5, 43.25), (-87.5, 43.5), (-88.0, 43.5))])]
+    shape_df = spark.createDataFrame(shapes, f"name string, rings {rings.RINGS_TYPE}")
+    listing = spatial._polygon_cells(shape_df, "rings", 0.25)
+    assert listing.cells.agg(F.max(F.size("_sides"))).first()[0] <= spatial.MAX_SIDES
+    assert listing.cells.select("_level").distinct().count() > 2
+    rng = random.Random(11)
+    # corners of the outline and of the grid, and points on sides
+    marks = [(p["x"], p["y"]) for p in shapes[0][1][0][::97]] + [(-88 + i / 8, 43 + j / 8) for i in range(5) for j in range(5)]
+    marks += [(rng.uniform(-88.8, -87.2), rng.uniform(42.2, 43.8)) for _ in range(700)]
+    df = spark.createDataFrame([(i, *m) for i, m in enumerate(marks)], "id long, longitude double, latitude double")
+    found = spatial.points_in_polygons(shape_df, df, "name", cell=0.25)
+    want = sorted((n, i) for n, shape in shapes for i, m in enumerate(marks) if inside(shape, *m))
+    assert sorted((r["name"], r["id"]) for r in found.collect()) == want
+    counts = {r["name"]: r["crash_count"] for r in spatial.area_counts(shape_df, df, "name", cell=0.25).collect()}
+    assert counts == {n: sum(1 for m, _ in want if m == n) for n, _ in shapes}
+
+
+def test_many_sides_in_one_corner(spark):
+    """No halving separates them; the cell keeps them all and the answer stays right."""
+    shape = [wavy(900, spikes=3)]
+    shape_df = spark.createDataFrame([("spikes", shape)], f"name string, rings {rings.RINGS_TYPE}")
+    rng = random.Random(12)
+    marks = [(-88 + rng.gauss(0, 10.0 ** -rng.randint(1, 6)), 43 + rng.gauss(0, 10.0 ** -rng.randint(1, 6))) for _ in range(200)]
+    df = spark.createDataFrame([(i, *m) for i, m in enumerate(marks)], "id long, longitude double, latitude double")
+    found = spatial.points_in_polygons(shape_df, df, "name", cell=0.25)
+    assert sorted(r["id"] for r in found.collect()) == [i for i, m in enumerate(marks) if inside(shape, *m)]
+
+
+def test_columns_that_both_sides_have(points, polygons):
+    named = points.withColumn("name", F.lit("point")).withColumn("value", F.lit("x"))
+    found = spatial.points_in_polygons(polygons, named, "name")
+    assert sorted((r["area_name"], r["id"]) for r in found.collect()) == brute_polygons()
+    assert {r["name"] for r in found.select("name").distinct().collect()} == {"point"}
+    left = spatial.points_in_polygons(polygons, named, "name", how="left")
+    empty = {r["area_name"] for r in left.where("id is null and area_value is not null").collect()}
+    assert empty == {n for n, _ in POLYGONS} - {n for n, _ in brute_polygons()}
+
+
 def test_left_join_keeps_empty_polygons(points, polygons):
     found = spatial.points_in_polygons(polygons, points, "name", how="left")
     empty = {r["name"] for r in found.where("id is null").collect()}
@@ -126,6 +208,7 @@ def test_area_counts(points, polygons, cell):
 @pytest.mark.parametrize("limit", [1 << 26, -1])
 def test_clip_lines_against_brute_force(spark, boxes, monkeypatch, limit):
     monkeypatch.setattr(spatial, "BROADCAST_BYTES", limit)
+    boxes = boxes.withColumn("seg", F.lit("a name that the segments have too"))
     random.seed(3)
     segs = []
     for i in range(300):
@@ -157,6 +240,35 @@ def test_clip_lines_against_brute_force(spark, boxes, monkeypatch, limit):
     assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
 
 
+def test_one_highway_does_not_pair_everything(spark, monkeypatch):
+    """Short streets and small boxes beside one long segment: few candidates, one county each."""
+    seen = []
+    join = spatial._join_cells
+    monkeypatch.setattr(spatial, "_join_cells", lambda *a: seen.append(join(*a)) or seen[-1])
+    rng = random.Random(5)
+    streets = []
+    for i in range(4000):
+        x, y = rng.uniform(-89, -87), rng.uniform(42, 44)
+        streets.append((i, x, y, x + 0.002, y + 0.001, "Dane" if i % 2 else "Kent"))
+    streets.append((9999, -89.0, 42.0, -87.0, 44.0, "Dane"))
+    df = spark.createDataFrame(streets, "seg long, x1 double, y1 double, x2 double, y2 double, county_file string")
+    boxes = spark.createDataFrame(
+        [(b, x, y, x + 0.14, y + 0.14, "DANE") for b, (x, y) in
+         enumerate((rng.uniform(-89, -87.2), rng.uniform(42, 43.8)) for _ in range(300))],
+        "box long, left double, bottom double, right double, top double, COUNTY string",
+    )
+    by = (F.lower("county_file"), F.lower("COUNTY"))
+    found = spatial.clip_lines(df, boxes, cell=0.01, by=by)
+    n = found.count()
+    held = boxes.collect()
+    want = sum(
+        1 for _, x1, y1, x2, y2, c in streets[:-1] if c == "Dane"
+        for b in held if x1 <= b.right and x2 >= b.left and y1 <= b.top and y2 >= b.bottom
+    )
+    assert found.where("seg <> 9999").count() <= want and n > 2500
+    assert seen[0].count() <= 2 * n
+
+
 def test_segments(spark):
     path = [{"x": 0.0, "y": 0.0}, {"x": 1.0, "y": 0.0}, {"x": 1.0, "y": 2.0}]
     df = spark.createDataFrame([(1, path), (2, path[:1])], "id int, path array<struct<x:double,y:double>>")
