@@ -43,8 +43,8 @@ from kerbside.operators.lineage import checkpointed
 
 SPAN = 16
 BROADCAST_BYTES = 64 * 1024 * 1024
-#: A cell with more than this share of all work is cut, into parts of that share.
-HOT_SHARE = 200
+#: All work is this many shares; a cell with more than one is cut into parts of about one share.
+SHARES = 200
 #: Sides of a polygon that a cell holds at most, if ``MAX_SPLITS`` halvings get there (many sides
 #: can meet in one corner).
 MAX_SIDES = 32
@@ -113,8 +113,8 @@ def _row_bytes(df: DataFrame) -> Column:
     return reduce(lambda a, b: a + b, sizes, F.lit(64 * (len(df.columns) + len(_CELL))).cast("long"))
 
 
-def _hot_cells(left: DataFrame, listed: DataFrame, key: list[str]) -> DataFrame:
-    """Cells with more than one ``HOT_SHARE``-th of all pairs, so fewer than that many, and into how
+def _hot_cells(left: DataFrame, listed: DataFrame, key: list[str], salt: int) -> DataFrame:
+    """Cells with more than one ``salt``-th of all pairs, so fewer than that many, and into how
     many parts their points (``_across``) and their areas (``_down``) are cut. The parts have about
     the same work, and as few copies of rows as that allows."""
     points = left.groupBy(*key).agg(F.count(F.lit(1)).cast("double").alias("_points"))
@@ -122,11 +122,11 @@ def _hot_cells(left: DataFrame, listed: DataFrame, key: list[str]) -> DataFrame:
     work = points.join(areas, key).withColumn("_work", F.col("_points") * F.col("_areas"))
     work = checkpointed(work)
     total = work.agg(F.sum("_work")).scalar()
-    parts = F.ceil(F.col("_work") * HOT_SHARE / total)
+    parts = F.ceil(F.col("_work") * salt / total)
     across = F.greatest(F.lit(1.0), F.round(F.sqrt(parts * F.col("_points") / F.col("_areas"))))
     across = F.least(across, F.col("_points"), parts)
     down = F.least(F.ceil(parts / F.col("_across")), F.col("_areas"))
-    hot = work.where(F.col("_work") * HOT_SHARE > total).withColumn("_across", across.cast("int"))
+    hot = work.where(F.col("_work") * salt > total).withColumn("_across", across.cast("int"))
     return hot.withColumn("_down", down.cast("int")).select(*key, "_across", "_down")
 
 
@@ -138,13 +138,13 @@ def _numbered(df: DataFrame, hot: DataFrame, key: list[str]) -> DataFrame:
 
 
 def _join_cells(
-    left: DataFrame, listed: DataFrame, size: int, more: tuple[str, ...] = ()
+    left: DataFrame, listed: DataFrame, size: int, salt: int = SHARES, more: tuple[str, ...] = ()
 ) -> DataFrame:
     """Join on the cell (and ``more``) with a list of at most ``size`` bytes."""
     key = [*_CELL, *more]
     if size <= BROADCAST_BYTES:
         return left.join(F.broadcast(listed), key)
-    hot = checkpointed(_hot_cells(left, listed, key))
+    hot = checkpointed(_hot_cells(left, listed, key, salt))
     if hot.isEmpty():
         return left.join(listed.hint("merge"), key)
     places = {"_i": "_across", "_j": "_down"}
@@ -198,9 +198,11 @@ def _near(points: DataFrame, listing: _Listing, lon: str, lat: str) -> DataFrame
     )
 
 
-def _meet(points: DataFrame, listing: _Listing, lon: str, lat: str) -> DataFrame:
+def _meet(
+    points: DataFrame, listing: _Listing, lon: str, lat: str, salt: int
+) -> DataFrame:
     """Pairs of an area's cell row and a point in that cell."""
-    return _join_cells(_near(points, listing, lon, lat), listing.cells, listing.size)
+    return _join_cells(_near(points, listing, lon, lat), listing.cells, listing.size, salt)
 
 
 def points_in_boxes(
@@ -210,6 +212,7 @@ def points_in_boxes(
     lon: str = "longitude",
     lat: str = "latitude",
     cell: float = 0.01,
+    salt: int = SHARES,
 ) -> DataFrame:
     """Every (box, point) pair with the point in the box, all sides included.
 
@@ -222,7 +225,7 @@ def points_in_boxes(
     cells = _cover(areas, box, cell)
     n_cells = _n_cells(box, _size_of(F.col("_level"), cell))
     size = areas.agg(F.sum(n_cells * _row_bytes(areas))).first()[0] or 0
-    pairs = _meet(points, _Listing(areas, cells, size, box, cell), lon, lat)
+    pairs = _meet(points, _Listing(areas, cells, size, box, cell), lon, lat, salt)
     return pairs.where(
         F.col(lon).between(F.col(box[0]), F.col(box[2]))
         & F.col(lat).between(F.col(box[1]), F.col(box[3]))
@@ -395,6 +398,7 @@ def points_in_polygons(
     lon: str = "longitude",
     lat: str = "latitude",
     cell: float = 0.01,
+    salt: int = SHARES,
 ) -> DataFrame:
     """Every (polygon, point) pair with the point strictly inside.
 
@@ -407,7 +411,7 @@ def points_in_polygons(
     polygons = polygons.withColumnsRenamed(names)
     key, rings = names.get(key, key), names.get(rings, rings)
     listing = _polygon_cells(polygons, rings, cell)
-    pairs = _meet(points, listing, lon, lat)
+    pairs = _meet(points, listing, lon, lat, salt)
     found = pairs.where(_is_inside(lon, lat)).drop(
         "_sides", "_cut", "_base", "_east", *listing.box, *_CELL
     )
@@ -428,6 +432,7 @@ def area_counts(
     lat: str = "latitude",
     out: str = "crash_count",
     cell: float = 0.01,
+    salt: int = SHARES,
 ) -> DataFrame:
     """Number of points inside each polygon, zero for a polygon without one.
 
@@ -438,7 +443,7 @@ def area_counts(
     listing = _polygon_cells(own, "_rings", cell)
     places = points.groupBy(lon, lat).agg(F.count(F.lit(1)).alias("_n"))
     cut = listing._replace(cells=listing.cells.where(F.col("_cut")))
-    pairs = _meet(places, cut, lon, lat)
+    pairs = _meet(places, cut, lon, lat, salt)
     tested = pairs.where(_is_inside(lon, lat)).select("_key", "_n")
     # one row per cell, so no cell is hot here
     inner = listing._replace(cells=listing.cells.where(~F.col("_cut")))
@@ -521,6 +526,7 @@ def clip_lines(
     boxes: DataFrame,
     box: tuple[str, str, str, str] = BOX,
     cell: float = 0.01,
+    salt: int = SHARES,
     by: tuple[Column, Column] | None = None,
 ) -> DataFrame:
     """The part of every segment inside every box it meets, as ``cx1, cy1, cx2, cy2``.
@@ -549,7 +555,7 @@ def clip_lines(
     whole = segments.where("x1 is not null and y1 is not null and x2 is not null and y2 is not null")
     along = whole.withColumn("_level", F.explode(_levels_of(areas)))
     along = along.withColumn("_piece", F.explode(_pieces(size))).select("*", "_piece.*").drop("_piece")
-    pairs = _join_cells(along, listed, bound.first()[0] or 0, ("_by",))
+    pairs = _join_cells(along, listed, bound.first()[0] or 0, salt, ("_by",))
     begins = F.col("_t0") == F.col("_from")
     begins |= (F.col("_t0") > F.col("_from")) & (F.col("_t0") < F.col("_to"))
     begins |= (F.col("_to") == 1) & (F.col("_t0") == 1)

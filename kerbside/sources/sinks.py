@@ -8,20 +8,30 @@ from pyspark.sql import functions as F
 from kerbside.operators.summaries import split_summaries
 
 
+#: Most rows in one file of a summary; a place with more has several, in order of their names.
+ROWS_PER_FILE = 1_000_000
+
+
 def write_summaries(summaries: dict[str, DataFrame], out: str, place: str) -> None:
-    """One folder per summary with one CSV per place, rows ordered by their keys.
+    """One folder per summary, in it one per place (``place=...``) with its rows ordered by their keys.
 
-    Rows are already grouped counts; all of one place go to one task.
+    The files have all columns of the summary, the place first. Rows are dealt out by ranges of place
+    and keys, so a place of any size is written by as many tasks as it has ranges, and the files of
+    a place follow each other in order of their names. Each summary is committed as a whole: an older
+    one is replaced only when all files are there.
     """
     for name, table in summaries.items():
-        keys = [c for c in table.columns if c != "count"]
+        keys = [F.col(c).asc_nulls_last() for c in table.columns if c not in ("count", place)]
+        order = [F.col("place").asc(), *keys]  # begins as the writer wants it, so it sorts nothing anew
+        rows = table.select(place, *[c for c in table.columns if c != place]).withColumn("place", F.col(place))
         (
-            table.repartition(place)
-            .sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in keys])
+            rows.repartitionByRange(*order)
+            .sortWithinPartitions(*order)
             .write.mode("overwrite")
-            .partitionBy(place)
+            .partitionBy("place")
             .option("header", True)
             .option("nullValue", "NA")
+            .option("maxRecordsPerFile", ROWS_PER_FILE)
             .csv(f"{out}/{name}")
         )
 

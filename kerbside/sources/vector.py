@@ -26,7 +26,7 @@ def _points(path: Column) -> Column:
 
 def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """One row per feature: ``file_name, properties, type, rings, paths, lon, lat, points``; a
-    collection of geometries gives a row for each.
+    collection of geometries gives a row for each, an empty one a row without any.
 
     Polygons fill ``rings`` (all parts of a multi-polygon together), lines ``paths``, points
     ``lon`` and ``lat``, multi-points ``points``. Coordinates stay text until the geometry type is known, so files of
@@ -48,8 +48,9 @@ def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFra
             .select("f.*", "file_name")
         )
     own = F.struct(F.col("geometry.type").alias("type"), F.col("geometry.coordinates").alias("coordinates"))
+    parts = F.col("geometry.geometries")
     features = features.withColumn(
-        "geometry", F.explode(F.coalesce("geometry.geometries", F.array(own)))
+        "geometry", F.explode(F.when(F.size(parts) > 0, parts).otherwise(F.array(own)))
     )
     kind, text = F.col("geometry.type"), F.col("geometry.coordinates")
     rings = (
@@ -101,19 +102,40 @@ def read_municipalities(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-_RING = "struct<LinearRing:struct<coordinates:string>>"
-_AREA = f"struct<outerBoundaryIs:{_RING},innerBoundaryIs:array<{_RING}>>"
 _PLACE = "struct<coordinates:string>"
+_RING = f"struct<LinearRing:{_PLACE}>"
+_AREA = f"struct<outerBoundaryIs:{_RING},innerBoundaryIs:array<{_RING}>>"
+#: Levels of multi-geometries inside multi-geometries that are read.
+NESTED = 4
+
+
+def _many(levels: int) -> str:
+    """The type of a multi-geometry with so many levels."""
+    inner = f",MultiGeometry:array<{_many(levels - 1)}>" if levels > 1 else ""
+    parts = f"Point:array<{_PLACE}>,LineString:array<{_PLACE}>,LinearRing:array<{_PLACE}>"
+    return f"struct<{parts},Polygon:array<{_AREA}>{inner}>"
+
+
 _PLACEMARK = (
-    f"name string, Point {_PLACE}, LineString {_PLACE}, Polygon {_AREA}, "
-    f"MultiGeometry struct<Point:array<{_PLACE}>,LineString:array<{_PLACE}>,Polygon:array<{_AREA}>>"
+    f"name string, Point {_PLACE}, LineString {_PLACE}, LinearRing {_PLACE}, Polygon {_AREA}, "
+    f"MultiGeometry {_many(NESTED)}"
 )
 
 
+def _gathered(many: Column, kind: str, of: str, levels: int = NESTED) -> Column:
+    """All parts of one kind in a multi-geometry and those inside it; null if it has none."""
+    none = F.array().cast(f"array<{of}>")
+    found = F.coalesce(many[kind], none)
+    if levels > 1:
+        nested = F.transform(many["MultiGeometry"], lambda m: _gathered(m, kind, of, levels - 1))
+        found = F.concat(found, F.coalesce(F.flatten(F.filter(nested, lambda x: x.isNotNull())), none))
+    return F.when(F.size(found) > 0, found)
+
+
 def read_kml(spark: SparkSession, path: str) -> DataFrame:
     """One row per placemark: ``name, lon, lat`` of a point, ``path`` of a line, ``rings`` of
-    polygons (outlines and holes). The parts of a multi-geometry are in ``points``, ``paths`` and
-    ``rings``."""
+    polygons (outlines and holes) or of a ring alone. The parts of a multi-geometry, and of those in
+    it, are in ``points``, ``paths`` and ``rings``."""
     marks = spark.read.format("xml").option("rowTag", "Placemark").schema(_PLACEMARK).load(path)
 
     def pair(text: Column) -> Column:
@@ -135,14 +157,20 @@ def read_kml(spark: SparkSession, path: str) -> DataFrame:
 
     many = F.col("MultiGeometry")
     point = pair(F.col("Point.coordinates"))
+    line = lambda p: tuples(p["coordinates"])
+    areas = F.flatten(F.transform(_gathered(many, "Polygon", _AREA), outlines))
+    rings = F.transform(_gathered(many, "LinearRing", _PLACE), line)
+    none = F.array().cast("array<array<struct<x:double,y:double>>>")
+    both = F.concat(F.coalesce(areas, none), F.coalesce(rings, none))
     return marks.select(
         "name",
         point["x"].alias("lon"),
         point["y"].alias("lat"),
         tuples(F.col("LineString.coordinates")).alias("path"),
         F.when(F.col("Polygon").isNotNull(), outlines(F.col("Polygon")))
-        .when(many["Polygon"].isNotNull(), F.flatten(F.transform(many["Polygon"], outlines)))
+        .when(F.col("LinearRing").isNotNull(), F.array(tuples(F.col("LinearRing.coordinates"))))
+        .when(F.size(both) > 0, both)
         .alias("rings"),
-        F.transform(many["Point"], lambda p: pair(p["coordinates"])).alias("points"),
-        F.transform(many["LineString"], lambda p: tuples(p["coordinates"])).alias("paths"),
+        F.transform(_gathered(many, "Point", _PLACE), lambda p: pair(p["coordinates"])).alias("points"),
+        F.transform(_gathered(many, "LineString", _PLACE), line).alias("paths"),
     )

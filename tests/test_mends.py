@@ -36,6 +36,28 @@ def test_geojson_collections_and_multi_points(spark, tmp_path):
     assert len(found["MultiPoint"]["points"]) == 2 and found["Point"]["lon"] == 5.0
 
 
+def test_empty_collections_keep_their_feature(spark, tmp_path):
+    empty = {"type": "Feature", "properties": {"n": 1}, "geometry": {"type": "GeometryCollection", "geometries": []}}
+    none = {"type": "Feature", "properties": {"n": 2}, "geometry": None}
+    (tmp_path / "x.geojson").write_text(json.dumps({"features": [empty, none]}))
+    rows = vector.read_geojson(spark, str(tmp_path / "x.geojson")).collect()
+    assert [(r["properties"]["n"], r["type"], r["rings"], r["points"]) for r in rows] == [
+        ("1", "GeometryCollection", None, None), ("2", None, None, None)]
+
+
+def test_kml_nested_geometries_and_rings(spark, tmp_path):
+    ring = lambda k: f"<LinearRing><coordinates>0,0 {k},0 {k},{k} 0,0</coordinates></LinearRing>"
+    area = f"<Polygon><outerBoundaryIs>{ring(9)}</outerBoundaryIs></Polygon>"
+    line = "<LineString><coordinates>1,2 3,4</coordinates></LineString>"
+    inner = f"<MultiGeometry>{area}{line}{ring(3)}<MultiGeometry>{area}{line}</MultiGeometry></MultiGeometry>"
+    marks = f"<Placemark><name>a</name><MultiGeometry>{inner}{inner}{line}</MultiGeometry></Placemark>"
+    marks += f"<Placemark><name>b</name>{ring(5)}</Placemark><Placemark><name>c</name></Placemark>"
+    (tmp_path / "x.kml").write_text(f"<kml><Document>{marks}</Document></kml>")
+    found = {r["name"]: r for r in vector.read_kml(spark, str(tmp_path / "x.kml")).collect()}
+    assert len(found["a"]["rings"]) == 6 and len(found["a"]["paths"]) == 5 and found["a"]["points"] is None
+    assert found["b"]["rings"][0][1]["x"] == 5.0 and found["c"]["rings"] is None
+
+
 def test_headers_are_read_in_one_job(spark, tmp_path):
     for i in range(12):
         (tmp_path / f"crash-data-download_20{i:02}.csv").write_text(f"A,B{i % 2}\n{i},x\n")

@@ -56,6 +56,27 @@ def test_exports_are_matched_by_name(spark, folder):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
 
 
+@pytest.mark.parametrize("name", ["with blank x", "a+b", "50% off", "[odd] {set}", "é ü"])
+def test_odd_names(spark, tmp_path, name):
+    d = tmp_path / name
+    d.mkdir()
+    (d / f"crash-data-download_2020 {name}.csv").write_text("A,B\n1,2\n")
+    (d / f"crash-data-download_2021 {name}.csv").write_text("B,A\n4,3\n")
+    (d / "crash-data-download_2022.csv").write_text("")
+    rows = exports.read_exports(spark, exports._literal(str(d))).collect()
+    assert sorted((r["A"], r["B"]) for r in rows) == [("1", "2"), ("3", "4")]
+    assert {r["file_name"] for r in rows} == {f"crash-data-download_{y} {name}.csv" for y in (2020, 2021)}
+
+
+def test_a_header_costs_the_head_of_its_file(spark, tmp_path):
+    for k, n in enumerate((1, 400_000)):
+        (tmp_path / f"crash-data-download_{k}.csv").write_text("DOCTNMBR,CNTYNAME\n" + "12345678,DANE\n" * n)
+    found = exports.headers(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == 2
+    assert [r["header"] for r in found.collect()] == ["DOCTNMBR,CNTYNAME"] * 2
+    assert exports.read_exports(spark, str(tmp_path)).count() == 400_001
+
+
 def test_no_exports(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         exports.read_exports(spark, str(tmp_path))
@@ -88,12 +109,28 @@ def test_summaries_as_csv(spark, folder, tmp_path):
     out = str(tmp_path / "summaries")
     sinks.write_all_summaries(all_summaries(df, "CNTYNAME"), out, "CNTYNAME")
     assert len(os.listdir(out)) == 7
-    place = os.path.join(out, "crash_by_race", "CNTYNAME=DANE")
-    (name,) = [f for f in os.listdir(place) if f.endswith(".csv")]
-    lines = open(os.path.join(place, name)).read().splitlines()
-    assert lines[0] == "vulnerable_role,ped_inj_name,vulnerable_race,count"
-    assert lines[1:] == ["Bicyclist,Suspected Serious Injury,NA,1", "Pedestrian,Fatality,NA,1",
-                         "Pedestrian,Suspected Minor Injury,NA,1"]
+    # the place is in the path and in the file; files in order of their names hold the rows in order
+    place = os.path.join(out, "crash_by_race", "place=DANE")
+    lines = [open(os.path.join(place, f)).read().splitlines() for f in sorted(os.listdir(place)) if f.endswith(".csv")]
+    assert {x[0] for x in lines} == {"CNTYNAME,vulnerable_role,ped_inj_name,vulnerable_race,count"}
+    assert [x for file in lines for x in file[1:]] == [
+        "DANE,Bicyclist,Suspected Serious Injury,NA,1", "DANE,Pedestrian,Fatality,NA,1",
+        "DANE,Pedestrian,Suspected Minor Injury,NA,1"]
+
+
+def test_a_large_place_is_several_files_in_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "ROWS_PER_FILE", 40)
+    table = spark.range(1000).selectExpr("'A=B %' as town", "id as year", "1L as count")
+    table = table.union(spark.range(3).selectExpr("cast(null as string)", "id", "2L"))
+    sinks.write_summaries({"t": table.repartition(7)}, str(tmp_path), "town")
+    found = {}
+    for folder in os.listdir(tmp_path / "t"):
+        if folder.startswith("place="):
+            files = sorted(f for f in os.listdir(tmp_path / "t" / folder) if f.endswith(".csv"))
+            found[folder] = [x for f in files for x in open(tmp_path / "t" / folder / f).read().splitlines()[1:]], len(files)
+    assert sorted(n for _, n in found.values())[-1] >= 25
+    assert [f"A=B %,{i},1" for i in range(1000)] in [x for x, _ in found.values()]
+    assert ["NA,0,2", "NA,1,2", "NA,2,2"] in [x for x, _ in found.values()]
 
 
 def test_layer_export(spark, folder, tmp_path):

@@ -45,7 +45,7 @@ def test_points_in_boxes(points, boxes, cell):
 
 def test_points_in_boxes_by_shuffle(points, boxes, monkeypatch):
     monkeypatch.setattr(spatial, "BROADCAST_BYTES", -1)
-    found = spatial.points_in_boxes(boxes, points)
+    found = spatial.points_in_boxes(boxes, points, salt=5)
     assert "SortMergeJoin" in found._jdf.queryExecution().toString()
     assert sorted((r["box"], r["id"]) for r in found.collect()) == brute_boxes()
 
@@ -57,7 +57,7 @@ def parts_of(spark, n_points, n_areas):
     left = left.union(spark.range(50).selectExpr("'other'", "0", "id + 1", "0L"))
     areas = spark.range(n_areas).selectExpr("id as area", "0 as _level", "0L as _cx", "0L as _cy")
     areas = areas.union(spark.range(50).selectExpr("id", "0", "id + 1", "0L"))
-    hot = spatial._hot_cells(left, areas, cell).collect()
+    hot = spatial._hot_cells(left, areas, cell, spatial.SHARES).collect()
     joined = spatial._join_cells(left, areas, spatial.BROADCAST_BYTES + 1)
     return hot, joined
 
