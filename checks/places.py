@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from checks.oracle import LAT, LON, on_crashes
-from checks.surrogate import crashes, lat_of, lon_of, table
+from checks.surrogate import crashes, lat_of, lon_of, raw_crashes, table
 from checks.tables import (
     _INJURED,
     _MEAN,
@@ -47,9 +47,11 @@ from kerbside.operators import (
     spatial,
     summaries,
 )
+from kerbside.operators.curate import curate
+from kerbside.operators.lineage import shared_path
 from kerbside.plans import county, maps
 from kerbside.plans.runs import schools_of_run
-from kerbside.sources import dims, sinks
+from kerbside.sources import dims, exports, sinks, vector
 
 QUERIES = {}
 ORACLES = {}
@@ -492,7 +494,17 @@ def school_count(spark, sf):
     return lookups.distinct_count(filters.valid_schools(school_table(spark, sf)), "NCES_CODE")
 
 
-_LISTED = "listed AS (SELECT path FROM boxed WHERE VIRTUAL = 'No')"
+_LISTED = "listed AS (SELECT path FROM boxed WHERE school_id % 3 <> 0)"
+
+
+def _outputs(spark, sf) -> DataFrame:
+    """A listing of files: an output is written for two of three schools, and then looked for."""
+    made = schools_of_run(school_table(spark, sf).where("school_id % 3 <> 0"), ALL_SCHOOLS)
+    out = shared_path(spark, "school-maps")
+    made.select("NCES_CODE", F.base64(F.col("path").cast("binary")).alias("file")).write.partitionBy("file").csv(out)
+    name = F.url_decode(F.regexp_extract("path", "file=([^/]*)/", 1))
+    listed = exports.file_listing(spark, out, "*.csv")
+    return listed.select(F.unbase64(name).cast("string").alias("path"))
 
 
 @query(
@@ -503,8 +515,7 @@ _LISTED = "listed AS (SELECT path FROM boxed WHERE VIRTUAL = 'No')"
 )
 def manifest(spark, sf):
     expected = schools_of_run(school_table(spark, sf), ALL_SCHOOLS)
-    listing = expected.where(F.col("VIRTUAL") == "No").select("path")
-    return schools.manifest(expected, listing).select("NCES_CODE", "path", "exists")
+    return schools.manifest(expected, _outputs(spark, sf)).select("NCES_CODE", "path", "exists")
 
 
 @query(
@@ -516,8 +527,7 @@ def manifest(spark, sf):
 )
 def districts_not_done(spark, sf):
     expected = schools_of_run(school_table(spark, sf), ALL_SCHOOLS)
-    listing = expected.where(F.col("VIRTUAL") == "No").select("path")
-    return schools.districts_not_done(schools.manifest(expected, listing))
+    return schools.districts_not_done(schools.manifest(expected, _outputs(spark, sf)))
 
 
 def enrollment_table(spark, sf) -> DataFrame:
@@ -722,13 +732,13 @@ def lts_colors(spark, sf):
     "geojson_points",
     on_crashes(
         "SELECT '{\"type\":\"Feature\",\"geometry\":{\"type\":\"Point\",\"coordinates\":[' || "
-        "age2::VARCHAR || ',' || age2::VARCHAR || ']},\"properties\":{\"DOCTNMBR\":\"' || "
-        "DOCTNMBR || '\"}}' AS value FROM crashes"
+        "longitude::VARCHAR || ',' || latitude::VARCHAR || ']},\"properties\":{\"DOCTNMBR\":\"' || "
+        "DOCTNMBR || '\",\"age2\":' || age2::VARCHAR || '}}' AS value FROM crashes WHERE latitude IS NOT NULL"
     ),
 )
 def geojson_points(spark, sf):
-    points = crashes(spark, sf).select("DOCTNMBR", F.col("age2").alias("x"), F.col("age2").alias("y"))
-    return sinks.geojson_points(points, "x", "y")
+    points = filters.with_coordinates(crashes(spark, sf))
+    return sinks.geojson_points(points.select("DOCTNMBR", "age2", "longitude", "latitude"))
 
 
 # ---- polygons, lines, boxes -------------------------------------------------------------------------
@@ -744,18 +754,17 @@ def points_in_polygons(spark, sf):
 @query(
     "points_in_polygons_left",
     on_crashes(
-        "SELECT t.GEOID, i.row_order, i.row_line, i.row_part FROM tract t "
-        "LEFT JOIN (SELECT * FROM inside WHERE ped_inj = 'K' AND year = 1999 "
-        "AND vulnerable_role = 'Bicyclist') i ON t.GEOID = i.GEOID",
+        "SELECT t.GEOID, i.row_order, i.row_line, i.row_part FROM (SELECT GEOID FROM tract UNION ALL "
+        "SELECT 'empty ' || GEOID FROM tract WHERE value = 0) t LEFT JOIN inside i ON t.GEOID = i.GEOID",
         TRACTS,
     ),
 )
 def points_in_polygons_left(spark, sf):
-    points = crashes(spark, sf).where(
-        (F.col("ped_inj") == "K") & (F.col("year") == 1999) & (F.col("vulnerable_role") == "Bicyclist")
-    )
+    tracts = tract_table(spark, sf)
+    away = F.transform("rings", lambda r: F.transform(r, lambda p: F.struct((p["x"] + 40).alias("x"), p["y"].alias("y"))))
+    empty = tracts.where("value = 0").withColumns({"GEOID": F.concat(F.lit("empty "), "GEOID"), "rings": away})
     found = spatial.points_in_polygons(
-        tract_table(spark, sf), points.select(*ROW_COLS, "longitude", "latitude"), "GEOID", how="left"
+        tracts.union(empty), crashes(spark, sf).select(*ROW_COLS, "longitude", "latitude"), "GEOID", how="left"
     )
     return found.select("GEOID", *ROW_COLS)
 
@@ -1313,3 +1322,77 @@ def county_comparison(spark, sf):
 )
 def county_report_years(spark, sf):
     return county.county_report(crashes(spark, sf), "NATION_3", "MACHINERY")["years_city"]
+
+
+# ---- files ------------------------------------------------------------------------------------------
+
+
+@query(
+    "read_exports",
+    on_crashes(
+        "SELECT year, CNTYNAME, count(*) AS n, count(DISTINCT DOCTNMBR) AS documents, sum(age1) AS age1, "
+        "sum(age2) AS age2, count(longitude) AS placed, min(latitude) AS south, max(longitude) AS east, "
+        "count(*) FILTER (row_order % 2 = 1) AS extra, count(ped_inj_name) AS injured FROM crashes GROUP BY ALL"
+    ),
+)
+def read_exports(spark, sf):
+    """Two layouts of text files, with other column orders and one column more, written and read."""
+    raw = raw_crashes(spark, sf)
+    names = [c for c, kind in raw.dtypes if c not in ("retreive_date", *ROW_COLS)]
+    texts = raw.select("row_order", *[F.col(c).cast("string").alias(c) for c in names])
+    out = shared_path(spark, "exports")
+    options = {"header": True, "nullValue": "NA"}
+    texts.where("row_order % 2 = 0").select(names).write.options(**options).csv(f"{out}/crash data 1")
+    more = texts.where("row_order % 2 = 1").withColumn("EXTRA", F.lit("x")).select("EXTRA", *names[::-1])
+    more.write.options(**options).csv(f"{out}/crash data 2")
+    read = exports.read_exports(spark, f"{out}/crash data *", "*.csv")
+    return curate(read).groupBy("year", "CNTYNAME").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("DOCTNMBR").alias("documents"),
+        F.sum("age1").alias("age1"), F.sum("age2").alias("age2"), F.count("longitude").alias("placed"),
+        F.min("latitude").alias("south"), F.max("longitude").alias("east"), F.count("EXTRA").alias("extra"),
+        F.count("ped_inj_name").alias("injured"),
+    )
+
+
+@query(
+    "read_geojson",
+    f"WITH {TRACTS.split('sides AS (')[0].rstrip().rstrip(',')} SELECT GEOID, value::VARCHAR AS value, "
+    "2 AS n_rings, 11 AS n_corners, cx - s AS \"left\", cy + s AS top FROM tract",
+)
+def read_geojson(spark, sf):
+    """A layer of polygons, written and read."""
+    out = shared_path(spark, "layer")
+    sinks.export_layer(tract_table(spark, sf), out)
+    read = vector.read_geojson(spark, out, lines=True)
+    corners = F.flatten("rings")
+    return read.select(
+        F.col("properties")["GEOID"].alias("GEOID"), F.col("properties")["value"].alias("value"),
+        F.size("rings").alias("n_rings"), F.size(corners).alias("n_corners"),
+        F.array_min(F.transform(corners, lambda p: p["x"])).alias("left"),
+        F.array_max(F.transform(corners, lambda p: p["y"])).alias("top"),
+    )
+
+
+@query(
+    "read_kml",
+    f"SELECT s_name AS name, {LON.format(k='s_suppkey')} AS lon, {LAT.format(k='s_suppkey')} AS lat, "
+    "s_suppkey::DOUBLE AS x, 1 AS n_rings FROM supplier",
+)
+def read_kml(spark, sf):
+    """A placemark with nested geometries for every supplier, written and read."""
+    out, k = shared_path(spark, "marks"), F.col("s_suppkey")
+
+    def place(*text: Column) -> Column:
+        return F.struct(F.concat(*text).alias("coordinates"))
+
+    point = place(lon_of(k).cast("string"), F.lit(","), lat_of(k).cast("string")).alias("Point")
+    line = place(F.lit("1,2 "), k.cast("string"), F.lit(",4")).alias("LineString")
+    ring = place(F.lit("0,0 1,0 1,1 0,0")).alias("LinearRing")
+    many = F.struct(point, F.struct(line).alias("MultiGeometry"), ring).alias("MultiGeometry")
+    marks = table(spark, sf, "supplier").select(F.col("s_name").alias("name"), many)
+    marks.write.format("xml").options(rootTag="Document", rowTag="Placemark").save(out)
+    read = vector.read_kml(spark, out)
+    return read.select(
+        "name", F.col("points")[0]["x"].alias("lon"), F.col("points")[0]["y"].alias("lat"),
+        F.col("paths")[0][1]["x"].alias("x"), F.size("rings").alias("n_rings"),
+    )

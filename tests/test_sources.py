@@ -334,3 +334,23 @@ def test_whole_runs(spark, folder, tmp_path, school_df):
     assert sorted(os.listdir(f"{out}/map")) == ["counties_en", "counties_es", "points_en", "points_es"]
     assert spark.read.text(f"{out}/map/points_es").count() == 3
     assert "SCHOOLTYPE_es" in school_labels(school_df, "es").columns
+
+
+def test_a_second_run_of_school_maps_computes_none(spark, curated, tmp_path):
+    rows = [(c, "A", "DANE", "D", "High School", "No", 43.0 + i, -89.0) for i, c in enumerate(("1", "2/b", "3 c"))]
+    schema = "NCES_CODE string, SCHOOL string, COUNTY string, DISTRICT string, SCHOOLTYPE string, VIRTUAL string, LAT double, LON double"
+    table = spark.createDataFrame(rows, schema)
+    crashes = curated(*[{"DOCTNMBR": str(i), "ROLE1": "PED", "AGE1": "9", "LATDECDG": str(43.0 + i), "LONDECDG": "-89.0",
+                         "CRSHDATE": "2023-05-06"} for i in range(2)])
+    config, out = RunConfig.from_dict({"county_focus": "ALL"}), str(tmp_path / "maps of schools")
+    wanted = {r["NCES_CODE"] for r in runs.schools_of_run(table, config).collect()}
+    assert {r["NCES_CODE"] for r in runs.school_maps_to(table, crashes, config, out).collect()} == wanted
+    first = sorted(os.path.join(d, f) for d, _, names in os.walk(out) for f in names)
+    assert runs.school_maps_to(table, crashes, config, out).count() == 0
+    assert sorted(os.path.join(d, f) for d, _, names in os.walk(out) for f in names) == first
+    assert {r["NCES_CODE"] for r in runs.done_schools(spark, out).collect()} == wanted
+    held = spark.read.parquet(out)
+    assert held.where("DOCTNMBR is not null").count() == 2 and held.select("school_code").distinct().count() == 3
+    # a further school, and only that one
+    more = table.union(spark.createDataFrame([("9", "B", *rows[0][2:])], schema))
+    assert [r["NCES_CODE"] for r in runs.school_maps_to(more, crashes, config, out).collect()] == ["9"]
