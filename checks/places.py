@@ -1117,6 +1117,11 @@ def hex_grid(spark, sf):
     return hexes.hex_grid(tract_table(spark, sf), 3000).select("GEOID", "q", "r")
 
 
+@query("hex_grid_500", f"WITH {_TRACT_SIDES}, {_flat_sides(500)} SELECT GEOID, q, r FROM touched")
+def hex_grid_500(spark, sf):
+    return hexes.hex_grid(tract_table(spark, sf), 500).select("GEOID", "q", "r")
+
+
 @query(
     "complete_grid",
     on_crashes(

@@ -10,13 +10,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.functions.nulls import safe_div
 from kerbside.functions.projection import project_rings, with_lonlat, with_utm
-from kerbside.functions.rings import contains, edges, envelope
+from kerbside.functions.rings import edges, span_between
 from kerbside.operators.filters import with_coordinates
+from kerbside.operators.lineage import checkpointed
 from kerbside.operators.trends import event_window, tag_periods, window_of
 
 
@@ -90,69 +91,70 @@ def hex_centroid(df: DataFrame, cell_m: float, zone: int = 16) -> DataFrame:
     return with_lonlat(centred, "_x", "_y", zone=zone).drop("_x", "_y")
 
 
-def _meets_cell(sides: Column, x: Column, y: Column, cell_m: float) -> Column:
+def _meets_cell(e: Column, x: Column, y: Column, cell_m: float) -> Column:
     """Whether a side enters the cell around (x, y): the cell is the overlap of three
     strips of width ``cell_m``, so the side is cut by the strips one after the other."""
     half = cell_m / 2
-    axes = [(math.cos(t), math.sin(t)) for t in (0.0, math.pi / 3, 2 * math.pi / 3)]
-
-    def meets(e: Column) -> Column:
-        lows, highs, apart = [F.lit(0.0)], [F.lit(1.0)], F.lit(False)
-        for ax, ay in axes:
-            start = (e["x1"] - x) * ax + (e["y1"] - y) * ay
-            step = (e["x2"] - e["x1"]) * ax + (e["y2"] - e["y1"]) * ay
-            a, b = F.try_divide(-half - start, step), F.try_divide(half - start, step)
-            lows.append(F.least(a, b))
-            highs.append(F.greatest(a, b))
-            apart = apart | ((step == 0) & (F.abs(start) > half))
-        return ~apart & (F.greatest(*lows) <= F.least(*highs))
-
-    def close(e: Column) -> Column:
-        # a circle around the cell holds it; most sides are outside that circle's box
-        far = cell_m
-        return (
-            (F.least(e["x1"], e["x2"]) <= x + far) & (F.greatest(e["x1"], e["x2"]) >= x - far)
-            & (F.least(e["y1"], e["y2"]) <= y + far) & (F.greatest(e["y1"], e["y2"]) >= y - far)
-        )
-
-    return F.exists(F.filter(sides, close), meets)
+    lows, highs, apart = [F.lit(0.0)], [F.lit(1.0)], F.lit(False)
+    for t in (0.0, math.pi / 3, 2 * math.pi / 3):
+        ax, ay = math.cos(t), math.sin(t)
+        start = (e["x1"] - x) * ax + (e["y1"] - y) * ay
+        step = (e["x2"] - e["x1"]) * ax + (e["y2"] - e["y1"]) * ay
+        a, b = F.try_divide(-half - start, step), F.try_divide(half - start, step)
+        lows.append(F.least(a, b))
+        highs.append(F.greatest(a, b))
+        apart = apart | ((step == 0) & (F.abs(start) > half))
+    return ~apart & (F.greatest(*lows) <= F.least(*highs))
+
+
+def _cells_between(low: Column, high: Column, cell_m: float) -> Column:
+    """Keys ``q`` in row ``r`` of all cells that reach between two places on it."""
+    width = _radius(cell_m) * math.sqrt(3)
+    return F.sequence(
+        F.floor((low - width / 2) / width - F.col("r") / 2),
+        F.ceil((high + width / 2) / width - F.col("r") / 2),
+    )
 
 
 def hex_grid(
     areas: DataFrame, cell_m: float, rings: str = "rings", zone: int = 16
 ) -> DataFrame:
-    """Every cell that an area touches, with or without crashes, and the area's columns."""
+    """Every cell that an area touches, with or without crashes, and the area's columns.
+
+    Sides are rows. A side meets, in each grid row it reaches, the few cells around its part of that
+    row. The line through the centres of a grid row crosses the outline at places that, in order,
+    begin and end runs of cells inside. So no row carries an outline, and the work follows the sides
+    and the cells that are found.
+    """
     radius = _radius(cell_m)
-    flat = areas.withColumn("_flat", project_rings(F.col(rings), zone))
-    flat = flat.withColumns(
-        {"_sides": edges(F.col("_flat")), **{f"_{k}": c for k, c in envelope(F.col("_flat")).items()}}
-    ).drop("_flat", rings)
-    rows = flat.withColumn(
-        "r",
-        F.explode(
-            F.sequence(
-                F.floor((F.col("_y0") - radius) / (1.5 * radius)),
-                F.ceil((F.col("_y1") + radius) / (1.5 * radius)),
-            )
-        ),
-    )
-    # one row per grid line so far: spread them before each becomes a line of cells
-    rows = rows.repartition(int(areas.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    width = radius * math.sqrt(3)
-    cells = rows.withColumn(
-        "q",
-        F.explode(
-            F.sequence(
-                F.floor((F.col("_x0") - width / 2) / width - F.col("r") / 2),
-                F.ceil((F.col("_x1") + width / 2) / width - F.col("r") / 2),
-            )
-        ),
+    kept = checkpointed(areas.withColumn("_id", F.monotonically_increasing_id()))
+    sides = kept.select("_id", F.explode(edges(project_rings(F.col(rings), zone))).alias("_side"))
+    sides = sides.repartition(int(areas.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    e, step = F.col("_side"), 1.5 * radius
+    south, north = F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])
+
+    met = sides.withColumn(
+        "r", F.explode(F.sequence(F.floor((south - radius) / step), F.ceil((north + radius) / step)))
     )
-    cells = hex_center(cells, cell_m, ("_cx", "_cy"))
-    touched = _meets_cell(F.col("_sides"), F.col("_cx"), F.col("_cy"), cell_m) | contains(
-        F.col("_sides"), F.col("_cx"), F.col("_cy")
+    west, east = span_between(e, F.col("r") * step - radius, F.col("r") * step + radius)
+    met = met.withColumn("q", F.explode(_cells_between(west, east, cell_m)))
+    met = hex_center(met, cell_m, ("_cx", "_cy"))
+    met = met.where(_meets_cell(e, F.col("_cx"), F.col("_cy"), cell_m)).select("_id", "q", "r")
+
+    y = F.col("r") * step
+    crossed = sides.withColumn("r", F.explode(F.sequence(F.floor(south / step), F.ceil(north / step))))
+    crossed = crossed.where((e["y1"] > y) != (e["y2"] > y)).select(
+        "_id", "r", (e["x1"] + (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"])).alias("_from")
     )
-    return cells.where(touched).drop("_sides", "_x0", "_y0", "_x1", "_y1", "_cx", "_cy")
+    along = Window.partitionBy("_id", "r").orderBy("_from")
+    runs = crossed.withColumns({"_to": F.lead("_from").over(along), "_nth": F.row_number().over(along)})
+    runs = runs.where((F.col("_nth") % 2 == 1) & (F.col("_from") < F.col("_to")))
+    inside = runs.withColumn("q", F.explode(_cells_between(F.col("_from"), F.col("_to"), cell_m)))
+    inside = hex_center(inside, cell_m, ("_cx", "_cy"))
+    inside = inside.where((F.col("_cx") >= F.col("_from")) & (F.col("_cx") < F.col("_to")))
+    cells = met.union(inside.select("_id", "q", "r")).distinct()
+    columns = [c for c in areas.columns if c != rings]
+    return kept.drop(rings).join(cells, "_id").select(*columns, "r", "q")
 
 
 def complete_grid(cells: DataFrame, counts: DataFrame) -> DataFrame:

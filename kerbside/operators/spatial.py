@@ -38,6 +38,7 @@ from kerbside.functions.rings import (
     is_non_empty,
     on_side,
     ring_area,
+    span_between,
 )
 from kerbside.operators.lineage import checkpointed
 
@@ -237,19 +238,6 @@ def _rows_of(low: Column, high: Column, size: Column) -> Column:
     return F.sequence(_cell(low - size * SLACK, size), _cell(high + size * SLACK, size))
 
 
-def _span_in(e: Column, south: Column, north: Column) -> tuple[Column, Column]:
-    """West and east end of a side's part between two heights; it reaches between them."""
-
-    def x_at(y: Column) -> Column:
-        along = F.coalesce(F.try_divide(y - e["y1"], e["y2"] - e["y1"]), F.lit(0.0))
-        return e["x1"] + (e["x2"] - e["x1"]) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
-
-    level = e["y1"] == e["y2"]
-    a = F.when(level, e["x1"]).otherwise(x_at(south))
-    b = F.when(level, e["x2"]).otherwise(x_at(north))
-    return F.least(a, b), F.greatest(a, b)
-
-
 def _east_of(e: Column, x: Column, y: Column, border: Column) -> Column:
     """Whether a side passes east of ``x`` at height ``y``; a side that is not at that height counts
     by its nearest corner, whether that is east of ``border``.
@@ -307,7 +295,7 @@ def _cell_sides(areas: DataFrame, box, rings: str, cell: float) -> DataFrame:
     none = F.lit(None).cast(_SIDE).alias("_side")
     corners = each.select("_id", *_CELL, odd.alias("_odd"), none)
 
-    west, east = _span_in(e, south, north)
+    west, east = span_between(e, south, north)
     entered = sides.withColumn("_cx", F.explode(_rows_of(west, east, s)))
     entered = entered.where(F.col("_cx").between(F.col("_first"), F.col("_last")))
     entered = entered.where(F.col("_cy").between(_cell(y0, s), _cell(y1, s)))
@@ -333,7 +321,7 @@ def _quarters(rows: DataFrame, cell: float) -> DataFrame:
     odd = F.when(e.isNull(), F.col("_odd")).otherwise(F.col("_odd") != (there != here))
     slack = (F.col("_east") - F.col("_west")) * SLACK
     south, north = F.col("_south") - slack, F.col("_north") + slack
-    west, east = _span_in(e, south, north)
+    west, east = span_between(e, south, north)
     enters = (
         (F.greatest(e["y1"], e["y2"]) >= south) & (F.least(e["y1"], e["y2"]) <= north)
         & (east >= F.col("_west") - slack) & (west <= F.col("_east") + slack)

@@ -340,6 +340,36 @@ def test_hex_grid_covers_the_area(points, polygons):
     assert box["left"] > -88.9 - 0.25 and box["right"] < -87.1 + 0.25
 
 
+def test_hex_grid_of_a_long_outline(spark):
+    """Cells inside and on a wavy outline with a hole, against every cell around it."""
+    hole = closed((-88.3, 42.9), (-87.9, 42.9), (-87.9, 43.2), (-88.3, 43.2))
+    df = spark.createDataFrame([("a", [wavy(500), hole]), ("b", [hole])], f"name string, rings {rings.RINGS_TYPE}")
+    cell = 4000
+    grid = {(r["name"], r["q"], r["r"]) for r in hexes.hex_grid(df, cell).collect()}
+    flat = df.select("name", projection.project_rings(F.col("rings")).alias("flat")).collect()
+    plan = hexes.hex_grid(df, cell)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1
+    want = set()
+    for name, shape in flat:
+        shape = [[{"x": p.x, "y": p.y} for p in ring] for ring in shape]
+        xs, ys = zip(*((p["x"], p["y"]) for ring in shape for p in ring))
+        radius = cell / math.sqrt(3)
+        for r in range(int(min(ys) / radius / 1.5) - 2, int(max(ys) / radius / 1.5) + 3):
+            for q in range(int(min(xs) / cell - r / 2) - 2, int(max(xs) / cell - r / 2) + 3):
+                cx, cy = (q + r / 2) * cell, r * 1.5 * radius
+                corner = [(cx + radius * math.sin(k * math.pi / 3), cy + radius * math.cos(k * math.pi / 3)) for k in range(6)]
+                near = inside(shape, cx, cy) or any(
+                    abs(p["x"] - cx) <= cell and abs(p["y"] - cy) <= cell
+                    and all((p["x"] - cx) * math.cos(t) + (p["y"] - cy) * math.sin(t) <= cell / 2
+                            and (p["x"] - cx) * math.cos(t) + (p["y"] - cy) * math.sin(t) >= -cell / 2
+                            for t in (0, math.pi / 3, 2 * math.pi / 3))
+                    for ring in shape for p in ring)
+                if near or any(inside(shape, *c) for c in corner):
+                    want.add((name, q, r))
+    # cells that only the middle of a long side clips are in the grid alone
+    assert want <= grid and len(grid - want) < 0.05 * len(grid)
+
+
 def test_hex_change_totals(curated):
     rows = [{"ROLE1": "PED", "CRSHDATE": d, "LATDECDG": str(lat), "LONDECDG": "-88.0"}
             for d, lat in (("2020-05-01", 43.0), ("2021-05-01", 43.0), ("2022-11-01", 43.0), ("2023-05-01", 43.0),
