@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from checks.oracle import LAT, LON, on_crashes
 from checks.surrogate import crashes, lat_of, lon_of, raw_crashes, table
+from checks.tables import ORACLES as _ALL_TABLES
 from checks.tables import (
     _INJURED,
     _MEAN,
@@ -1401,3 +1402,41 @@ def read_kml(spark, sf):
         "name", F.col("points")[0]["x"].alias("lon"), F.col("points")[0]["y"].alias("lat"),
         F.col("paths")[0][1]["x"].alias("x"), F.size("rings").alias("n_rings"),
     )
+
+
+# ---- the tables of a county's report, on that county's crashes alone --------------------------------
+
+_OWN = "crashes AS (SELECT * FROM everyone WHERE CNTYNAME = 'NATION_3')"
+
+
+def _own_sql(sql: str) -> str:
+    """A query's SQL on the crashes of one county."""
+    renamed = sql.replace("crashes AS (\n", "everyone AS (\n", 1)
+    return renamed.replace("  FROM typed\n),", f"  FROM typed\n),\n{_OWN},", 1)
+
+
+def _report_table(name: str, key: str, same: str, *doubles: str) -> None:
+    """Register a table of the report; its SQL is that of the query ``same``."""
+
+    def run(spark, sf):
+        out = county.county_report(crashes(spark, sf), "NATION_3", "MACHINERY")[key]
+        dates = [c for c, kind in out.dtypes if kind == "date"]  # compared as text there too
+        return rounded(out, *doubles).withColumns({c: F.col(c).cast("string") for c in dates})
+
+    query(name, _own_sql((_ALL_TABLES | ORACLES)[same]))(run)
+
+
+for _name, _key, _same, *_doubles in (
+    ("county_report_window", "window", "report_window"),
+    ("county_report_months", "month_role", "monthly_profile_role", "average"),
+    ("county_report_ages", "month_age", "monthly_profile_age", "average"),
+    ("county_report_totals", "years", "ytd_total"),
+    ("county_report_severity", "years_severe", "ytd_severity"),
+    ("county_report_cumulative", "cumulative", "cumulative_by_year"),
+    ("county_report_days", "halloween", "daily_profile"),
+    ("county_report_weekends", "halloween_weekend", "weekend_average", "average"),
+    ("county_report_vehicles", "vehicles", "severity_share", "percent", "cumpercent"),
+    ("county_report_hexes_3000", "hex_3000", "hex_change_3000", *_CHANGE_DOUBLES),
+    ("county_report_hexes_500", "hex_500", "hex_change_500", *_CHANGE_DOUBLES),
+):
+    _report_table(_name, _key, _same, *_doubles)
