@@ -370,11 +370,17 @@ def _polygon_cells(polygons: DataFrame, rings: str, cell: float) -> _Listing:
     return _Listing(areas, cells, size, box, cell)
 
 
+def _is_odd(lon: str, lat: str) -> Column:
+    """Parity of the sides east of a point, by the sides of its cell alone."""
+    x, y = F.col(lon), F.col(lat)
+    odd = F.aggregate("_sides", F.col("_base"), lambda acc, e: acc != _east_of(e, x, y, F.col("_east")))
+    return F.when(F.col("_cut"), odd).otherwise(True)
+
+
 def _is_inside(lon: str, lat: str) -> Column:
     """Strictly inside, by the sides of the cell alone."""
-    x, y, sides = F.col(lon), F.col(lat), F.col("_sides")
-    odd = F.aggregate(sides, F.col("_base"), lambda acc, e: acc != _east_of(e, x, y, F.col("_east")))
-    return F.when(F.col("_cut"), odd & ~on_side(sides, x, y)).otherwise(True)
+    there = on_side(F.col("_sides"), F.col(lon), F.col(lat))
+    return _is_odd(lon, lat) & ~(F.col("_cut") & there)
 
 
 def points_in_polygons(
@@ -615,19 +621,32 @@ def extent(
 
 
 def fill_holes(
-    polygons: DataFrame, km2: float = 1.0, rings: str = "rings", zone: int = 16
+    polygons: DataFrame, km2: float = 1.0, rings: str = "rings", zone: int = 16, cell: float = 0.01
 ) -> DataFrame:
     """Remove inner rings smaller than ``km2``. A ring is an inner one if its first corner
-    lies inside the others."""
-
-    def stays(ring: Column, i: Column) -> Column:
-        others = F.filter(F.col(rings), lambda r, j: j != i)
-        first = ring[0]
-        inner = crossings_odd(edges(others), first["x"], first["y"])
-        large = ring_area(project_rings(F.array(ring), zone)[0]) >= km2 * 1e6
-        return ~inner | large
-
-    return polygons.withColumn(rings, F.filter(F.col(rings), stays))
+    lies inside an odd number of the polygon's other rings; so an island in a hole is none, and a
+    hole in that island is one.
+
+    Rings are rows: the first corners of the small ones meet the grid cells of the rings of their own
+    polygon, so the work follows the sides, not rings times sides. Polygons of one ring have no inner
+    one and are not looked at."""
+    shapes = checkpointed(polygons.withColumn("_owner", F.monotonically_increasing_id()))
+    parts = shapes.where(F.size(rings) > 1).select("_owner", F.posexplode(rings).alias("_nth", "_ring"))
+    size = ring_area(project_rings(F.array("_ring"), zone)[0])
+    small = parts.where(size < km2 * 1e6).select(
+        "_owner", F.col("_nth").alias("_small"),
+        F.col("_ring")[0]["x"].alias("_px"), F.col("_ring")[0]["y"].alias("_py"),
+    )
+    listing = _polygon_cells(parts.select("_owner", "_nth", F.array("_ring").alias("_rings")), "_rings", cell)
+    near = _near(small, listing, "_px", "_py")
+    pairs = _join_cells(near, listing.cells, listing.size, SHARES, ("_owner",))
+    around = pairs.where((F.col("_nth") != F.col("_small")) & _is_odd("_px", "_py"))
+    inner = around.groupBy("_owner", "_small").agg(F.count(F.lit(1)).alias("_n")).where("_n % 2 = 1")
+    gone = inner.groupBy("_owner").agg(F.collect_set("_small").alias("_gone"))
+    kept = F.filter(F.col(rings), lambda r, i: ~F.array_contains("_gone", i))
+    out = shapes.join(gone, "_owner", "left")
+    filled = F.when(F.col("_gone").isNull(), F.col(rings)).otherwise(kept)
+    return out.withColumn(rings, filled).select(*polygons.columns)
 
 
 def non_empty(df: DataFrame, rings: str = "rings") -> DataFrame:

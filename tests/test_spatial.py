@@ -295,6 +295,25 @@ def test_fill_holes(spark):
     assert [r[0]["x"] for r in kept] == [shape[i][0]["x"] for i in (0, 2, 3)]
 
 
+def test_fill_holes_of_many_rings(spark):
+    """Holes, islands in them and holes in those, beside a polygon that overlaps and one of one ring."""
+    def square(cx, cy, half):
+        return closed((cx - half, cy - half), (cx + half, cy - half), (cx + half, cy + half), (cx - half, cy + half))
+
+    many = [square(-88, 43, 0.5)]
+    for i in range(12):
+        for j in range(12):
+            x, y = -88.44 + 0.08 * i, 42.56 + 0.08 * j
+            many += [square(x, y, 0.004), square(x, y, 0.002), square(x, y, 0.001)]
+    shapes = [("many", many), ("over", [square(-88, 43, 0.7), square(-88.04, 42.96, 0.003)]), ("one", [square(-88, 43, 0.001)]),
+              ("none", []), ("null", None)]
+    df = spark.createDataFrame(shapes, f"name string, rings {rings.RINGS_TYPE}")
+    got = {r["name"]: r["rings"] for r in spatial.fill_holes(df).collect()}
+    # rings 1 and 3 of each place lie in an odd number of others and are small; ring 2 is an island
+    assert [r[0]["x"] for r in got["many"]] == [many[0][0]["x"], *(many[k][0]["x"] for k in range(2, len(many), 3))]
+    assert len(got["over"]) == 1 and len(got["one"]) == 1 and got["none"] == [] and got["null"] is None
+
+
 def test_boxes_around_points_and_polygons(spark, polygons):
     df = spark.createDataFrame([(-88.0, 43.0)], "longitude double, latitude double")
     r = spatial.point_box(df, F.lit(1113.2)).first()
