@@ -129,6 +129,13 @@ class _Lines(HTMLParser):
             self._now.parts.append(data)
             self._now.linked += len(data) if self._links else 0
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Sections that the parser does not know are skipped up to their ``>``, as browsers do."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
     def close(self) -> None:
         super().close()
         self._end_line()

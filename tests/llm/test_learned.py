@@ -72,3 +72,18 @@ def test_pipeline(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     assert len({r.doc_id for r in packed}) == left
     assert os.path.basename(corpus_pipeline.__file__) == "corpus_pipeline.py"
+
+
+def test_broken_markup_and_odd_rows(spark):
+    words = "many plain words of an article " * 20
+    for odd in ("<![foo[bar]]>", "<![if !IE]>", "<![", "<![ >", "<!DOCTYPE [x", "<![CDATA[x]]>", "<!-- x", "</ >", "<a b='"):
+        text = extraction.main_text(f"<article><p>Before</p>{odd}<p>{words}</p></article>")
+        assert text.startswith("Before"), odd
+    for odd in ("<![foo[bar]]>", "<![if !IE]>", "<![ >"):
+        assert extraction.main_text(f"<article>{odd}<p>{words}</p></article>").endswith(words.strip()), odd
+    long = "<article>" + "<p>word word</p>" * 50_000 + "</article>"
+    rows = [(1, "u", long, 7), (1, "u", "<article>A</article>", 7), (1, "u", "<article>A</article>", 7), (None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
+    got = sorted(((r.page_id, r.n_chars) for r in extraction.extract(pages).collect()), key=str)
+    assert got == [(1, 1), (1, 1), (1, 50_000 * 10 - 1), (None, 0)]
+    assert extraction.extract(pages.limit(0)).count() == 0
