@@ -189,7 +189,8 @@ def main_text(html: str | None) -> str:
     ratios = [max(0, len(text) - 2 * line.linked) / line.tags for line, text in lines]
     smooth = _smooth(ratios)
     cut = _threshold(smooth)
-    dense = [i for i, v in enumerate(smooth) if v > cut or max(smooth) == min(smooth)]
+    even = max(smooth) == min(smooth)
+    dense = [i for i, v in enumerate(smooth) if v > cut or even]
     articles = {lines[i][0].article for i in dense} - {0}
     if articles:
         return " ".join(text for line, text in lines if line.article in articles)
