@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kerbside.llm import setjoin as S
 from kerbside.llm.common import sized, stored
@@ -68,15 +66,16 @@ def _later(links: DataFrame, klass: DataFrame) -> DataFrame:
     return links.join(a, "a_key").join(b, "b_key").select(later.alias("key")).distinct()
 
 
-@F.pandas_udf(T.StringType())
-def _without(text: pd.Series, drop: pd.Series) -> pd.Series:
-    out = []
-    for t, d in zip(text, drop):
-        if t is not None and d is not None:
-            gone = set(d)
-            t = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
-        out.append(t)
-    return pd.Series(out, dtype=object)
+def _without(lines: Column, drop: Column) -> Column:
+    """The text of ``lines`` but those numbered in ``drop`` (ascending, from 0): the spans before each of
+    these, and what follows the last. The work follows the number of lines."""
+
+    def before(line: Column, i: Column) -> Column:
+        first = F.when(i == 0, 0).otherwise(F.get(drop, i - 1) + 1)
+        return F.slice(lines, first + 1, line - first)
+
+    rest = F.slice(lines, F.element_at(drop, -1) + 2, F.size(lines))
+    return F.array_join(F.concat(F.flatten(F.transform(drop, before)), rest), "\n")
 
 
 def dedup_lines(docs: DataFrame, join: S.Join = QUERY) -> DataFrame:
@@ -84,8 +83,8 @@ def dedup_lines(docs: DataFrame, join: S.Join = QUERY) -> DataFrame:
     ``n_removed`` added (replaced if they exist).
 
     A null text has no lines and stays null, an empty text has one, empty line and stays."""
-    drop = repeated_lines(docs, join).distinct().groupBy("row", "hash").agg(F.collect_list("line").alias("drop"))
-    drop = stored(drop, "line-drop")
+    drop = repeated_lines(docs, join).distinct().groupBy("row", "hash")
+    drop = stored(drop.agg(F.array_sort(F.collect_list("line")).alias("drop")), "line-drop")
     lines = drop.agg(F.sum(F.size("drop"))).first()[0] or 0
     drop = drop.select(F.col("row").alias("__row"), F.col("hash").alias("__hash"), F.col("drop").alias("__drop"))
     drop = sized(drop, 32, lines + drop.count())
@@ -93,12 +92,14 @@ def dedup_lines(docs: DataFrame, join: S.Join = QUERY) -> DataFrame:
     same &= F.xxhash64(docs["text"].cast("string")) == F.col("__hash")
     found = docs.drop("n_lines", "n_removed").join(drop, same, "left")
     some = F.col("__drop").isNotNull()
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
+    lines = F.col("__lines")
+    # a column of its own that is used more than once: the plan keeps it, and a text is split once
+    found = found.withColumn("__lines", F.split("text", "\n", -1))
     return (
-        found.withColumn("n_lines", n_lines.cast("long"))
+        found.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
         .withColumn("n_removed", F.when(some, F.size("__drop")).otherwise(0).cast("long"))
-        .withColumn("text", F.when(some, _without(F.when(some, F.col("text")), F.col("__drop"))).otherwise(F.col("text")))
-        .drop("__row", "__hash", "__drop")
+        .withColumn("text", F.when(some, _without(lines, F.col("__drop"))).otherwise(F.col("text")))
+        .drop("__row", "__hash", "__drop", "__lines")
     )
 
 

@@ -41,6 +41,9 @@ _SET_BITS = 52
 #: Postings that a task holds before it sends them on, and that a bucket has on average.
 _FLUSH = 1 << 18
 _POSTINGS = 1 << 17
+#: Sets that a task remembers to have given tokens to.
+_LED = 1 << 16
+_LEAD = np.dtype([("key", "u8"), ("tie", "u8"), ("row", "i8"), ("part", "i4"), ("line", "i4")])
 _BUCKETS_PER_TASK = 4
 
 
@@ -87,9 +90,9 @@ def shingle_counts(docs: DataFrame, join: Join) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
-            for _, texts in W.slices(batch.column(0)):
+            for _, texts in W.slices(batch.column(0), W.SMALL):
                 h, _ = W.shingles(W.words(texts, lines=join.lines), join.k)
-                total += np.bincount(_slot(h), minlength=1 << SKETCH_BITS).astype(np.uint32)
+                np.add.at(total, _slot(h), 1)
         for c in range(0, len(total), _CHUNK):
             part = total[c : c + _CHUNK]
             if part.any():
@@ -194,37 +197,68 @@ def digested(docs: DataFrame, join: Join, tokens: Callable, name: str) -> DataFr
     need tokens, and returns the tokens in order of units and how many each unit has."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        led = Led()
         for batch in batches:
-            for at, texts in W.slices(batch.column(2)):
+            for at, texts in W.slices(batch.column(2), W.SMALL):
                 w = W.words(texts, lines=join.lines)
                 row_start = np.searchsorted(w.unit_row, w.unit_row)
                 for low, sets in distinct(w, join.k):
-                    yield _digest(batch.column(0), batch.column(1), at, w, row_start, low, sets, tokens, join)
+                    yield _digest(batch.column(0), batch.column(1), at, w, row_start, low, sets, tokens, join, led)
 
     out = docs.select("row", "hash", "text").mapInArrow(digest, DIGEST)
     return stored(out, name)
 
 
-def _digest(rows, hashes, at, w, row_start, low, sets, tokens, join) -> pa.RecordBatch:
+class Led:
+    """Sets that a task gave tokens to, the last ``_LED`` or so, and the place of each: a later equal
+    set needs none. Only what is spared depends on how many are kept."""
+
+    def __init__(self) -> None:
+        self._sets = np.empty(0, _LEAD)
+
+    def fresh(self, new: np.ndarray) -> np.ndarray:
+        """Marks those of ``new`` (distinct sets, in order of key) without an equal, earlier one; keeps them."""
+        at = np.searchsorted(self._sets["key"], new["key"])
+        known = np.zeros(len(new), bool)
+        if len(self._sets):
+            old = self._sets[np.minimum(at, len(self._sets) - 1)]
+            known = (old["key"] == new["key"]) & (old["tie"] == new["tie"])
+            earlier = old["row"] < new["row"]
+            for upper, name in (("row", "part"), ("part", "line")):
+                same = old[upper] == new[upper] if upper == "row" else same & (old[upper] == new[upper])
+                earlier |= same & (old[name] < new[name])
+            known &= earlier
+        kept = np.concatenate([self._sets, new[~known]]) if len(self._sets) < _LED else new[~known]
+        self._sets = kept[np.argsort(kept["key"], kind="stable")]
+        return ~known
+
+
+def _digest(rows, hashes, at, w, row_start, low, sets, tokens, join, led) -> pa.RecordBatch:
     keys, parity = set_keys(sets), _parity(sets)
     # the first of equal sets in order of place, however the rows of the batch are dealt
     of = at + w.unit_row[low : low + len(sets.n)]
+    unit = np.arange(len(sets.n)) + low
+    line = (unit - row_start[unit]).astype(np.int32)
     row = _numpy(rows.fill_null(np.iinfo(np.int64).min))[of]
-    order = np.lexsort((_numpy(hashes)[of] >> 32, row))
+    part = _numpy(hashes)[of] >> 32
+    order = np.lexsort((part, row))
     _, one = np.unique(keys[order, 0], return_index=True)
+    first = order[one]
+    new = np.empty(len(first), _LEAD)
+    new["key"], new["tie"] = keys[first, 0], keys[first, 1]
+    new["row"], new["part"], new["line"] = row[first], part[first], line[first]
     leads = np.zeros(len(sets.n), bool)
-    leads[order[one]] = True
+    leads[first[led.fresh(new)]] = True
     leads &= sets.n > 0
     prefix, size = tokens(sets, leads)
     offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
     lists = pa.ListArray.from_arrays(
         pa.array(offsets, mask=np.append(~leads, False)), pa.array(prefix.view(np.int64))
     )
-    unit = np.arange(len(sets.n)) + low
     body = pa.py_buffer(np.ascontiguousarray(keys).tobytes())
     key = pa.Array.from_buffers(pa.binary(16), len(keys), [None, body]).cast(pa.binary())
     out = {"row": rows.take(pa.array(of)), "hash": hashes.take(pa.array(of))}
-    out |= {"line": pa.array((unit - row_start[unit]).astype(np.int32))}
+    out |= {"line": pa.array(line)}
     out |= {"n": pa.array(sets.n.astype(np.int32)), "key": key, "id": keys[:, 0].view(np.int64)}
     out |= {f"s{i}": pa.array(parity[:, i], mask=~leads) for i in range(4)}
     out = pa.RecordBatch.from_pydict(out | {"prefix": lists})
@@ -391,6 +425,17 @@ def classes(digest: DataFrame, name: str, *more: Column) -> DataFrame:
     return stored(rows.select("key", "id", "n", "first.row", "first.hash", "first.line", *added), name)
 
 
+def picked_lines(texts: DataFrame) -> DataFrame:
+    """``id``, ``key`` and ``text`` of the lines that ``picks`` (structs of ``line``, ``id``, ``key``) of
+    each row wants. The text is split once a row: its lines are taken in an array function, before
+    anything is exploded."""
+    lines = texts.select("picks", F.split("text", "\n", -1).alias("lines"))
+    taken = F.transform(
+        "picks", lambda p: F.struct(p["id"].alias("id"), p["key"].alias("key"), F.get("lines", p["line"]).alias("text"))
+    )
+    return lines.select(F.inline(taken))
+
+
 def verified(
     pairs: DataFrame, klass: DataFrame, docs: DataFrame, join: Join, name: str
 ) -> DataFrame:
@@ -399,12 +444,16 @@ def verified(
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), name + "-ids")
     n = ids.count()
     wanted = stored(klass.join(sized(ids, 16, n), "id"), name + "-classes")
-    text = F.element_at(F.split("text", "\n", -1), F.col("line") + 1) if join.lines else F.col("text")
     held = wanted.count()
-    wanted = sized(wanted.withColumnsRenamed({"row": "wanted", "hash": "of"}), 72, n)
+    if join.lines:  # a text is cut into lines once, however many of them are wanted
+        picks = F.collect_list(F.struct("line", "id", "key")).alias("picks")
+        wanted = stored(wanted.groupBy("row", "hash").agg(picks), name + "-wanted")
+    wanted = sized(wanted.withColumnsRenamed({"row": "wanted", "hash": "of"}), 72, held)
     same = F.col("row").eqNullSafe(F.col("wanted")) & (F.col("hash") == F.col("of"))
-    texts = docs.join(wanted, same).select("id", "key", text.alias("text"))
-    texts = stored(texts, name + "-texts")
+    texts = docs.join(wanted, same)
+    if join.lines:
+        texts = picked_lines(texts)
+    texts = stored(texts.select("id", "key", "text"), name + "-texts")
     if texts.count() > held:  # rows that repeat: one text per class
         texts = stored(texts.dropDuplicates(["id", "key"]), name + "-once")
     a = texts.select(F.col("id").alias("a"), F.col("key").alias("a_key"), F.col("text").alias("a_text"))
@@ -413,7 +462,7 @@ def verified(
 
     def sets(texts: pa.Array, keys: list[bytes]) -> list[np.ndarray | None]:
         out = []
-        for at, part in W.slices(texts):
+        for at, part in W.slices(texts, W.SMALL):
             w = W.words(part)
             for low, s in distinct(w, join.k):
                 found = set_keys(s)
@@ -424,8 +473,9 @@ def verified(
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, len(whole), 512):
-                batch = whole.slice(at, 512)
+            sizes = [np.diff(W.ends(whole.column(i).cast(pa.large_string()))) for i in (1, 3)]
+            for at, to in W.cuts(np.concatenate([[0], np.cumsum(sizes[0] + sizes[1] + 64)]), W.SMALL):
+                batch = whole.slice(at, to - at)
                 a_key, b_key = batch.column(0).to_pylist(), batch.column(2).to_pylist()
                 x, y = sets(batch.column(1), a_key), sets(batch.column(3), b_key)
                 keep = []

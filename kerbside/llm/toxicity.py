@@ -56,7 +56,7 @@ def _terms(w: W.Words) -> list[np.ndarray]:
 
 def _words(batch: pa.RecordBatch) -> Iterator[tuple[W.Words, np.ndarray]]:
     label = batch.column(1).to_numpy()
-    for at, texts in W.slices(batch.column(0)):
+    for at, texts in W.slices(batch.column(0), W.SMALL):
         w = W.words(texts, W.NOT_ALNUM)
         yield w, label[at:][w.unit]
 

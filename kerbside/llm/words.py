@@ -2,7 +2,8 @@
 
 A text is cut into words at separator bytes after A-Z became a-z; words and shingles are
 known by 64-bit hashes that are the same in every process. Nulls are empty texts. A column is
-taken in slices of a few megabytes, so memory follows the slice (or one longer text).
+taken in slices of at most ``LARGE`` bytes, or ``SMALL`` where each byte needs many times its size
+in temporary arrays, so memory follows the slice (or one longer text).
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import pyarrow as pa
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 #: Everything in ASCII but letters and digits.
 NOT_ALNUM = bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
+#: Bytes of a slice.
+SMALL, LARGE = 1 << 18, 1 << 21
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -33,7 +36,7 @@ def _upto(n: int) -> tuple[np.ndarray, np.ndarray]:
             steps = np.full(n, b, np.uint64)
             steps[0] = 1
             made.append(np.cumprod(steps))
-        if n > 1 << 23:
+        if n > LARGE + 1:  # of one very long text: not kept
             return made[0], made[1]
         _powers = made[0], made[1]
     return _powers
@@ -48,22 +51,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, pa.Array]]:
-    """Consecutive slices of at most ``most`` bytes, or of one longer text."""
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string()).fill_null("")
-    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+def ends(texts: pa.LargeStringArray) -> np.ndarray:
+    """Where each text starts in the buffer, and where the last one ends."""
+    return np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+
+
+def cuts(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of rows of at most ``most`` bytes, or of one longer row."""
     at = 0
-    while at < len(texts):
+    while at < len(ends) - 1:
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
-        yield at, texts.slice(at, to - at)
+        yield at, to
         at = to
 
 
+def slices(texts: pa.Array, most: int = LARGE) -> Iterator[tuple[int, pa.Array]]:
+    """Consecutive slices of at most ``most`` bytes, or of one longer text, without nulls."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    texts = texts.cast(pa.large_string())
+    for at, to in cuts(ends(texts), most):
+        yield at, texts.slice(at, to - at).fill_null("")
+
+
 def body(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a slice, and where each text starts (and the last one ends)."""
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    offsets = ends(texts)
     buffer = texts.buffers()[2]
     data = np.frombuffer(buffer, np.uint8)[offsets[0] : offsets[-1]] if buffer else np.empty(0, np.uint8)
     return data, offsets - offsets[0]
