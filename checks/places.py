@@ -50,7 +50,6 @@ from kerbside.operators import (
 )
 from kerbside.operators.curate import curate
 from kerbside.operators.lineage import shared_path
-from kerbside.operators.outlines import cell_polygons
 from kerbside.plans import county, maps
 from kerbside.plans.runs import schools_of_run
 from kerbside.sources import dims, exports, sinks, vector
@@ -1236,48 +1235,6 @@ def kde_outlines(spark, sf):
     return density.dissolve_cells(density.classify(grid))
 
 
-_CORNER_AT = (
-    "at AS (SELECT class, ix + unnest([0, 1, 1, 0]) AS ax, iy + unnest([0, 0, 1, 1]) AS ay, unnest([0, 1, 2, 3]) AS q "
-    "FROM classed), "
-    "turn AS (SELECT class, sum(n) AS corners FROM (SELECT class, CASE WHEN count(*) IN (1, 3) THEN 1 "
-    "WHEN count(*) = 2 AND max(q) - min(q) = 2 THEN 2 ELSE 0 END AS n FROM at GROUP BY class, ax, ay) GROUP BY class), "
-    "cells AS (SELECT class, count(*) AS cells, min(ix) AS i0, max(ix) AS i1, min(iy) AS j0, max(iy) AS j1 "
-    "FROM classed GROUP BY class)"
-)
-
-
-@query(
-    "kde_polygons",
-    on_crashes(
-        "SELECT class, cells, corners::BIGINT AS corners, "
-        'round(x0 + (i0 - 1.5e0) * (x1 - x0) / 199e0, 6) AS "left", round(x0 + (i1 - 0.5e0) * (x1 - x0) / 199e0, 6) AS "right", '
-        "round(y0 + (j0 - 1.5e0) * (y1 - y0) / 199e0, 6) AS bottom, round(y0 + (j1 - 0.5e0) * (y1 - y0) / 199e0, 6) AS top "
-        "FROM cells JOIN turn USING (class), st",
-        _KDE, _CORNER_AT,
-    ),
-)
-def kde_polygons(spark, sf):
-    """Cells (from the areas of the rings), vertices and extent of the polygons of each class."""
-    grid = density.kde_grid(crashes(spark, sf).select("longitude", "latitude"))
-    span = grid.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("x", "y") for f in (F.min, F.max)]).first()
-    cell = (span["max_x"] - span["min_x"]) / 199 * (span["max_y"] - span["min_y"]) / 199
-    rings = cell_polygons(density.classify(grid)).select("class", F.explode("rings").alias("ring"))
-
-    def beside(p, q):  # area left of a side; the last point has none after it
-        return F.coalesce((p["x"] - span["min_x"]) * (q["y"] - p["y"]), F.lit(0.0))
-
-    sides = F.zip_with("ring", F.slice("ring", 2, F.size("ring")), beside)
-    area = F.aggregate(sides, F.lit(0.0), lambda total, x: total + x)
-    xs, ys = F.col("ring.x"), F.col("ring.y")
-    out = rings.groupBy("class").agg(
-        F.round(F.sum(area) / cell).cast("long").alias("cells"),
-        F.sum(F.size("ring") - 1).alias("corners"),
-        F.min(F.array_min(xs)).alias("left"), F.max(F.array_max(xs)).alias("right"),
-        F.min(F.array_min(ys)).alias("bottom"), F.max(F.array_max(ys)).alias("top"),
-    )
-    return rounded(out, "left", "right", "bottom", "top")
-
-
 # ---- network ---------------------------------------------------------------------------------------------
 
 
