@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbside.operators.lineage import checkpointed
+from kerbside.operators.lineage import checkpointed, shared_path
 
 #: Directions of a side, counter-clockwise.
 EAST, NORTH, WEST, SOUTH = range(4)
@@ -97,6 +97,14 @@ def _ringed(sides: DataFrame, by: str) -> DataFrame:
             return sides.join(state.select(by, "id", F.col("low").alias("ring")), [by, "id"])
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder. A checkpoint keeps what the plan knew of partitioning, and with two
+    names for each key that doubles every round."""
+    path = shared_path(df.sparkSession, "ranks")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _ranked(sides: DataFrame, by: str) -> DataFrame:
     """With ``left``, how many sides there are from here to the end of the ring."""
     last = F.col("next") == F.col("ring")
@@ -104,7 +112,7 @@ def _ranked(sides: DataFrame, by: str) -> DataFrame:
     state = sides.select(by, "id", F.when(~last, F.col("next")).alias("to"), F.lit(1).cast("long").alias("left"))
     while not state.where("to is not null").isEmpty():
         ahead = state.select(by, F.col("id").alias("to"), F.col("to").alias("further"), F.col("left").alias("more"))
-        state = checkpointed(
+        state = _written(
             state.join(ahead, [by, "to"], "left").select(
                 by, "id", F.col("further").alias("to"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")
             )
