@@ -103,3 +103,14 @@ def test_crowded_borders_are_met_in_finer_cells(spark, monkeypatch):
         met.append(df.where("_cut").count())
         monkeypatch.undo()
     assert met[1] < 8 * met[0] and met[1] < 10_000, met
+
+
+def test_polygons_without_points_store_no_pairs(spark, points, shapes, monkeypatch):
+    stored = []
+    real = spatial.checkpointed
+    monkeypatch.setattr(spatial, "checkpointed", lambda df: (stored.append(df.columns), real(df))[1])
+    found = spatial.points_in_polygons(shapes, points, "name", how="left", cell=0.05)
+    got = sorted((r["name"], r["id"] or -1) for r in found.select("name", "id").collect())
+    want = sorted((k, i or -1) for k, v in SHAPES.items() for i, x, y, _ in POINTS if is_inside(v, x, y))
+    assert got == sorted([*want, ("away", -1)])
+    assert not any("id" in columns for columns in stored)
