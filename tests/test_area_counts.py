@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kerbside.operators import spatial
+from kerbside.operators import schools, spatial
 
 rng = random.Random(11)
 POINTS = [(i, round(rng.uniform(0, 1), 3), round(rng.uniform(0, 1), 3), rng.choice(["a", "b", None])) for i in range(3000)]
@@ -64,7 +64,7 @@ def test_counts_in_polygons(spark, points, shapes, monkeypatch, most):
 
 @pytest.mark.parametrize("most", [1, 64])
 def test_counts_in_boxes(spark, points, monkeypatch, most):
-    monkeypatch.setattr(spatial, "MAX_PLACES", most)
+    monkeypatch.setattr(spatial, "MAX_BOX_PLACES", most)
     monkeypatch.setattr(spatial, "MAX_HALVINGS", 4)
     boxes = [(f"s{i % 25}", x, y, x + w, y + w) for i, (x, y, w) in enumerate(
         (round(rng.uniform(0, 1), 3), round(rng.uniform(0, 1), 3), rng.choice([0.0, 0.01, 0.2])) for _ in range(30)
@@ -114,3 +114,17 @@ def test_polygons_without_points_store_no_pairs(spark, points, shapes, monkeypat
     want = sorted((k, i or -1) for k, v in SHAPES.items() for i, x, y, _ in POINTS if is_inside(v, x, y))
     assert got == sorted([*want, ("away", -1)])
     assert not any("id" in columns for columns in stored)
+
+
+def test_school_crash_counts_equal_the_pairs(spark, curated):
+    rows = [
+        {"LATDECDG": str(43 + i / 1000), "LONDECDG": "-88.0", "ROLE1": "PED", "AGE1": "9", "INJSVR1": "KA"[i % 2]}
+        for i in range(30)
+    ]
+    near = spark.createDataFrame([("1", -88.1, 42.9, -87.9, 43.01), ("2", -88.0, 43.01, -87.0, 44.0)],
+                                 "NCES_CODE string, left double, bottom double, right double, top double")
+    crashes = curated(*rows)
+    want = schools.school_crashes(near, crashes).groupBy("NCES_CODE", "ped_inj_name").count()
+    got = schools.school_crash_counts(near, crashes)
+    assert got.columns == ["NCES_CODE", "ped_inj_name", "count"]
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 4
