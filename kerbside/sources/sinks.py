@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,3 +81,30 @@ def export_layer(df: DataFrame, path: str) -> None:
     """A map layer as GeoJSON lines: points or, if there are rings, polygons."""
     features = geojson_polygons(df) if "rings" in df.columns else geojson_points(df)
     features.write.mode("overwrite").text(path)
+
+
+def write_files(df: DataFrame, folder: str, path: str = "path", content: str = "content") -> None:
+    """One file per ``path`` below ``folder``, with ``content`` as its text (of rows with one path, the smallest).
+
+    All tasks write, each file once and in place, so a file costs no folder of its own and no step of the
+    driver. A task that is run again writes the same files. Rows without a path have none."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.where(F.col(path).isNotNull()).select(F.col(path).alias("path"), F.col(content).cast("string").alias("text"))
+    rows = rows.groupBy("path").agg(F.min("text").alias("text")).repartition(tasks, "path")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder)
+        made, n = set(), 0
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                place = f"{root.rstrip('/')}/{name}"
+                parent = place.rpartition("/")[0]
+                if parent not in made:
+                    system.create_dir(parent, recursive=True)
+                    made.add(parent)
+                with system.open_output_stream(place) as out:
+                    out.write((text or "").encode())
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    rows.mapInArrow(write, "n long").agg(F.sum("n")).collect()

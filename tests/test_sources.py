@@ -273,6 +273,18 @@ def test_manifest_from_a_folder(spark, school_df, tmp_path):
     assert [r["NCES_CODE"] for r in checked.where("exists").collect()] == ["3"]
 
 
+def test_files_are_written_at_their_paths(spark, tmp_path):
+    rows = [("a b/c#1.pdf", "x"), ("a b/d%2F.pdf", "v"), ("empty.txt", None), ("e.pdf", "z"), ("e.pdf", "y"), (None, "w")]
+    rows += [(f"many/{i}.pdf", str(i)) for i in range(50)]
+    folder = f"file:{tmp_path}/out"
+    sinks.write_files(spark.createDataFrame(rows, "path string, n string"), folder, content="n")
+    listed = sorted(r["path"] for r in exports.file_listing(spark, folder, "*.pdf").collect())
+    assert listed == sorted({r[0] for r in rows if r[0] and r[0] != "empty.txt"})
+    assert (tmp_path / "out/e.pdf").read_text() == "y" and (tmp_path / "out/empty.txt").read_text() == ""
+    # nothing beside them: no folder for each, no check sums, no marks
+    assert len([f for _, _, names in os.walk(tmp_path / "out") for f in names]) == 54
+
+
 def test_listing(spark, tmp_path):
     (tmp_path / "a.pdf").write_text("x")
     (tmp_path / "b.txt").write_text("x")
