@@ -778,16 +778,18 @@ def fill_holes(
     hole in that island is one.
 
     Rings are rows: the first corners of the small ones meet the grid cells of the rings of their own
-    polygon, so the work follows the sides, not rings times sides. Polygons of one ring have no inner
-    one and are not looked at."""
-    shapes = checkpointed(polygons.withColumn("_owner", F.monotonically_increasing_id()))
+    polygon, so the work follows the sides, not rings times sides. Polygons of one ring, and those without
+    a small one, lose none and are not looked at."""
+    shapes = checkpointed(_spread(polygons).withColumn("_owner", F.monotonically_increasing_id()))
     parts = shapes.where(F.size(rings) > 1).select("_owner", F.posexplode(rings).alias("_nth", "_ring"))
     size = ring_area(project_rings(F.array("_ring"), zone)[0])
     small = parts.where(size < km2 * 1e6).select(
         "_owner", F.col("_nth").alias("_small"),
         F.col("_ring")[0]["x"].alias("_px"), F.col("_ring")[0]["y"].alias("_py"),
     )
-    listing = _polygon_cells(parts.select("_owner", "_nth", F.array("_ring").alias("_rings")), "_rings", cell)
+    small = checkpointed(small)
+    asked = parts.join(small.select("_owner").distinct(), "_owner", "left_semi")
+    listing = _polygon_cells(asked.select("_owner", "_nth", F.array("_ring").alias("_rings")), "_rings", cell)
     near = _near(small, listing, "_px", "_py")
     pairs = _join_cells(near, listing.cells, listing.size, SHARES, ("_owner",))
     around = pairs.where((F.col("_nth") != F.col("_small")) & _is_odd("_px", "_py"))

@@ -314,6 +314,20 @@ def test_fill_holes_of_many_rings(spark):
     assert len(got["over"]) == 1 and len(got["one"]) == 1 and got["none"] == [] and got["null"] is None
 
 
+def test_only_polygons_with_a_small_ring_are_cut_into_cells(spark, monkeypatch):
+    def square(cx, cy, half):
+        return closed((cx - half, cy - half), (cx + half, cy - half), (cx + half, cy + half), (cx - half, cy + half))
+
+    shapes = [(f"large {i}", [square(-88, 43, 0.2), square(-88, 43, 0.1)]) for i in range(5)]
+    shapes.append(("small", [square(-88, 43, 0.2), square(-88, 43, 0.001)]))
+    asked, cells = [], spatial._polygon_cells
+    monkeypatch.setattr(spatial, "_polygon_cells", lambda df, *more: asked.append(df.count()) or cells(df, *more))
+    df = spark.createDataFrame(shapes, f"name string, rings {rings.RINGS_TYPE}")
+    got = {r["name"]: len(r["rings"]) for r in spatial.fill_holes(df).collect()}
+    assert got == {f"large {i}": 2 for i in range(5)} | {"small": 1}
+    assert asked == [2]
+
+
 def test_boxes_around_points_and_polygons(spark, polygons):
     df = spark.createDataFrame([(-88.0, 43.0)], "longitude double, latitude double")
     r = spatial.point_box(df, F.lit(1113.2)).first()
