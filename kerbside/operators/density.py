@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from kerbside.operators.lineage import checkpointed
 
 BINS = 1024
+#: Values of a kernel that a task works on at a time: few enough to stay in a core's cache.
+BLOCK = 1 << 17
 
 
 def exact_quantiles(
@@ -123,9 +125,7 @@ def kde_grid(
         .groupBy(F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py"))
         .agg(F.count(F.lit(1)).alias("w"))
     )
-    # few bytes but much work per place: keep all tasks busy however short the table is
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    places = checkpointed(places.repartition(tasks))
+    places = checkpointed(places)
     row = places.agg(
         F.sum("w").alias("n"),
         F.min("px").alias("x0"), F.max("px").alias("x1"),
@@ -147,7 +147,7 @@ def kde_grid(
         seen = False
         for batch in batches:
             px, py, w = (batch.column(i).to_numpy() for i in range(3))
-            step = max(1, 4_000_000 // n)
+            step = max(1, BLOCK // n)
             for at in range(0, len(px), step):
                 part = slice(at, at + step)
                 kx = np.exp(-0.5 * ((gx[:, None] - px[None, part]) / hx) ** 2) * w[None, part]

@@ -106,3 +106,17 @@ def test_no_spread_is_an_error(spark):
     with pytest.raises(ValueError):
         density.kde_grid(df)
     assert df.agg(F.count("*")).first()[0] == 2
+
+
+def test_places_are_shuffled_once(spark, monkeypatch):
+    rows = [(-88 + i / 97, 43 + (i * i % 89) / 89) for i in range(300)] * 2
+    points = spark.createDataFrame(rows, "longitude double, latitude double")
+    plans, kept = [], density.checkpointed
+    monkeypatch.setattr(
+        density, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df)
+    )
+    whole = {(r["ix"], r["iy"]): r["z"] for r in density.kde_grid(points, 8).collect()}
+    assert plans[0].count("Exchange ") == 1
+    monkeypatch.setattr(density, "BLOCK", 8 * 7)  # seven places at a time
+    for r in density.kde_grid(points, 8).collect():
+        assert r["z"] == pytest.approx(whole[r["ix"], r["iy"]], rel=1e-12)
