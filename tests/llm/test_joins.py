@@ -3,10 +3,13 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from kerbside.llm import decontaminate, fingerprints, line_dedup, ngram_join, setjoin
+from kerbside.llm import words as W
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -275,3 +278,23 @@ def test_stages_decide_by_row(spark):
     assert {r.n for r in clean.collect()} == {r[2] for r in rows} - {5}
     called = corpus_pipeline.decontamination_stage.__code__.co_names
     assert "clean_rows" in called
+
+
+def test_slots_are_counted_together(monkeypatch):
+    monkeypatch.setattr(setjoin, "SKETCH_BITS", 6)
+    rng, tally, want = np.random.default_rng(1), setjoin.Tally(), np.zeros(64, int)
+    for n in (0, 5, 100, 1, 3, 40):
+        slots = rng.integers(0, 64, n)
+        tally.add(slots)
+        np.add.at(want, slots, 1)
+    assert (tally.flush() == want).all() and (tally.flush() == want).all()
+    assert (setjoin.Tally().flush() == 0).all()
+
+
+def test_words_of_empty_lines_and_sketches():
+    texts = pa.array(["", "a b\n\n\nc", None, "\n", "d d e", "\n\nf"], pa.large_string()).fill_null("")
+    w = W.words(texts, lines=True)
+    assert (w.unit == np.searchsorted(w.unit_start, w.start, "right") - 1).all() and len(w.unit) == 7
+    for _, sets in setjoin.distinct(w, 1):
+        bits = [sum(bin(int(x) & (2**64 - 1)).count("1") for x in row) for row in setjoin._parity(sets)]
+        assert bits == [int(n) for n in sets.n]
