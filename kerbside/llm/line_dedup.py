@@ -24,31 +24,32 @@ def repeated_lines(docs: DataFrame, join: S.Join = QUERY) -> DataFrame:
     """
     base = S.base(docs)
     digest = S.digests(base, join, "line-digest")
-    klass = S.classes(digest, "line-classes")
+    klass = S.classes(digest, "line-classes", F.count(F.lit(1)).alias("copies"))
     edges = S.star_edges(digest, join, "line-edges")
 
-    pairs = stored(S.likely_pairs(edges, digest, join), "line-pairs")
+    pairs = stored(S.likely_pairs(edges, digest, join, "line"), "line-pairs")
     links = S.verified(pairs, klass, base, join, "line-links")
-    gone = stored(_later(links, klass), "line-gone")
-    settled = sized(klass.join(gone, "key").select("id").distinct(), 16, gone.count())
+    gone = stored(_later(links, klass, "line-links"), "line-gone")
+    settled = sized(gone.select("id").distinct(), 16, gone.count())
     # leaders are the earliest of their token, so only the others can have an earlier match
     open_tokens = edges.where("size > 2").join(settled.withColumnRenamed("id", "b"), "b", "left_anti")
     open_tokens = stored(open_tokens.select("token").distinct(), "line-open")
     posts = S.open_postings(digest, open_tokens, "line-postings")
-    order = klass.groupBy("id").agg(F.min(_first()).alias("first"))
-    posts = stored(posts.join(order, "id"), "line-ordered")
+    ids = stored(posts.select("id").distinct(), "line-ids")
+    order = klass.join(sized(ids, 16), "id", "left_semi").groupBy("id").agg(F.min(_first()).alias("first"))
+    posts = stored(posts.join(sized(stored(order, "line-order"), 64), "id"), "line-ordered")
     earlier = F.col("y.first") < F.col("x.first")
     more = S.cross_pairs(posts.join(settled, "id", "left_anti"), posts, earlier, join)
     done = pairs.union(pairs.select("b", "a"))
     more = stored(more.join(done, ["a", "b"], "left_anti"), "line-more")
     rest = S.verified(more, klass, base, join, "line-rest")
 
-    gone = gone.union(_later(rest, klass)).distinct().withColumn("gone", F.lit(True))
-    state = klass.join(gone, "key", "left").select(
-        "key", F.struct("row", "hash", "line").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone")
-    )
+    gone = stored(gone.union(_later(rest, klass, "line-rest")).select("key").distinct(), "line-all-gone")
+    # only classes that are gone or have copies lose lines
+    state = klass.join(sized(gone.withColumn("gone", F.lit(True)), 40), "key", "left").where("gone or copies > 1")
+    state = state.select("key", F.struct("row", "hash", "line").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
     own = F.struct("row", "hash", "line")
-    lines = digest.select("row", "hash", "line", "key").join(state, "key")
+    lines = digest.select("row", "hash", "line", "key").join(sized(stored(state, "line-state"), 72), "key")
     return lines.where(F.col("gone") | (own != F.col("first"))).select("row", "hash", "line")
 
 
@@ -57,13 +58,16 @@ def _first() -> Column:
     return F.struct("row", S.part().alias("part"), "line", "id")
 
 
-def _later(links: DataFrame, klass: DataFrame) -> DataFrame:
-    """The key of the later class of each link."""
-    first = klass.select("key", _first().alias("first"))
-    a = first.select(F.col("key").alias("a_key"), F.col("first").alias("a_first"))
-    b = first.select(F.col("key").alias("b_key"), F.col("first").alias("b_first"))
-    later = F.when(F.col("a_first") > F.col("b_first"), F.col("a_key")).otherwise(F.col("b_key"))
-    return links.join(a, "a_key").join(b, "b_key").select(later.alias("key")).distinct()
+def _later(links: DataFrame, klass: DataFrame, name: str) -> DataFrame:
+    """Key and id of the later class of each link."""
+    keys = stored(links.select(F.explode(F.array("a_key", "b_key")).alias("key")).distinct(), name + "-keys")
+    n = keys.count()
+    first = klass.join(sized(keys, 40, n), "key", "left_semi").select("key", "id", _first().alias("first"))
+    first = stored(first, name + "-firsts")
+    a, b = sized(first.alias("x"), 96, n), sized(first.alias("y"), 96, n)
+    both = links.join(a, F.col("a_key") == F.col("x.key")).join(b, F.col("b_key") == F.col("y.key"))
+    later = F.when(F.col("x.first") > F.col("y.first"), F.struct("x.key", "x.id")).otherwise(F.struct("y.key", "y.id"))
+    return both.select(later.alias("later")).select("later.key", "later.id").distinct()
 
 
 def _without(lines: Column, drop: Column) -> Column:
@@ -83,8 +87,8 @@ def dedup_lines(docs: DataFrame, join: S.Join = QUERY) -> DataFrame:
     ``n_removed`` added (replaced if they exist).
 
     A null text has no lines and stays null, an empty text has one, empty line and stays."""
-    drop = repeated_lines(docs, join).distinct().groupBy("row", "hash")
-    drop = stored(drop.agg(F.array_sort(F.collect_list("line")).alias("drop")), "line-drop")
+    drop = repeated_lines(docs, join).groupBy("row", "hash")
+    drop = stored(drop.agg(F.sort_array(F.collect_set("line")).alias("drop")), "line-drop")
     lines = drop.agg(F.sum(F.size("drop"))).first()[0] or 0
     drop = drop.select(F.col("row").alias("__row"), F.col("hash").alias("__hash"), F.col("drop").alias("__drop"))
     drop = sized(drop, 32, lines + drop.count())
@@ -93,10 +97,12 @@ def dedup_lines(docs: DataFrame, join: S.Join = QUERY) -> DataFrame:
     found = docs.drop("n_lines", "n_removed").join(drop, same, "left")
     some = F.col("__drop").isNotNull()
     lines = F.col("__lines")
-    # a column of its own that is used more than once: the plan keeps it, and a text is split once
-    found = found.withColumn("__lines", F.split("text", "\n", -1))
+    # a column of its own that is used more than once: the plan keeps it, and a text that loses lines is split once
+    found = found.withColumn("__lines", F.when(some, F.split("text", "\n", -1)))
+    feeds = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    n_lines = F.when(F.col("text").isNull(), 0).when(some, F.size(lines)).otherwise(feeds + 1)
     return (
-        found.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
+        found.withColumn("n_lines", n_lines.cast("long"))
         .withColumn("n_removed", F.when(some, F.size("__drop")).otherwise(0).cast("long"))
         .withColumn("text", F.when(some, _without(lines, F.col("__drop"))).otherwise(F.col("text")))
         .drop("__row", "__hash", "__drop", "__lines")
