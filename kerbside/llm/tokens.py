@@ -19,7 +19,9 @@ import pyarrow as pa
 from kerbside.llm import words as W
 
 #: Pieces kept per worker, the first that come; others are encoded for each slice again.
-KEPT = 1_500_000
+KEPT = 400_000
+#: Bytes of a slice, and new pieces that are encoded at once: an encoding is many times its size while it is made.
+SLICE, PIECES = 1 << 19, 1 << 12
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -79,13 +81,17 @@ class Encoder:
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces one after the other, and how many each has."""
-        out = self._tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        of = np.array(out.word_ids, np.int64)
-        return np.array(out.ids, np.uint32), np.bincount(of, minlength=len(pieces))
+        ids, sizes = [], []
+        for at in range(0, len(pieces), PIECES):
+            part = pieces[at : at + PIECES]
+            out = self._tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(out.ids, np.uint32))
+            sizes.append(np.bincount(np.array(out.word_ids, np.int64), minlength=len(part)))
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def batch(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text as unsigned 32-bit integers; null is empty."""
-        for _, part in W.slices(texts):
+        for _, part in W.slices(texts, SLICE):
             yield from self._slice(part)
 
     def _slice(self, texts: pa.LargeStringArray) -> Iterator[np.ndarray]:

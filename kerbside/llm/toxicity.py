@@ -204,7 +204,7 @@ def segments(at: list[int], score: list[float]) -> list[tuple[int, int, float]]:
 def _scored(texts: pa.Array, model: Model) -> Iterator[tuple[float, list[tuple[int, int, float, float]]]]:
     """Evidence of each text and its significant segments: characters from and to, score, and how
     many such segments a clean text of the length has."""
-    for _, part in W.slices(texts):
+    for _, part in W.slices(texts, W.SMALL):
         w = W.words(part, W.NOT_ALNUM)
         best = np.full(len(w.hash), -1.0)
         if len(model.key):

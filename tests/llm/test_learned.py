@@ -2,10 +2,13 @@
 
 import os
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from kerbside.llm import extraction, quality, toxicity
+from kerbside.llm import words as W
 from kerbside.llm.common import stored
 
 SF = "/root/testdata/sf0.01"
@@ -19,6 +22,14 @@ def test_held_out_accuracy(spark, module, label, least):
     assert sum(r.predicted == r.wanted for r in got) >= least * len(got)
 
 
+def test_texts_are_scored_in_small_slices(monkeypatch):
+    model = toxicity.Model(np.array([1], np.uint64), np.ones(1), 1.0, [0.5] * toxicity.BINS)
+    seen, words = [], W.words
+    monkeypatch.setattr(W, "words", lambda texts, *more: seen.append(W.body(texts)[0].size) or words(texts, *more))
+    assert len(list(toxicity._scored(pa.array(["some words " * 5_000] * 40), model))) == 40
+    assert max(seen) <= W.SMALL
+
+
 def test_scores_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, ""), (None, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

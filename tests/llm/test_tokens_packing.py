@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from kerbside.llm import packing, sharding, token_files
+from kerbside.llm import packing, sharding, token_files, tokens
 from kerbside.llm.tokens import Encoder, tokenizer_path
 
 ODD = [
@@ -28,6 +28,25 @@ def test_pieces_give_the_ids_of_the_whole(name):
             assert ids.tolist() == own.whole(text or "").tolist(), text
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_few_pieces_are_encoded_and_kept_at_once(name, monkeypatch):
+    own = Encoder(tokenizer_path(name))
+    plain, most = own._tokenizer, []
+
+    class Counted:
+        def encode(self, pieces, **options):
+            most.append(len(pieces))
+            return plain.encode(pieces, **options)
+
+    texts = [" ".join(f"w{i}x{j}" for j in range(20_000)) for i in range(3)]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    own._tokenizer = Counted()
+    monkeypatch.setattr(tokens, "KEPT", 30_000)
+    for _ in range(2):
+        assert [ids.tolist() for ids in own.batch(pa.array(texts))] == want
+    assert max(most) <= 1 << 12 and len(own._keys) <= 30_000
+
+
 def test_token_files_round_trip(spark, tmp_path):
     texts = [t for t in ODD if t is None or len(t) < 5000] * 3
     rows = [(7 * i, t, "x", 1) for i, t in enumerate(texts)] + [(None, "null id", "x", 1)]
