@@ -73,6 +73,22 @@ def test_ngram_join_equals_brute_force(spark, seed):
     assert kept == {i for i in range(len(texts)) if want[i] == i}
 
 
+@pytest.mark.parametrize("block", [1 << 18, 300])
+def test_ngram_join_counts_every_link(spark, block, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", block, raising=False)
+    monkeypatch.setattr(ngram_join, "LEAST_SET", 1, raising=False)
+    texts = corpus(4, copies=20)
+    rows = [*enumerate(texts), *enumerate(texts[:60]), *((i + 1000, t) for i, t in enumerate(texts[:60]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sets = [shingles(t, 3) for _, t in rows]
+    linked_to = {
+        s: sum(1 for t in set(sets) if t != s and t and 100 * len(s & t) >= 90 * len(s | t)) if s else 0 for s in set(sets)
+    }
+    got = sorted((r.doc_id, r.n_shingles, r.links) for r in ngram_join.similar_documents(docs).collect())
+    assert got == sorted((i, len(s), linked_to[s]) for (i, _), s in zip(rows, sets))
+    assert max(linked_to.values()) > 4
+
+
 def test_banded_fingerprints_equal_brute_force(spark):
     texts = corpus(2)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
