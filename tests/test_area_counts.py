@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from kerbside.functions.rings import RINGS_TYPE
 from kerbside.operators import schools, spatial
 
 rng = random.Random(11)
@@ -128,3 +129,12 @@ def test_school_crash_counts_equal_the_pairs(spark, curated):
     got = schools.school_crash_counts(near, crashes)
     assert got.columns == ["NCES_CODE", "ped_inj_name", "count"]
     assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 4
+
+
+def test_lone_sides_are_plain_columns(spark):
+    ring = [(0.001, 0.002), (0.09, 0.013), (0.04, 0.08), (0.001, 0.002)]
+    shape = spark.createDataFrame([("a", [ring])], f"name string, rings {RINGS_TYPE}")
+    cells = spatial._polygon_cells(shape, "rings", 0.01).cells.collect()
+    assert {len(c._sides) for c in cells if c._sx1 is None and c._cut} <= {2, 3}
+    assert {len(c._sides) for c in cells if c._sx1 is not None} == {0}
+    assert sum(c._sx1 is not None for c in cells) > sum(c._cut for c in cells) / 2
