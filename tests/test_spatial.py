@@ -43,6 +43,13 @@ def test_points_in_boxes(points, boxes, cell):
     assert sorted((r["box"], r["id"]) for r in found.collect()) == brute_boxes()
 
 
+@pytest.mark.parametrize("salt, least", [(1, 4), (200, 8)])
+def test_shuffled_pairs_are_made_in_all_partitions(spark, points, boxes, monkeypatch, salt, least):
+    monkeypatch.setattr(spatial, "BROADCAST_BYTES", 0)
+    found = spatial.points_in_boxes(boxes, points, salt=salt)
+    assert found.rdd.getNumPartitions() >= least
+
+
 def test_points_in_boxes_by_shuffle(points, boxes, monkeypatch):
     monkeypatch.setattr(spatial, "BROADCAST_BYTES", -1)
     found = spatial.points_in_boxes(boxes, points, salt=5)
